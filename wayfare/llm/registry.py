@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm.common import table
+from wayfare.llm.quality import quality
 from wayfare.llm.tokencount import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +24,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_compression_bands": op2_compression_bands,
     "op9_token_counts": op9_token_counts,
 }
 
