@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm.common import table
 from wayfare.llm.quality import quality
+from wayfare.llm.secrets import findings_by_version, scan_versions, secret_digest
 from wayfare.llm.tokencount import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,10 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(findings_by_version(scan_versions(table(spark, sf_dir, "documents"))))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +30,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_compression_bands": op2_compression_bands,
+    "op8_secret_ledger": op8_secret_ledger,
     "op9_token_counts": op9_token_counts,
 }
 
