@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm.common import table
+from wayfare.llm.mixing import mix_digest
 from wayfare.llm.quality import quality
 from wayfare.llm.secrets import findings_by_version, scan_versions, secret_digest
+from wayfare.llm.sharding import shard_digest
 from wayfare.llm.tokencount import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,14 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op3_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(findings_by_version(scan_versions(table(spark, sf_dir, "documents"))))
 
@@ -30,6 +40,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_compression_bands": op2_compression_bands,
+    "op3_hierarchical_mix": op3_hierarchical_mix,
+    "op6_stratified_shards": op6_stratified_shards,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_token_counts": op9_token_counts,
 }
