@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm.common import table
+from wayfare.llm.decontaminate import contaminated
 from wayfare.llm.mixing import mix_digest
 from wayfare.llm.quality import quality
 from wayfare.llm.secrets import findings_by_version, scan_versions, secret_digest
@@ -24,6 +25,10 @@ def op3_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"), shards=40)
 
@@ -41,6 +46,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_compression_bands": op2_compression_bands,
     "op3_hierarchical_mix": op3_hierarchical_mix,
+    "op4_spaced_seeds": op4_spaced_seeds,
     "op6_stratified_shards": op6_stratified_shards,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_token_counts": op9_token_counts,
