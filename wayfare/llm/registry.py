@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm.common import table
 from wayfare.llm.decontaminate import contaminated
+from wayfare.llm.language import language_digest
 from wayfare.llm.mixing import mix_digest
 from wayfare.llm.quality import quality
 from wayfare.llm.secrets import findings_by_version, scan_versions, secret_digest
@@ -33,6 +34,10 @@ def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(findings_by_version(scan_versions(table(spark, sf_dir, "documents"))))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op3_hierarchical_mix": op3_hierarchical_mix,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op6_stratified_shards": op6_stratified_shards,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_token_counts": op9_token_counts,
 }
