@@ -13,6 +13,7 @@ from wayfare.llm.mixing import mix_digest
 from wayfare.llm.quality import quality
 from wayfare.llm.secrets import findings_by_version, scan_versions, secret_digest
 from wayfare.llm.sharding import shard_digest
+from wayfare.llm.simhash import simhash_digest
 from wayfare.llm.tokencount import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_compression_bands": op2_compression_bands,
     "op3_hierarchical_mix": op3_hierarchical_mix,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op7_kneser_ney": op7_kneser_ney,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_token_counts": op9_token_counts,
+    "op10_gray_simhash": op10_gray_simhash,
 }
 
 ORACLES: dict[str, str] = {}
