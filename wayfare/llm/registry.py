@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wayfare.llm.common import table
 from wayfare.llm.decontaminate import contaminated
 from wayfare.llm.language import language_digest
+from wayfare.llm.licenses import license_matches
 from wayfare.llm.mixing import mix_digest
 from wayfare.llm.quality import quality
 from wayfare.llm.secrets import findings_by_version, scan_versions, secret_digest
@@ -19,6 +20,10 @@ from wayfare.llm.tokencount import token_counts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_alignment": op1_license_alignment,
     "op2_compression_bands": op2_compression_bands,
     "op3_hierarchical_mix": op3_hierarchical_mix,
     "op4_spaced_seeds": op4_spaced_seeds,
