@@ -15,6 +15,7 @@ from wayfare.llm.quality import quality
 from wayfare.llm.secrets import findings_by_version, scan_versions, secret_digest
 from wayfare.llm.sharding import shard_digest
 from wayfare.llm.simhash import simhash_digest
+from wayfare.llm.suffixes import repeated_bytes
 from wayfare.llm.tokencount import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,10 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"), shards=40)
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_compression_bands": op2_compression_bands,
     "op3_hierarchical_mix": op3_hierarchical_mix,
     "op4_spaced_seeds": op4_spaced_seeds,
+    "op5_suffix_merge": op5_suffix_merge,
     "op6_stratified_shards": op6_stratified_shards,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_secret_ledger": op8_secret_ledger,
