@@ -282,6 +282,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(predict, SCHEMA)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows that ``identify`` rejects; all columns stay, and nothing is moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for part, texts in blocks(batches, budget=1 << 20) if model.languages else ():
+            length, nats = model.cross_entropies(texts)
+            best = nats.argmin(axis=1)
+            limit = model.limits[np.searchsorted(LENGTHS, length, side="right"), best]
+            yield part.filter(pa.array((length > 0) & (nats[np.arange(len(texts)), best] <= limit)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that are not learned from: CRC-32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
