@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 LENGTH = 100
 KGRAM = 32
 #: Bytes that are hashed at a time, and bytes of text whose suffixes make a run.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 RUN_BYTES = 8 << 20
 
 _U = np.uint64
