@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from wayfare.plans.queries import Query, events, merges, spanish, streams, texts
 
-from pyspark.sql import DataFrame, SparkSession
+GROUPS = (events, merges, texts, spanish, streams)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {name: query for module in GROUPS for name, query in module.group.queries.items()}
+ORACLES: dict[str, str] = {name: sql for module in GROUPS for name, sql in module.group.oracles.items()}
