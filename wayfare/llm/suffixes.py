@@ -527,9 +527,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     # What a run repeats itself comes as direct rows: they go by document, so that a very common gram isn't one task's.
     anchors = anchors.repartition(n, F.when(F.col("kind") == 2, F.xxhash64("gram", "id")).otherwise(F.col("gram")))
     grams = anchors.mapInArrow(repeated_anchors, "id long, gram long").groupBy("id").agg(F.collect_list("gram").alias("grams"))
-    # Both joins exchange the texts by id in the same way, so Spark moves them once.
+    # Both joins exchange the same columns of the texts by id (doc_id too, which runs don't need), so Spark moves them once.
     chosen = texts.join(grams.hint("shuffle_hash"), "id")
-    moved = chosen.select("id", "th", "text", "grams").mapInArrow(make_runs(n), MOVED)
+    moved = chosen.select("id", "th", "doc_id", "text", "grams").mapInArrow(make_runs(n), MOVED)
     moved = moved.repartitionById(n, F.pmod("part", F.lit(n)))
     spans = moved.mapInArrow(merge_runs, SPANS).groupBy("id").agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
     return texts.join(spans.hint("shuffle_hash"), "id", "left").select("doc_id", "th", "text", "spans").mapInArrow(cut_texts, RESULT)
