@@ -122,7 +122,8 @@ class Segment:
         use = real[first]
         self.lo, self.hi = first[use], last[use]
         self.at = anchor[self.lo]
-        self.gram = grams[self.at]
+        # Hashed anew: the least of many hashes are small numbers, and ranges of them would not balance.
+        self.gram = _mixed(grams[self.at] + _U(_B))
         piece = np.searchsorted(begins, self.lo, side="right") - 1
         # Empty pieces begin where the next one does; the last of equal begins is the one with bytes.
         self.row = np.array([r for r, _, _ in pieces], np.int64)[piece]
