@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfare.llm.common import table
 from wayfare.llm.decontaminate import contaminated
 from wayfare.llm.language import language_digest
 from wayfare.llm.licenses import license_matches
 from wayfare.llm.mixing import mix_digest
+from wayfare.llm.oracles import mix_sql, secrets_sql, seeds_sql
 from wayfare.llm.quality import quality
 from wayfare.llm.secrets import findings_by_version, scan_versions, secret_digest
 from wayfare.llm.sharding import shard_digest
@@ -34,7 +36,8 @@ def op3_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
 def op5_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +79,8 @@ QUERIES: dict[str, Query] = {
     "op10_gray_simhash": op10_gray_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_hierarchical_mix": mix_sql(),
+    "op4_spaced_seeds": seeds_sql(),
+    "op8_secret_ledger": secrets_sql(),
+}
