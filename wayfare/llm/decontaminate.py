@@ -86,4 +86,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that overlap an item."""
     bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_doc_id"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_doc_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_doc_id"]), "left_anti")

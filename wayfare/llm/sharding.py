@@ -14,7 +14,7 @@ over all of its cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import stored, whole_text
@@ -23,19 +23,22 @@ from wayfare.llm.common import stored, whole_text
 CELLS = 1 << 12
 
 
-def proportional_shards(docs: DataFrame, shards: int = 40, seed: int = 7, cells: int = CELLS) -> DataFrame:
+def proportional_shards(docs: DataFrame, shards: int = 40, seed: int = 7, cells: int = CELLS, content: Column | None = None) -> DataFrame:
     """``docs`` with shard (0 to shards - 1) and slot (0, 1, ... within the shard); counts of shards differ by one at most.
 
     All columns stay; a column called shard or slot is replaced. Null sources
     are a source of their own. Rows with equal doc_id and text (nulls too) are
     separate rows; which of them comes first doesn't show. With fewer rows than
     shards the last shards are empty; an empty table gives an empty result.
+    content: what tells rows of one doc_id apart in the seeded order; the
+    CRC-32 of the text, if it isn't given.
     """
+    content = F.crc32(whole_text().cast("binary")) if content is None else content
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     rows = docs.select(
         F.struct(*[docs[c] for c in kept]).alias("row"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("stratum"),
-        F.xxhash64(F.lit(seed), "doc_id", F.crc32(whole_text().cast("binary"))).alias("h"),
+        F.xxhash64(F.lit(seed), "doc_id", content).alias("h"),
         F.col("doc_id").alias("id"),
     ).withColumn("cell", F.shiftrightunsigned("h", 64 - (cells.bit_length() - 1)).cast("int"))
 
@@ -69,9 +72,8 @@ def shard_digest(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     lean = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source"),
-        F.lit("").alias("text"),
         (F.octet_length(whole_text()) + 16).cast("long").alias("size"),
         F.crc32(whole_text().cast("binary")).alias("text_crc32"),
     )
-    placed = proportional_shards(lean, shards, seed)
+    placed = proportional_shards(lean, shards, seed, content=F.col("text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
