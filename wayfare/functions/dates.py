@@ -6,6 +6,8 @@ with an offset until they are stored as TIMESTAMP.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,41 +44,56 @@ def resolved_year(explicit: Column, month: Column, day: Column, posted: Column)
     return F.when(explicit.isNotNull(), explicit).when(candidate < F.date_sub(posted, YEAR_ROLLS_AFTER_DAYS), F.year(posted) + 1).otherwise(F.year(posted))
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return extracted(text, pattern, group).cast("int")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(match: Column, pattern: str, n: int) -> Column:
+    """All groups of a pattern that matches the whole text, as an array; a group that took no part is empty."""
+    return F.split(F.regexp_replace(match, pattern, "|".join(f"${i}" for i in range(1, n + 1))), r"\|")
+
+
+def _number(groups: Column, i: int) -> Column:
+    return F.nullif(F.get(groups, F.lit(i - 1)), F.lit("")).cast("int")
+
+
+def _month(groups: Column, i: int) -> Column:
+    return month_number(F.get(groups, F.lit(i - 1)))
 
 
 def date_range(text: Column, posted: Column) -> Column:
     """The dates that Spanish text announces, as ``RANGE``; null without any.
 
     Patterns go from the most to the least specific. Each has its first match
-    tried only; one that isn't a real date gives way to the next pattern.
+    tried only; one that isn't a real date gives way to the next pattern. The
+    text is folded once and searched once per pattern that is reached.
     """
-    t = fold(text)
-
-    def first(pattern: str, day: int, month: int, year: int) -> tuple[Column, Column, Column, Column]:
-        d, m = _number(t, pattern, day), month_number(F.regexp_extract(t, pattern, month))
-        explicit = _number(t, pattern, year)
-        return d, m, explicit, resolved_year(explicit, m, d, posted)
 
-    def found(pattern: str, start: Column, end: Column | None) -> Column:
+    def found(start: Column, end: Column | None, raw: Column) -> Column:
         ok = start.isNotNull() if end is None else start.isNotNull() & end.isNotNull()
-        return F.when(ok, F.struct(start.alias("start"), (F.lit(None).cast("date") if end is None else end).alias("end"), F.regexp_extract(t, pattern, 0).alias("raw")))
+        return F.when(ok, F.struct(start.alias("start"), (F.lit(None).cast("date") if end is None else end).alias("end"), raw.alias("raw")))
+
+    def start_of(g: Column, day: int, month: int, year: int) -> Column:
+        d, m = _number(g, day), _month(g, month)
+        return real_date(resolved_year(_number(g, year), m, d, posted), m, d)
+
+    def cross(g: Column, raw: Column) -> Column:
+        d, m = _number(g, 4), _month(g, 5)
+        year = F.coalesce(_number(g, 6), resolved_year(_number(g, 3), m, d, posted))
+        return found(start_of(g, 1, 2, 3), real_date(year, m, d), raw)
 
-    d1, m1, said, y1 = first(CROSS_MONTH, 1, 2, 3)
-    d2, m2 = _number(t, CROSS_MONTH, 4), month_number(F.regexp_extract(t, CROSS_MONTH, 5))
-    y2 = F.coalesce(_number(t, CROSS_MONTH, 6), resolved_year(said, m2, d2, posted))
-    cross = found(CROSS_MONTH, real_date(y1, m1, d1), real_date(y2, m2, d2))
+    def same(g: Column, raw: Column) -> Column:
+        m = _month(g, 3)
+        return found(start_of(g, 1, 3, 4), real_date(resolved_year(_number(g, 4), m, _number(g, 1), posted), m, _number(g, 2)), raw)
 
-    d, m, _, y = first(SAME_MONTH, 1, 3, 4)
-    same = found(SAME_MONTH, real_date(y, m, d), real_date(y, m, _number(t, SAME_MONTH, 2)))
+    def alone(g: Column, raw: Column) -> Column:
+        return found(start_of(g, 1, 2, 3), None, raw)
 
-    d, m, _, y = first(OPEN_START, 1, 2, 3)
-    opened = found(OPEN_START, real_date(y, m, d), None)
+    def tried(t: Column, pattern: str, n: int, read: Callable[[Column, Column], Column]) -> Column:
+        return _let(F.regexp_extract(t, pattern, 0), lambda raw: F.when(raw != "", _let(_groups(raw, pattern, n), lambda g: read(g, raw))))
 
-    d, m, _, y = first(SINGLE, 1, 2, 3)
-    single = found(SINGLE, real_date(y, m, d), None)
-    return F.coalesce(cross, same, opened, single)
+    return _let(fold(text), lambda t: F.coalesce(tried(t, CROSS_MONTH, 6, cross), tried(t, SAME_MONTH, 4, same), tried(t, OPEN_START, 3, alone), tried(t, SINGLE, 3, alone)))
 
 
 def ends_before(found: Column, day: Column) -> Column:
@@ -85,8 +102,8 @@ def ends_before(found: Column, day: Column) -> Column:
 
 def spanish_date(text: Column) -> Column:
     """The first full date in the text; null if there is none or it isn't real."""
-    t = fold(text)
-    return real_date(_number(t, FULL_DATE, 3), month_number(F.regexp_extract(t, FULL_DATE, 2)), _number(t, FULL_DATE, 1))
+    read = lambda g: real_date(_number(g, 3), _month(g, 2), _number(g, 1))
+    return _let(F.regexp_extract(fold(text), FULL_DATE, 0), lambda raw: F.when(raw != "", _let(_groups(raw, FULL_DATE, 3), read)))
 
 
 def day_start(day: Column) -> Column:
@@ -113,8 +130,8 @@ def dmy_time_text(text: Column) -> Column:
 def dashed_date(text: Column) -> Column:
     """dd-MM-yyyy as a date; null if it isn't real."""
     pattern = r"^(\d{2})-(\d{2})-(\d{4})$"
-    month = _number(text, pattern, 2)
-    return F.when(month.between(1, 12), real_date(_number(text, pattern, 3), F.when(month.between(1, 12), month), _number(text, pattern, 1)))
+    year, month, day = (extracted(text, pattern, i).cast("int") for i in (3, 2, 1))
+    return F.when(month.between(1, 12), real_date(year, F.when(month.between(1, 12), month), day))
 
 
 def relabelled_utc(text: Column) -> Column:
