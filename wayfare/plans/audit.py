@@ -54,17 +54,17 @@ def audit_institution(listed: DataFrame, details: DataFrame, institution: str, n
     once = Window.partitionBy("id").orderBy("url")
     items = listed.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n").filter(F.col("datetime") >= cutoff)
     items = items.withColumn("hit", gates.passes_listing(F.col("title"), F.col("description")))
-    order = Window.partitionBy("hit").orderBy(F.col("datetime").desc(), F.col("id").desc())
-    items = items.withColumn("nth", F.row_number().over(order)).withColumn("posted", F.substring("datetime", 1, 10).try_cast("date"))
+    judged_ids = items.filter("hit").orderBy(F.col("datetime").desc(), F.col("id").desc()).limit(DETAILS_MOST).select("id", F.lit(True).alias("within_cap"))
+    items = items.join(judged_ids, "id", "left").withColumn("posted", F.substring("datetime", 1, 10).try_cast("date"))
     pages = details.select(F.col("url").alias("link"), "kind", "body")
-    frame = items.join(pages, "link", "left").withColumn("main", F.when(F.col("hit") & (F.col("nth") <= DETAILS_MOST), main_text(F.col("body"))))
+    frame = items.join(pages, "link", "left").withColumn("main", F.when(F.col("within_cap"), main_text(F.col("body"))))
     frame = frame.withColumn("text", F.concat("title", F.lit("\n"), F.coalesce("main", F.lit("")))).withColumn("folded", fold(F.col("text")))
     frame = frame.withColumn("keywords", gates.trigger_keywords(F.col("folded"))).withColumn("found", date_range(F.col("text"), F.col("posted")))
     kind, lima = F.coalesce("kind", F.lit("transient")), gates.in_lima(F.col("folded"))
     past = F.coalesce(ends_before(F.col("found"), F.col("posted")), F.lit(False))
     stage = (
         F.when(~F.col("hit"), F.lit("no-trigger-listing"))
-        .when(F.col("nth") > DETAILS_MOST, F.lit("detail-cap-skipped"))
+        .when(F.col("within_cap").isNull(), F.lit("detail-cap-skipped"))
         .when(kind != "ok", F.concat(F.lit("detail-fetch-failed-"), kind))
         .when(F.size("keywords") == 0, F.lit("no-trigger"))
         .when(~gates.near_road(F.col("folded")), F.lit("no-road-context"))

@@ -155,7 +155,7 @@ SQL_STATE = """(SELECT event_type AS source_id, max(ts) AS last_run_at, max(ts)
 def read_state(spark, sf_dir) -> DataFrame:
     events, good = table(spark, sf_dir, "events"), F.col("value") >= 10
     ok = events.filter(good).groupBy("event_type").agg(F.max("ts").alias("ok"))
-    since = events.join(F.broadcast(ok), "event_type", "left")
+    since = events.join(ok, "event_type", "left")
     late = ~good & (F.col("ts") > F.coalesce("ok", F.lit("1970-01-01").cast("timestamp_ntz")))
     return since.groupBy(F.col("event_type").alias("source_id")).agg(F.max("ts").alias("last_run_at"), F.max(F.when(good, F.col("ts"))).alias("last_success_at"), F.count_if(late).alias("consecutive_failures"))
 
