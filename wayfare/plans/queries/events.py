@@ -15,6 +15,7 @@ from wayfare.functions import dates
 from wayfare.functions.geo import point, point_text
 from wayfare.functions.text import category_label, joined_parts, looked_up
 from wayfare.operators import cursors, filters, summaries
+from wayfare.plans import serving
 from wayfare.plans.queries import Group, table
 
 group = Group()
@@ -116,6 +117,25 @@ def event_shape_nullable_point(spark, sf_dir):
     return events.select("id", "location.lng", "location.lat", point_text(F.col("location")).alias("place"))
 
 
+CENTRE = (-76.1, -11.9)
+SQL_DISTANCE = f"""2 * 6371008.8 * asin(sqrt(pow(sin((radians({CENTRE[1]}) - radians(lat)) / 2), 2)
+  + cos(radians(lat)) * cos(radians({CENTRE[1]})) * pow(sin((radians({CENTRE[0]}) - radians(lng)) / 2), 2)))"""
+
+
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_events(spark, sf_dir).withColumn("location", point(F.col("lng"), F.col("lat")))
+
+
+@group(f"SELECT id FROM {SQL_EVENTS} WHERE lng IS NOT NULL AND {SQL_DISTANCE} <= 60000")
+def events_near_point(spark, sf_dir):
+    return serving.events_near(located(spark, sf_dir), *CENTRE, 60000).select("id")
+
+
+@group(f"SELECT id, round({SQL_DISTANCE}, 3) AS distance_m FROM {SQL_EVENTS} WHERE lng IS NOT NULL ORDER BY {SQL_DISTANCE}, id LIMIT 25")
+def events_nearest(spark, sf_dir):
+    return serving.nearest_events(located(spark, sf_dir), *CENTRE, 25).select("id", F.round("distance_m", 3).alias("distance_m"))
+
+
 @group(f"""SELECT lng, lat, count(*) AS n, arg_min(category, struct_pack(s := start_at, i := id)) AS first_category
 FROM {SQL_EVENTS} WHERE lng IS NOT NULL GROUP BY 1, 2""")
 def group_by_point(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.dates import iso_utc
-from wayfare.functions.geo import point, within
+from wayfare.functions.geo import distance_m, point, within
 from wayfare.functions.text import category_label, joined_parts, source_label, state_label
 from wayfare.operators.filters import all_of, overlaps, visible
 from wayfare.operators.summaries import by_point, facets, freshness, severity
@@ -86,6 +86,12 @@ def events_near(events: DataFrame, lng: float, lat: float, metres: float) -> Dat
     return events.filter(within(F.col("location"), lng, lat, metres))
 
 
+def nearest_events(events: DataFrame, lng: float, lat: float, k: int) -> DataFrame:
+    """The k located events nearest to a point, with their distance in metres: a top-k per task, then of those."""
+    centre = F.struct(F.lit(lng).alias("lng"), F.lit(lat).alias("lat"))
+    return events.filter(F.col("location").isNotNull()).withColumn("distance_m", distance_m(F.col("location"), centre)).orderBy("distance_m", "id").limit(k)
+
+
 def region_tree(regions: DataFrame, depth: int = 4) -> DataFrame:
     """Each region with the slugs from its root down; levels are few, so one join per level."""
     tree = regions.filter("parent_id is null").select("id", F.array("slug").alias("path"))
