@@ -49,13 +49,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, keep_order: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and every executor can read it."""
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and every executor can read it.
+
+    The result is lazy, so the files stay until the session's end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}.parquet"
-    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions_for(spark: SparkSession, size: int, each: int) -> int:
+    """Shuffle partitions for ``size`` units of which a task can hold ``each``: the session's number, or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", budget: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

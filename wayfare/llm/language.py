@@ -26,6 +26,8 @@ from wayfare.llm.common import blocks
 ORDER = 4
 #: The bound of the sample: rows of each language, and characters of each, from a seeded place in the text.
 ROWS_PER_LANGUAGE = 400
+#: Languages that are learned: those with the most labelled rows.
+MOST_LANGUAGES = 500
 CHARS_PER_ROW = 8000
 #: Every so many-th row of the sample calibrates and isn't learned from.
 CALIBRATE_EVERY = 4
@@ -216,7 +218,8 @@ def posterior(nats: np.ndarray, length: np.ndarray, temperature: float) -> np.nd
 def train(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS_PER_ROW, seed: int = 11) -> Model:
     """labelled: text and lang. Fit on at most ``rows`` rows of each language and ``chars`` characters of each, chosen by a seeded hash."""
     labelled = labelled.filter("text is not null and lang is not null").select("lang", "text")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    labelled = labelled.filter(F.col("lang").isin(*sizes))
     if not sizes:
         return Model()
     # The chance of a row is set so that a little more than enough are chosen; a window over those few then takes exactly enough.

@@ -33,11 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.common import partitions_for
+
 LENGTH = 100
 KGRAM = 32
 #: Bytes that are hashed at a time, and bytes of text whose suffixes make a run.
 SEGMENT_BYTES = 1 << 18
 RUN_BYTES = 8 << 20
+#: Bytes of text whose anchors, and at most whose suffixes, a task holds after an exchange.
+TASK_BYTES = 64 << 20
 
 _U = np.uint64
 _ONES = ~_U(0)
@@ -520,7 +524,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(spark, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], TASK_BYTES)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "doc_id", "text"
     )
