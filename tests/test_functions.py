@@ -51,6 +51,11 @@ def test_labels(spark):
     assert one(spark, a=text.joined_parts(F.lit("a"), F.lit(None), F.lit(""), F.lit("b"))).a == "a · b"
 
 
+def test_absolute_url(spark):
+    urls = column(spark, ["/a", "//h/b", "https://x/c"], text.absolute_url(F.col("x"), "https://o"))
+    assert urls == ["https://o/a", "https://h/b", "https://x/c"]
+
+
 def test_require_fails_the_query(spark):
     from pyspark.errors import PySparkException
 

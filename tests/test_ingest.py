@@ -161,6 +161,12 @@ def test_snapshot_replaces_and_survives_failure(spark, store):
     assert table(store, "ingest_state", "source_id")["sutran-alerts"].consecutive_failures == 0
 
 
+def test_snapshot_of_an_unknown_level_is_refused(spark, store):
+    rows = scans.alert_scan(lambda s, p: alert_pages(spark))().withColumn("estado", F.lit("lento"))
+    with pytest.raises(ContractError, match="level lento"):
+        ingest.replace_road_alerts(store, rows, NOW)
+
+
 def test_import(spark, store):
     source, counts = ingest.import_events(store, events(spark, event("a", source="manual")), NOW, ["mml"])
     assert (source, counts.inserted) == ("manual", 1) and ingest.import_events(store, events(spark, event("a", source="manual")), NOW)[1].updated == 1

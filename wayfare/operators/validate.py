@@ -70,7 +70,7 @@ def region_violations() -> Column:
 
 
 def alert_violations() -> Column:
-    return violations(estado=F.col("estado").isin(*schemas.ALERT_LEVELS), location=F.col("location").isNotNull())
+    return violations(estado=F.coalesce(F.col("estado").isin(*schemas.ALERT_LEVELS), F.lit(False)), location=F.col("location").isNotNull() & is_valid_point(F.col("location")))
 
 
 def orphans(rows: DataFrame, key: str, referenced: DataFrame, by: str = "id") -> DataFrame:

@@ -29,10 +29,6 @@ def outcome(status: int | None) -> str:
     return "ok" if status is not None and 200 <= status < 300 else "http-4xx" if status is not None and 400 <= status < 500 else "transient"
 
 
-def outcome_of(status: Column) -> Column:
-    return F.when(status.between(200, 299), F.lit("ok")).when(status.between(400, 499), F.lit("http-4xx")).otherwise(F.lit("transient"))
-
-
 def retried(first: DataFrame, second: DataFrame) -> DataFrame:
     """First pass, with transient failures replaced by what a second and last pass got; dropped: those it didn't get."""
     again = second.select(F.col("url"), F.struct("kind", "status", "body").alias("again"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +12,7 @@ from wayfare.functions import gates
 from wayfare.functions import vocabulary as V
 from wayfare.functions.dates import date_range, day_end, day_start, end_after_start, relabelled_utc
 from wayfare.functions.geo import POINT
-from wayfare.functions.text import extracted, fold, looked_up, require, slug
+from wayfare.functions.text import fold, looked_up, require, slug
 from wayfare.operators.validate import ContractError
 from wayfare.sources import markup
 from wayfare.sources.captures import class_text, ld_json, parsed
@@ -348,14 +347,3 @@ def news_listing(pages: DataFrame, institution: str) -> DataFrame:
 
     return parsed(pages, rows, LISTED)
 
-
-def payload_field(payload: Column, name: str) -> Column:
-    return F.get_json_object(payload, f"$.{name}")
-
-
-def as_json(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False)
-
-
-def news_id(url: Column) -> Column:
-    return extracted(url, r"/noticias/(\d+)-").cast("long")
