@@ -11,7 +11,6 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc

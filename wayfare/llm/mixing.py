@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import stored, whole_text
+from wayfare.llm.common import stored
 
 #: A leaf's rows meet its budget in so many groups, so that a large leaf isn't one group.
 SALTS = 64
