@@ -31,13 +31,23 @@ class Band:
     most: float
 
 
-#: Bands by length in bytes. Prose of natural or invented words lies well inside; a piece under the first bound isn't judged.
+#: Bands by length in bytes. The least lies between base64 or random letters and digits and the clean texts of that
+#: length, the most somewhat above the clean ones; a piece under the first bound isn't judged.
 BANDS = (
     Band(256, 0.0, float("inf")),
-    Band(1024, 1.15, 3.0),
-    Band(4096, 1.25, 4.0),
-    Band(16384, 1.3, 5.0),
-    Band(1 << 62, 1.3, 6.0),
+    Band(512, 1.3, 2.1),
+    Band(1024, 1.38, 2.4),
+    Band(4096, 1.5, 3.0),
+    Band(16384, 1.8, 3.2),
+    Band(1 << 62, 2.0, 3.4),
+)
+#: The same for the chunks of a text of several.
+CHUNK_BANDS = (
+    Band(256, 0.0, float("inf")),
+    Band(512, 1.3, 2.1),
+    Band(1024, 1.33, 2.4),
+    Band(4096, 1.6, 3.0),
+    *BANDS[4:],
 )
 CHUNK_BYTES = 4096
 #: A text is rejected if more than this share of its chunks' bytes lies outside the limits.
@@ -72,7 +82,7 @@ def outside(size: int, ratio: float, bands: tuple[Band, ...]) -> str:
     return "repetitive" if ratio > band.most else "incompressible" if ratio < band.least else ""
 
 
-def quality(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES, bad_share: float = BAD_CHUNK_SHARE, level: int = 3) -> DataFrame:
+def quality(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES, bad_share: float = BAD_CHUNK_SHARE, level: int = 3, chunk_bands: tuple[Band, ...] = CHUNK_BANDS) -> DataFrame:
     """One row per row of ``docs``: statistics, whether the base rule fails, and whether the text is kept.
 
     verdict says why a text goes: ``base``, ``repetitive``, ``incompressible``
@@ -107,7 +117,8 @@ def quality(docs: DataFrame, bands: tuple[Band, ...] = BANDS, chunk_bytes: int =
                 whole = ratio(text)
                 sizes = [min(chunk_bytes, len(text) - i) for i in range(0, len(text), chunk_bytes)]
                 ratios = [whole] if len(sizes) == 1 else [ratio(text[i * chunk_bytes : i * chunk_bytes + s]) for i, s in enumerate(sizes)]
-                bad = sum(s for s, r in zip(sizes, ratios, strict=True) if outside(s, r, bands))
+                limits = bands if len(sizes) == 1 else chunk_bands
+                bad = sum(s for s, r in zip(sizes, ratios, strict=True) if outside(s, r, limits))
                 why = "base" if failed else outside(len(text), whole, bands) or ("chunks" if bad > bad_share * len(text) else "kept")
                 row = (n, chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeats, failed, why == "kept", len(text), whole, min(ratios, default=1.0), max(ratios, default=1.0), bad, why)
                 for name, value in zip(names[1:], row, strict=True):
