@@ -6,7 +6,9 @@ A text is winnowed the same way, so whatever shares GRAM + WINDOW - 1 words in a
 row with a template shares a fingerprint with it. Hits whose places say that
 the template would begin at about the same word form a candidate, and the
 template is aligned with the words around there, in a band of diagonals: words
-may be changed, missing or added. What matches gives coverage and span.
+may be changed, missing or added. What matches gives coverage and span. The
+words that tell a licence from its kin must be there whatever the coverage: a
+version, the name in a short notice, and no term that makes another licence of it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ BAND, BAND_SHARE = 4, 0.1
 #: The least share of a template's fingerprints that a candidate has, and of its words that a match has in order.
 HIT_SHARE, COVERAGE = 0.1, 0.8
 MEMO_ENTRIES = 500_000
+#: Templates of so many words at most are short: all of their words but these identify the licence.
+SHORT_WORDS = 20
+FILLER = frozenset("a an the this that is are it of in into under to and or work software free licensed license licence released international".split())
+#: Words that make another licence of a template without them; the second only within short ones.
+OTHER_LICENSE = ("lesser", "affero", "noncommercial", "sharealike", "noderivatives", "noderivs")
+OTHER_SHORT_LICENSE = ("nc", "sa", "nd", "commercial", "alike", "derivatives", "derivs")
 
 WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, license string, template int, coverage double, matched_words long, template_words long, first_word long, start long, end long"
@@ -58,12 +66,37 @@ def winnowed(grams: np.ndarray) -> np.ndarray:
     return places[(places >= 0) & (places < len(grams))]
 
 
+def identity(words: Sequence[str]) -> tuple[list[int], list[list[int]], frozenset[int]]:
+    """Hashes of the words that a match has in order, of the versions that it has in a row, and of the words that it hasn't."""
+    words = [w.lower() for w in words]
+    short = len(words) <= SHORT_WORDS
+    versions = []
+    for i, word in enumerate(words):
+        end = i + 1
+        while end < len(words) and words[end].isdigit():
+            end += 1
+        if word in ("version", "v") and end > i + 1:
+            versions.append([word_hash(w) for w in words[i:end]])
+    named = [word_hash(w) for w in words if w not in FILLER] if short else []
+    return named, versions, frozenset(word_hash(w) for w in OTHER_LICENSE + OTHER_SHORT_LICENSE * short if w not in words)
+
+
+def identified(span: Sequence[int], named: Sequence[int], versions: Sequence[Sequence[int]], others: frozenset[int]) -> bool:
+    rest = iter(span)
+    return (
+        all(w in rest for w in named)
+        and all(any(list(span[i : i + len(v)]) == v for i in range(len(span) - len(v) + 1)) for v in versions)
+        and others.isdisjoint(span)
+    )
+
+
 class Index:
     """fingerprints: sorted; per fingerprint the (template, place) pairs."""
 
     def __init__(self, templates: Mapping[str, Sequence[str]]):
         self.names = [(name, i) for name, texts in templates.items() for i in range(len(texts))]
         self.words = [np.array([word_hash(w) for w in WORD.findall(templates[name][i])], np.uint64) for name, i in self.names]
+        self.identity = [identity(WORD.findall(templates[name][i])) for name, i in self.names]
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.n_prints = []
         for t, words in enumerate(self.words):
@@ -115,7 +148,7 @@ def align(template: np.ndarray, words: np.ndarray, begin: int, band: int) -> tup
 
 
 def find(index: Index, words: np.ndarray, hits: Sequence[tuple[int, int, int]], coverage: float) -> list[tuple[int, int, int, int]]:
-    """(template, matched, first word, last word) of a text's matches; one within another that matches more words is left out."""
+    """(template, matched, first word, last word) of a text's matches; one within another that matches as many words is left out, unless span and coverage are the same too."""
     found = []
     by_template: dict[int, list[int]] = defaultdict(list)
     for place, t, p in hits:
@@ -129,18 +162,19 @@ def find(index: Index, words: np.ndarray, hits: Sequence[tuple[int, int, int]],
             if i == len(begins) or begins[i] - begins[i - 1] > band or begins[i] - begins[start] > 2 * band:
                 if i - start >= HIT_SHARE * index.n_prints[t]:
                     matched, first, last = align(template, words, begins[(start + i) // 2], band)
-                    if matched >= coverage * len(template):
+                    if matched >= coverage * len(template) and identified(words[first : last + 1].tolist(), *index.identity[t]):
                         found.append((t, matched, first, last))
                 start = i
-    found.sort(key=lambda m: (m[2], -m[1], m[0]))
+    found = sorted(set(found), key=lambda m: (m[2], -m[1], -m[3], len(index.words[m[0]]), m[0]))
     kept: list[tuple[int, int, int, int]] = []
-    ends: list[tuple[int, int]] = []
-    for m in found:
-        while ends and ends[-1][0] < m[2]:
+    ends: list[tuple[int, int, int, int]] = []
+    for t, matched, first, last in found:
+        while ends and ends[-1][0] < first:
             ends.pop()
-        if not any(last >= m[3] and (matched > m[1] or (matched == m[1])) for last, matched in ends):
-            kept.append(m)
-            ends.append((m[3], m[1]))
+        this = (last, matched, first, len(index.words[t]))
+        if not any(other[0] >= last and other[1] >= matched and other != this for other in ends):
+            kept.append((t, matched, first, last))
+            ends.append(this)
             ends.sort(reverse=True)
     return kept
 
