@@ -200,7 +200,7 @@ def test_language_without_labels(make):
 
 def test_language_model_is_a_distribution(make):
     """Over all characters after a context, interpolated probabilities sum to about one."""
-    model = language.train(make(corpus()))
+    (model,) = language.train(make(corpus())).models()
     alphabet = sorted({c if c.isalpha() else " " for _, t, *_ in corpus() for c in t})
     for context in ("the", "und", "été"):
         points = np.array([ord(c) for a in alphabet for c in context + a], np.uint32)
@@ -214,4 +214,82 @@ def test_language_model_is_a_distribution(make):
 
 def test_language_learns_from_no_more_than_the_bound(make):
     model = language.train(make(corpus()), rows=8, chars=50)
-    assert model.languages == sorted(LANGUAGES) and len(model.grams[language.ORDER][0]) <= 3 * 8 * 60
+    assert model.languages == sorted(LANGUAGES) and len(model.models()[0].grams[language.ORDER][0]) <= 3 * 8 * 60
+
+
+def test_language_of_repeated_texts_is_learned(make):
+    rows = [r for r in corpus() if r[2] == "en"] + [(5000 + i, LANGUAGES["fr"] + f" texte {i % 3}", "fr", "s") for i in range(60_000)]
+    model = language.train(make(rows))
+    assert model.languages == ["en", "fr"]
+    got = language.identify(make(rows), model).filter("doc_id >= 5000").groupBy("lang_pred").count().collect()
+    assert [tuple(r) for r in got] == [("fr", 60_000)]
+
+
+def test_language_labels_without_letters(make):
+    rows = corpus() + [(9000 + i, t, "zz", "s") for i, t in enumerate(["", "123 456", None, "$$", " "] * 4)]
+    model = language.train(make(rows))
+    assert model.languages == sorted(LANGUAGES)
+    got = {r.doc_id: r.lang_pred for r in language.language_digest(make(rows)).collect()}
+    assert all(got[9000 + i] == "und" for i in range(20)) and got[3] == "en"
+
+
+def test_one_language_and_one_text(make):
+    rows = [(1, "only one text of one language", "en", "s"), (2, "12", "de", "s")]
+    model = language.train(make(rows))
+    assert model.languages == ["en"]
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in language.identify(make(rows), model).collect()}
+    assert got == {1: ("en", False), 2: ("und", True)}
+
+
+def test_languages_in_blocks_and_passes(make, monkeypatch):
+    whole = language.train(make(corpus()))
+    monkeypatch.setattr(language, "BLOCK_CELLS", 1)
+    monkeypatch.setattr(language, "PASS_BYTES", 1)
+    split = language.train(make(corpus()))
+    assert len(whole.passes) == 1 and len(split.passes) == 3
+    rows = make([*corpus(8), (7000, "x", None, None), (7001, None, None, None)])
+    a, b = ({r.doc_id: r for r in language.identify(rows, m).collect()} for m in (whole, split))
+    for i in a:
+        assert a[i].lang_pred == b[i].lang_pred and a[i].rejected == b[i].rejected
+        assert abs(a[i].score - b[i].score) < 1e-3 and abs(a[i].cross_entropy - b[i].cross_entropy) < 1e-5
+    assert sorted(r.doc_id for r in language.accepted(rows, whole).collect()) == sorted(r.doc_id for r in language.accepted(rows, split).collect())
+
+
+def plain_kneser_ney(texts, alphabet):
+    """p(character after context), straight from the definition, on strings."""
+    top = language.ORDER
+    padded = ["\x01" * (top - 1) + re.sub(r"[^a-zà-ÿ]+", " ", t.lower()) for t in texts]
+    seen = {n: {} for n in range(1, top + 1)}
+    for t in padded:
+        for i in range(top - 1, len(t)):
+            for n in range(1, top + 1):
+                g = t[i - n + 1 : i + 1]
+                seen[n][g] = seen[n].get(g, 0) + 1
+    count = {top: seen[top]}
+    for n in range(1, top):
+        count[n] = {g: len({h[0] for h in seen[n + 1] if h[1:] == g}) for g in seen[n]}
+
+    def p(context, c, n=top):
+        if n == 0:
+            return 1 / alphabet
+        context = context[len(context) - (n - 1) :] if n > 1 else ""
+        once, twice = (sum(k == x for k in count[n].values()) for x in (1, 2))
+        discount = min(max((once + 0.5) / (once + 2 * twice + 1), 0.1), 0.9)
+        after = {g: k for g, k in count[n].items() if g[:-1] == context}
+        mass = sum(after.values())
+        if not mass:
+            return p(context, c, n - 1)
+        return max(after.get(context + c, 0) - discount, 0) / mass + min(len(after) * discount, mass) / mass * p(context, c, n - 1)
+
+    return p
+
+
+def test_probabilities_are_plain_kneser_neys(make):
+    texts = ["the cat sat on the mat", "that cat ate the rat", "a hat that sat"]
+    model = language.train(make([(i, t, "en", "s") for i, t in enumerate(texts)]))
+    alphabet = len(set("".join(texts))) + 1
+    p = plain_kneser_ney(texts, alphabet)
+    for text in ("the cat", "tah", "zzz", "mat a", "rat the hat"):
+        want = -sum(np.log(p(("\x01" * 3 + text)[i : i + 3], c)) for i, c in enumerate(text)) / len(text)
+        length, nats = language.cross_entropies(model.models(), [text.encode()])
+        assert length[0] == len(text) and abs(nats[0, 0] - want) < 1e-4

@@ -1,41 +1,51 @@
 """Language ID with interpolated Kneser-Ney character models.
 
 Each language has a model of character n-grams up to ``ORDER``. n-grams are
-hashed to 64 bits and kept in sorted arrays, one per order for all languages
-together, beside a matrix of log probabilities: one search finds an n-gram in
-every language. A text gets the language of the lowest cross-entropy per
-character, and is rejected where that cross-entropy is far above what held-back
-labelled rows of that length have in that language.
-
-The models are fitted on a bounded sample of labelled rows; every text is
-scored as a whole.
+hashed to 64 bits and kept in sorted arrays, one per order for a block of
+languages, beside a matrix of log probabilities: one search finds an n-gram in
+every language of the block. A text gets the language of the lowest
+cross-entropy per character. It is rejected where that is nearer to what the
+language gives texts of its nearest neighbours than to what it gives its own,
+both measured for that length on held-back labelled rows.
+
+The models are fitted on a bounded number of labelled texts, each as a whole,
+and on executors: n-grams are counted and summed as rows, and each block of
+languages is fitted by a task of its own. Every text is scored as a whole. More
+languages than ``PASS_BYTES`` of models are scored in several passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import random
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wayfare.llm.common import blocks
+from wayfare.llm.common import blocks, stored
 
 ORDER = 4
-#: The bound of the sample: rows of each language, and characters of each, from a seeded place in the text.
+#: The bound of the sample: different texts of each language.
 ROWS_PER_LANGUAGE = 400
-#: Languages that are learned: those with the most labelled rows.
-MOST_LANGUAGES = 500
-CHARS_PER_ROW = 8000
-#: Every so many-th row of the sample calibrates and isn't learned from.
+#: Every so many-th text of the sample calibrates and isn't learned from.
 CALIBRATE_EVERY = 4
-#: Lengths, in letters and gaps, at which the limit of rejection changes; and nats per character above the calibration rows' 95th percentile.
-#: A percentile, not the worst: some labelled rows are no language at all. Text with a passage in another language stays within the slack.
+#: Lengths, in letters and gaps, at which the limit of rejection changes; and the characters of the pieces, cut from calibrating texts, that set it.
 LENGTHS = (20, 100, 500)
-SLACK = (2.5, 1.8, 1.5, 1.3)
-PERCENTILE = 95
+PIECES = (10, 20, 100, 500)
+PIECES_PER_TEXT = 3
+#: Percentiles of a language's own pieces and of its nearest neighbours' pieces between which the limit lies half-way; it is never under OWN_LEAST.
+OWN, OWN_LEAST, RIVAL = 95, 99, 5
+#: Nats per character above OWN where no other language is there to compare with.
+SLACK = 1.5
+TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+#: n-grams times languages of a block that is fitted and searched as one matrix; bytes of models that are broadcast at once.
+BLOCK_CELLS = 4 << 20
+PASS_BYTES = 128 << 20
 
 UNKNOWN = "und"
 GAP, START = 32, 1
@@ -95,33 +105,26 @@ def shifted(a: np.ndarray) -> np.ndarray:
 
 
 def count_grams(texts: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order: distinct grams with their context's and suffix's hashes, and counts; below the highest order the number of different characters before."""
+    """Per order: distinct grams with their context's and suffix's hashes, and how often they occur."""
     points, _ = characters(texts)
     hashes = gram_hashes(points)
-    real = points != START
+    at = np.flatnonzero(points != START)
     out = []
     for n in range(1, ORDER + 1):
-        at = np.flatnonzero(real)
         gram, first, count = np.unique(hashes[n][at], return_index=True, return_counts=True)
         first = at[first]
-        if n < ORDER:
-            longer = np.unique(np.stack([hashes[n + 1][at], hashes[n][at]]), axis=1)[1]
-            gram_of, count = np.unique(longer, return_counts=True)
-            count = count[np.searchsorted(gram_of, gram)]
         out.append((n, gram, shifted(hashes[n - 1])[first], hashes[n - 1][first], count))
     return out
 
 
 @dataclass
 class Model:
-    """grams[n]: sorted hashes, and log p per language. backoff[n]: sorted hashes of contexts of n characters, and log of their weight per language."""
+    """A block of languages. grams[n]: sorted hashes, and log p per language. backoff[n]: sorted hashes of contexts of n characters, and log of their weight per language."""
 
     languages: list[str] = field(default_factory=list)
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     backoff: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     floor: np.ndarray | None = None
-    limits: np.ndarray | None = None
-    temperature: float = 1.0
 
     def log_p(self, hashes: list[np.ndarray], contexts: list[np.ndarray], n: int = ORDER) -> np.ndarray:
         """For each position a row: log p of its character in every language. contexts[n]: of the n characters before."""
@@ -138,29 +141,42 @@ class Model:
             out[missed] = np.where((contexts_known[at] == context)[:, None], weights[at], 0) + self.log_p([h[missed] for h in hashes], [c[missed] for c in contexts], n - 1)
         return out
 
-    def cross_entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: scored characters, and nats per character in every language."""
-        points, starts = characters(texts)
-        hashes = gram_hashes(points)
-        real = np.flatnonzero(points != START)
-        per_text = np.diff(starts) - (ORDER - 1)
-        sums = np.zeros((len(texts), len(self.languages)))
-        if len(real):
-            logs = self.log_p([h[real] for h in hashes], [shifted(h)[real] for h in hashes[:ORDER]])
-            has = per_text > 0
-            sums[has] = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(per_text)[:-1]])[has], axis=0, dtype=np.float64)
-        return per_text, -sums / np.maximum(per_text, 1)[:, None]
-
-
-def fit(counts: pa.Table) -> Model:
-    """Interpolated Kneser-Ney probabilities from counts of all languages; unseen grams get what backing off gives them."""
-    languages = sorted(set(counts["lang"].to_pylist()))
+
+def cross_entropies(models: list[Model], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: scored characters, and nats per character in every language of the models."""
+    points, starts = characters(texts)
+    hashes = gram_hashes(points)
+    real = np.flatnonzero(points != START)
+    per_text = np.diff(starts) - (ORDER - 1)
+    sums = np.zeros((len(texts), sum(len(m.languages) for m in models)))
+    if len(real):
+        at, before = [h[real] for h in hashes], [shifted(h)[real] for h in hashes[:ORDER]]
+        has = per_text > 0
+        begins = np.concatenate([[0], np.cumsum(per_text)[:-1]])[has]
+        sums[has] = np.hstack([np.add.reduceat(m.log_p(at, before), begins, axis=0, dtype=np.float64) for m in models])
+    return per_text, -sums / np.maximum(per_text, 1)[:, None]
+
+
+def fit(counts: pa.Table, alphabet: int) -> Model:
+    """Interpolated Kneser-Ney probabilities from how often grams occur; unseen grams get what backing off gives them.
+
+    Below the highest order a gram counts once for each different character
+    before it. alphabet: the number of characters that the floor is shared by.
+    """
+    coded = counts["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(coded.dictionary.to_pylist())
     model = Model(languages, [(np.zeros(0, np.uint64), np.zeros((0, len(languages)), np.float32))])
-    lang = np.array([languages.index(x) for x in counts["lang"].to_pylist()])
+    place = {x: k for k, x in enumerate(languages)}
+    lang = np.array([place[x] for x in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
     order = counts["n"].to_numpy()
     columns = {c: counts[c].to_numpy().view(np.uint64) for c in ("gram", "context", "suffix")}
     number = counts["count"].to_numpy().astype(np.float64)
-    alphabet = len(np.unique(columns["gram"][order == 1])) + 1
+    for n in range(1, ORDER):
+        rows, longer = np.flatnonzero(order == n), np.flatnonzero(order == n + 1)
+        known = np.unique(columns["gram"][rows])
+        cell = np.searchsorted(known, columns["suffix"][longer]) * len(languages) + lang[longer]
+        before = np.bincount(cell, minlength=len(known) * len(languages))
+        number[rows] = before[np.searchsorted(known, columns["gram"][rows]) * len(languages) + lang[rows]]
     for n in range(1, ORDER + 1):
         rows = np.flatnonzero(order == n)
         known, first, back = np.unique(columns["gram"][rows], return_index=True, return_inverse=True)
@@ -191,115 +207,239 @@ def fit(counts: pa.Table) -> Model:
     return model
 
 
-def calibrate(model: Model, texts: list[bytes], languages: list[str]) -> None:
-    """Set the limits of rejection per length and language, and the temperature at which scores fit how often predictions are right."""
-    model.limits = np.full((len(LENGTHS) + 1, len(model.languages)), np.inf)
-    if not texts:
-        return
-    length, nats = model.cross_entropies(texts)
-    truth = np.array([model.languages.index(x) for x in languages])
-    own = nats[np.arange(len(texts)), truth]
-    band = np.searchsorted(LENGTHS, length, side="right")
-    for b in range(len(LENGTHS) + 1):
-        for k in range(len(model.languages)):
-            seen = own[(band >= b) & (truth == k) & (length > 0)]
-            # Without rows so long, the limit of shorter ones holds.
-            model.limits[b, k] = np.percentile(seen, PERCENTILE) + SLACK[b] if len(seen) else model.limits[max(b - 1, 0), k]
-    loss = {t: -np.log(np.maximum(posterior(nats, length, t)[np.arange(len(texts)), truth], 1e-9)).mean() for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)}
-    model.temperature = min(loss, key=loss.get)
-
-
-def posterior(nats: np.ndarray, length: np.ndarray, temperature: float) -> np.ndarray:
-    logs = -nats * (length * temperature)[:, None]
-    p = np.exp(logs - logs.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
-
-
-def train(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS_PER_ROW, seed: int = 11) -> Model:
-    """labelled: text and lang. Fit on at most ``rows`` rows of each language and ``chars`` characters of each, chosen by a seeded hash."""
-    labelled = labelled.filter("text is not null and lang is not null").select("lang", "text")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    labelled = labelled.filter(F.col("lang").isin(*sizes))
+@dataclass
+class Classifier:
+    """passes: the blocks that are broadcast together, as rows of ``fitted`` (block, model). limits[length][language]: nats per character beyond which a text is rejected."""
+
+    languages: list[str] = field(default_factory=list)
+    passes: list[list[int]] = field(default_factory=list)
+    fitted: DataFrame | None = None
+    limits: np.ndarray | None = None
+    temperature: float = 1.0
+
+    def models(self, number: int = 0) -> list[Model]:
+        """The models of a pass, in order of their languages."""
+        if not self.languages:
+            return []
+        rows = self.fitted.filter(F.col("block").isin(self.passes[number])).orderBy("block").collect()
+        return [pickle.loads(r["model"]) for r in rows]
+
+
+#: What is known of a text after some of the passes, as an array of numbers; then one more for each temperature.
+LENGTH, BEST, NATS, OWN_NATS, RIVAL_AT, RIVAL_NATS, SUMS = range(7)
+
+
+def folded(models: list[Model], texts: list[bytes], first: int, temperatures: tuple[float, ...], truth: np.ndarray | None, was: np.ndarray | None) -> np.ndarray:
+    """The state of each text after a pass. first: the number of the models' first language; truth: that of each text's own. Equal cross-entropies: the first language."""
+    state = np.full((len(texts), SUMS + len(temperatures)), np.inf)
+    state[:, LENGTH] = 0
+    if not models:
+        return state
+    length, nats = cross_entropies(models, texts)
+    every = np.arange(len(texts))
+    state[:, LENGTH], state[:, BEST] = length, nats.argmin(axis=1) + first
+    state[:, NATS] = nats.min(axis=1)
+    for k, t in enumerate(temperatures):
+        state[:, SUMS + k] = np.logaddexp.reduce(-nats * (length * t)[:, None], axis=1)
+    if truth is not None:
+        here = np.flatnonzero((truth >= first) & (truth < first + nats.shape[1]))
+        state[here, OWN_NATS] = nats[here, truth[here] - first]
+        nats[here, truth[here] - first] = np.inf
+        state[:, RIVAL_AT], state[:, RIVAL_NATS] = nats.argmin(axis=1) + first, nats[every, nats.argmin(axis=1)]
+    if was is not None:
+        state[:, OWN_NATS] = np.minimum(state[:, OWN_NATS], was[:, OWN_NATS])
+        for at, value in ((BEST, NATS), (RIVAL_AT, RIVAL_NATS)):
+            earlier = was[:, value] <= state[:, value]
+            state[earlier, at], state[earlier, value] = was[earlier, at], was[earlier, value]
+        state[:, SUMS:] = np.logaddexp(state[:, SUMS:], was[:, SUMS:])
+    return state
+
+
+def scored(docs: DataFrame, by: Classifier, temperatures: tuple[float, ...], finish: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType | str, truth: str | None = None) -> DataFrame:
+    """``finish`` of the rows of ``docs`` (a column text among them) and their states. truth: a column with each row's own language."""
+    name = "state"
+    while name in docs.columns:
+        name += "_"
+    columns = docs.columns
+    between = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    known = {x: k for k, x in enumerate(by.languages)}
+    first = 0
+    for number in range(max(1, len(by.passes))):
+        models = by.models(number)
+        shared = docs.sparkSession.sparkContext.broadcast(models)
+        last = number + 1 >= len(by.passes)
+
+        def step(batches: Iterator[pa.RecordBatch], shared=shared, first=first, number=number, last=last) -> Iterator[pa.RecordBatch]:
+            models = shared.value
+            for part, texts in blocks(batches, budget=1 << 20):
+                own = np.array([known[x] for x in part.column(columns.index(truth)).to_pylist()], np.int64) if truth else None
+                was = np.array(part.column(len(columns)).to_pylist()).reshape(part.num_rows, -1) if number else None
+                state = folded(models, texts, first, temperatures, own, was)
+                rows = pa.RecordBatch.from_arrays(part.columns[: len(columns)], names=columns)
+                yield finish(rows, state) if last else rows.append_column(name, pa.array(state.tolist(), pa.list_(pa.float64())))
+
+        docs = docs.mapInArrow(step, schema if last else between)
+        if not last:
+            docs = stored(docs)
+        first += sum(len(m.languages) for m in models)
+    return docs
+
+
+def sample(labelled: DataFrame, rows: int, seed: int, chars: int | None = None) -> DataFrame:
+    """lang, place and text of the ``rows`` texts of each language whose seeded hashes are least, without repeats; place counts from 0.
+
+    Only hashes are made distinct and ranked, and no task ranks more than the
+    best of the others' tasks; texts are fetched for the chosen hashes.
+    """
+    usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64(F.lit(seed), "text").alias("h"), "text")
+    ranked = usable.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")) - 1)
+    chosen = stored(ranked.filter(F.col("place") < rows))
+    found = usable.alias("u").join(chosen.alias("c"), (F.col("u.lang") == F.col("c.lang")) & (F.col("u.h") == F.col("c.h"))).select("c.lang", "c.place", "u.h", "u.text")
+    found = found.groupBy("lang", "place").agg(F.min("h").alias("h"), F.min("text").alias("text"))
+    if chars is not None:
+        begin = F.expr(f"cast(1 + pmod(shiftright(h, 31), greatest(length(text) - {chars} + 1, 1)) as int)")
+        found = found.withColumn("text", F.substring("text", begin, F.lit(chars)))
+    return found.select("lang", "place", "text")
+
+
+def counted(learned: DataFrame) -> DataFrame:
+    """COUNTS of the texts of each language, summed over all of its texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches):
+            names = part.column(0).to_pylist()
+            for lang in sorted(set(names)):
+                for n, g, c, s, k in count_grams([t for t, x in zip(texts, names, strict=True) if x == lang]):
+                    m = len(g)
+                    arrays = [pa.array([lang] * m, pa.string()), pa.array([n] * m, pa.int32()), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (g, c, s)), pa.array(k.astype(np.int64))]
+                    yield pa.record_batch(arrays, names=["lang", "n", "gram", "context", "suffix", "count"])
+
+    each = learned.select("lang", "text").mapInArrow(count, COUNTS)
+    return each.groupBy("lang", "n", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("count").alias("count"))
+
+
+def train(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int | None = None, seed: int = 11) -> Classifier:
+    """labelled: text and lang. Fit on at most ``rows`` different texts of each language (and ``chars`` characters of each, if given), chosen by a seeded hash.
+
+    Rows without a text, a language or a letter teach nothing, and a language of
+    only such rows isn't learned; repeated texts count once. A language of fewer
+    than CALIBRATE_EVERY texts learns from all of them.
+    """
+    spark = labelled.sparkSession
+    chosen = stored(sample(labelled, rows, seed, chars))
+    few = F.count("*").over(Window.partitionBy("lang")) < CALIBRATE_EVERY
+    marked = chosen.withColumn("few", few)
+    counts = stored(counted(marked.filter(F.col("few") | (F.col("place") % CALIBRATE_EVERY != 0))))
+    sizes = {r[0]: r[1] for r in counts.groupBy("lang").count().orderBy("lang").collect()}
     if not sizes:
-        return Model()
-    # The chance of a row is set so that a little more than enough are chosen; a window over those few then takes exactly enough.
-    parts = 1 << 30
-    chance = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(parts, int(parts * 1.5 * (rows + 10) / n)))])
-    h = F.xxhash64(F.lit(seed), "text")
-    chosen = labelled.withColumn("h", h).filter(F.pmod("h", F.lit(parts)) < chance[F.col("lang")]).dropDuplicates(["lang", "h"])
-    begin = F.expr(f"cast(1 + pmod(shiftright(h, 31), greatest(length(text) - {chars} + 1, 1)) as int)")
-    chosen = chosen.select("lang", "h", F.substring("text", begin, F.lit(chars)).alias("text"))
-    total = rows
-
-    def count(table: pa.Table) -> pa.Table:
-        table = table.sort_by("h").slice(0, total)
-        texts = [t.encode() for t in table["text"].to_pylist()]
-        lang = table["lang"][0].as_py()
-        learned = [t for i, t in enumerate(texts) if i % CALIBRATE_EVERY or len(texts) < CALIBRATE_EVERY]
-        held = [t for i, t in enumerate(texts) if not i % CALIBRATE_EVERY]
-        parts = [
-            pa.table({"lang": [lang] * len(g), "n": pa.array([n] * len(g), pa.int32()), "gram": g.view(np.int64), "context": c.view(np.int64), "suffix": s.view(np.int64), "count": k.astype(np.int64), "held": pa.nulls(len(g), pa.binary())})
-            for n, g, c, s, k in count_grams(learned)
-        ]
-        zero = pa.array([0] * len(held), pa.int64())
-        parts.append(pa.table({"lang": [lang] * len(held), "n": pa.array([0] * len(held), pa.int32()), "gram": zero, "context": zero, "suffix": zero, "count": zero, "held": pa.array(held, pa.binary())}))
-        return pa.concat_tables(parts)
-
-    counted = chosen.groupBy("lang").applyInArrow(count, COUNTS + ", held binary").toArrow()
-    order = counted["n"].to_numpy()
-    model = fit(counted.filter(pa.array(order > 0)))
-    held = counted.filter(pa.array(order == 0))
-    calibrate(model, held["held"].to_pylist(), held["lang"].to_pylist())
-    return model
+        return Classifier()
+    block_of, block, held = {}, 0, [0, 0]
+    for lang, n in sorted(sizes.items()):
+        held = [held[0] + n, held[1] + 1]
+        if held[0] * held[1] > BLOCK_CELLS and held[1] > 1:
+            block, held = block + 1, [n, 1]
+        block_of[lang] = block
+    alphabet = counts.filter("n = 1").select("gram").distinct().count() + 1
+
+    def fit_block(key: tuple, table: pa.Table) -> pa.Table:
+        model = pickle.dumps(fit(table, alphabet))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([model], pa.binary()), "size": pa.array([len(model)], pa.int64())})
+
+    names = spark.createDataFrame(list(block_of.items()), "lang string, block int")
+    fitted = stored(counts.join(names, "lang").groupBy("block").applyInArrow(fit_block, "block int, model binary, size long"))
+    passes, size = [], 0
+    for r in fitted.select("block", "size").orderBy("block").collect():
+        size += r["size"]
+        if not passes or size > PASS_BYTES:
+            passes.append([])
+            size = r["size"]
+        passes[-1].append(r["block"])
+    by = Classifier(sorted(sizes), passes, fitted)
+    calibrate(by, chosen.filter(F.col("place") % CALIBRATE_EVERY == 0), seed)
+    return by
+
+
+def calibrate(by: Classifier, held: DataFrame, seed: int) -> None:
+    """Set the limits of rejection per length and language, and the temperature at which scores fit how often predictions are right, from pieces of the texts of ``held``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches):
+            out = []
+            for lang, place, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
+                text, rng = text.decode("utf-8", "replace"), random.Random(f"{seed}:{place}")
+                for band, n in enumerate(PIECES):
+                    for _ in range(PIECES_PER_TEXT if len(text) > n else 1):
+                        begin = rng.randint(0, max(len(text) - n, 0))
+                        if len(text) >= n or band == 0:
+                            out.append((lang, band, text[begin : begin + n]))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], names=["lang", "band", "text"])
+
+    def finish(part: pa.RecordBatch, state: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([part.column(0), part.column(1), pa.array(state.tolist(), pa.list_(pa.float64()))], names=["lang", "band", "state"])
+
+    pieces = held.select("lang", "place", "text").mapInArrow(cut, "lang string, band int, text string")
+    found = scored(pieces, by, TEMPERATURES, finish, "lang string, band int, state array<double>", truth="lang").toArrow()
+    known = {x: k for k, x in enumerate(by.languages)}
+    truth, band = np.array([known[x] for x in found["lang"].to_pylist()], np.int64), found["band"].to_numpy()
+    state = np.array(found["state"].to_pylist()).reshape(len(truth), SUMS + len(TEMPERATURES))
+    has = state[:, LENGTH] > 0
+    truth, band, state = truth[has], band[has], state[has]
+    by.limits = np.full((len(PIECES), len(by.languages)), np.inf)
+    for b in range(len(PIECES)):
+        for k in range(len(by.languages)):
+            own = state[(band == b) & (truth == k), OWN_NATS]
+            rival = state[(band == b) & (truth != k) & (state[:, RIVAL_AT] == k), RIVAL_NATS]
+            if not len(own):  # No text is so long: the limit of shorter ones holds.
+                by.limits[b, k] = by.limits[max(b - 1, 0), k]
+            elif len(rival):
+                low, high = np.percentile(own, OWN), np.percentile(rival, RIVAL)
+                by.limits[b, k] = max(np.percentile(own, OWN_LEAST), (low + high) / 2)
+            else:
+                by.limits[b, k] = np.percentile(own, OWN) + SLACK
+    if len(state):
+        logs = -(state[:, OWN_NATS] * state[:, LENGTH])[:, None] * np.array(TEMPERATURES) - state[:, SUMS:]
+        by.temperature = TEMPERATURES[int(np.maximum(logs, np.log(1e-9)).mean(axis=0).argmax())]
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def _over(by: Classifier, state: np.ndarray) -> np.ndarray:
+    """Whether a text is rejected."""
+    none = state[:, LENGTH] == 0
+    best = np.where(none, 0, state[:, BEST]).astype(np.int64)
+    return none if by.limits is None else none | (state[:, NATS] > by.limits[np.searchsorted(LENGTHS, state[:, LENGTH], side="right"), best])
+
+
+def identify(docs: DataFrame, by: Classifier) -> DataFrame:
     """One row per row of ``docs``: lang_pred, score, rejected, cross_entropy (nats per character), n_chars_scored.
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected,
     as all are by a model without languages. lang_pred of a rejected text still
-    names the nearest language. Repeated rows give repeated results, a null
-    doc_id stays null, an empty table gives an empty result; only doc_id and
-    text are read.
+    names the nearest language; of equally near ones the first by name. Repeated
+    rows give repeated results, a null doc_id stays null, an empty table gives
+    an empty result; a very long text is scored as a whole, in a block of its
+    own; only doc_id and text are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = [*model.languages, UNKNOWN]
-        for part, texts in blocks(batches, budget=1 << 20):
-            if model.languages:
-                length, nats = model.cross_entropies(texts)
-                best = nats.argmin(axis=1)
-                score = posterior(nats, length, model.temperature)[np.arange(len(texts)), best]
-                nats = nats[np.arange(len(texts)), best]
-                over = nats > model.limits[np.searchsorted(LENGTHS, length, side="right"), best]
-            else:
-                length, nats, score = (np.zeros(len(texts), k) for k in (np.int64, np.float64, np.float64))
-                best, over = length, length > 0
-            none = length == 0
-            best = np.where(none, len(names) - 1, best)
-            yield pa.record_batch(
-                [part.column(0), pa.array([names[b] for b in best]), pa.array(np.where(none, 0.0, score)), pa.array(over | none), pa.array(np.where(none, 0.0, nats)), pa.array(length.astype(np.int64))],
-                names=["doc_id", "lang_pred", "score", "rejected", "cross_entropy", "n_chars_scored"],
-            )
+    names, temperature = [*by.languages, UNKNOWN], by.temperature
+    limits = Classifier(limits=by.limits)
+
+    def finish(part: pa.RecordBatch, state: np.ndarray) -> pa.RecordBatch:
+        none = state[:, LENGTH] == 0
+        best = np.where(none, len(names) - 1, state[:, BEST]).astype(np.int64)
+        nats = np.where(none, 0.0, state[:, NATS])
+        score = np.where(none, 0.0, np.exp(np.minimum(-nats * state[:, LENGTH] * temperature - np.where(none, 0.0, state[:, SUMS]), 0.0)))
+        arrays = [part.column(0), pa.array([names[b] for b in best], pa.string()), pa.array(score), pa.array(_over(limits, state)), pa.array(nats), pa.array(state[:, LENGTH].astype(np.int64))]
+        return pa.record_batch(arrays, names=["doc_id", "lang_pred", "score", "rejected", "cross_entropy", "n_chars_scored"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(predict, SCHEMA)
+    return scored(docs.selectExpr("cast(doc_id as long) doc_id", "text"), by, (temperature,), finish, SCHEMA)
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
+def accepted(docs: DataFrame, by: Classifier) -> DataFrame:
     """``docs`` without the rows that ``identify`` rejects; all columns stay, and nothing is moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    limits = Classifier(limits=by.limits)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for part, texts in blocks(batches, budget=1 << 20) if model.languages else ():
-            length, nats = model.cross_entropies(texts)
-            best = nats.argmin(axis=1)
-            limit = model.limits[np.searchsorted(LENGTHS, length, side="right"), best]
-            yield part.filter(pa.array((length > 0) & (nats[np.arange(len(texts)), best] <= limit)))
+    def finish(part: pa.RecordBatch, state: np.ndarray) -> pa.RecordBatch:
+        return part.filter(pa.array(~_over(limits, state)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return scored(docs, by, (by.temperature,), finish, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
