@@ -1,6 +1,10 @@
 """Each template's text under its own identifier, and notices of licences that aren't listed."""
 
+import random
+
 import pytest
+from tests_llm_helpers import prose
+from test_rows import lcs
 
 from wayfare.llm import licenses
 from wayfare.llm.license_texts import TEMPLATES
@@ -49,3 +53,51 @@ def test_equal_matches_both_stay(make):
     twins = {"A": ("alpha beta gamma delta epsilon",), "B": ("alpha beta gamma delta epsilon",)}
     got = licenses.license_matches(make([(1, "so alpha beta gamma delta epsilon it is", None, None)]), twins).collect()
     assert sorted(r.license for r in got) == ["A", "B"]
+
+
+def edited(words, rng, kind, share):
+    """The words with one block, or scattered words, deleted, added or replaced."""
+    words, n = list(words), max(1, int(share * len(words)))
+    new = lambda: f"zz{rng.randrange(10**6)}"
+    if kind.startswith("block"):
+        at = rng.randrange(len(words) - n + 1)
+        words[at : at + (0 if kind == "block added" else n)] = [] if kind == "block deleted" else [new() for _ in range(n)]
+        return words
+    for at in sorted(rng.sample(range(len(words)), n), reverse=True):
+        words[at : at + (0 if kind == "added" else 1)] = [] if kind == "deleted" else [new()]
+    return words
+
+
+CHANGES = [("block deleted", 0.15), ("block deleted", 0.19), ("block added", 0.2), ("block added", 0.5), ("block added", 0.9), ("block replaced", 0.15), ("deleted", 0.1), ("added", 0.2), ("replaced", 0.1), ("replaced", 0.15)]
+
+
+@pytest.mark.parametrize(("kind", "share"), CHANGES)
+def test_edited_templates_are_found_wherever_plain_alignment_finds_them(make, kind, share):
+    """Against the longest common subsequence of the whole edited text, which knows no fingerprints, chains or bands."""
+    rng = random.Random(f"{kind} {share}")
+    rows, want = [], {}
+    for name, texts in TEMPLATES.items():
+        for t, text in enumerate(texts):
+            template = [w.lower() for w in licenses.WORD.findall(text)]
+            for _ in range(4 if len(template) >= 40 else 0):
+                words = edited(template, rng, kind, share)
+                hashes = [licenses.word_hash(w) for w in words]
+                matched = lcs(template, words)
+                if matched >= licenses.COVERAGE * len(template) and licenses.identified(hashes, *licenses.identity(template)):
+                    want[len(rows)] = (name, t, matched)
+                rows.append((len(rows), f"{prose(len(rows), 40)} {' '.join(words)} {prose(1 + len(rows), 40)}", None, None))
+    got = {}
+    for r in licenses.license_matches(make(rows)).collect():
+        got.setdefault(r.doc_id, {})[r.license, r.template] = r.matched_words
+    # Fewer words beyond a block than make a fingerprint may stay unmatched.
+    slack = licenses.GRAM + licenses.WINDOW - 2
+    missed = {i: m for i, m in want.items() if got.get(i, {}).get(m[:2], 0) < m[2] - slack}
+    assert len(want) >= 10
+    # Scattered changes can leave no five words in a row.
+    assert len(missed) <= (0 if kind.startswith("block") else 0.1 * len(want)), missed
+
+
+def test_many_copies_of_a_notice_are_all_found(make):
+    notice = TEMPLATES["Apache-2.0"][1]
+    got = licenses.license_matches(make([(1, " ".join([notice] * 300), None, None)])).collect()
+    assert len(got) == 300 and {r.coverage for r in got} == {1.0}

@@ -3,10 +3,11 @@
 A template's fingerprints are the least hashes of ``WINDOW`` successive word
 trigrams; an inverted index maps each to the templates and places that have it.
 A text is winnowed the same way, so whatever shares GRAM + WINDOW - 1 words in a
-row with a template shares a fingerprint with it. Hits whose places say that
-the template would begin at about the same word form a candidate, and the
-template is aligned with the words around there, in a band of diagonals: words
-may be changed, missing or added. What matches gives coverage and span. The
+row with a template shares a fingerprint with it. Hits that follow one another
+in both text and template form chains; each chain is a candidate, and the
+template is aligned with the words around it, in the band of diagonals that the
+chain's hits span and so many more as words may be missing: words may be
+changed, missing or added, also many in a row. What matches gives coverage and span. The
 words that tell a licence from its kin must be there whatever the coverage: a
 version, the name in a short notice, and no term that makes another licence of it.
 """
@@ -25,10 +26,12 @@ from wayfare.llm.common import blocks
 from wayfare.llm.license_texts import TEMPLATES
 
 GRAM, WINDOW = 3, 3
-#: Diagonals on either side of a candidate's: at least so many, or this share of the template's words.
-BAND, BAND_SHARE = 4, 0.1
-#: The least share of a template's fingerprints that a candidate has, and of its words that a match has in order.
-HIT_SHARE, COVERAGE = 0.1, 0.8
+#: Diagonals on either side of a chain's: at least so many, or as many as words of the template may be missing.
+BAND = 4
+#: Words added between two hits of a chain: at most so many times the template's words.
+ADDED = 1.0
+#: The least share of a template's words that a match has in order.
+COVERAGE = 0.8
 MEMO_ENTRIES = 500_000
 #: Templates of so many words at most are short: all of their words but these identify the licence.
 SHORT_WORDS = 20
@@ -96,13 +99,12 @@ class Index:
     def __init__(self, templates: Mapping[str, Sequence[str]]):
         self.names = [(name, i) for name, texts in templates.items() for i in range(len(texts))]
         self.words = [np.array([word_hash(w) for w in WORD.findall(templates[name][i])], np.uint64) for name, i in self.names]
+        self.sorted_words = [np.unique(w) for w in self.words]
         self.identity = [identity(WORD.findall(templates[name][i])) for name, i in self.names]
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.n_prints = []
         for t, words in enumerate(self.words):
             grams = gram_hashes(words)
             chosen = winnowed(grams)
-            self.n_prints.append(len(chosen))
             for p in chosen.tolist():
                 places[int(grams[p])].append((t, p))
         self.fingerprints = np.array(sorted(places), np.uint64)
@@ -120,51 +122,88 @@ class Index:
 def align(template: np.ndarray, words: np.ndarray, begin: int, band: int) -> tuple[int, int, int]:
     """The most words of the template that words have in order within ``band`` of the diagonal at ``begin``; the first and last of them in words.
 
-    Longest common subsequence in a band; of several the one that ends first, then begins last.
+    Longest common subsequence in a band; of several the one that begins last,
+    then ends first. One step for each of the template's words, over all
+    diagonals at once.
     """
-    width = 2 * band + 1
-    # best[d]: (matched, start of the match or -1) for template[:i] against words up to diagonal d.
-    best: list[tuple[int, int, int]] = [(0, 0, 0)] * width
-    top = (0, 0, 0)
-    n = len(words)
-    for i in range(len(template)):
-        new: list[tuple[int, int, int]] = []
-        for d in range(width):
-            j = begin + i + d - band
-            cell = best[d + 1] if d + 1 < width else (0, 0, 0)
-            if d and new[d - 1] > cell:
-                cell = new[d - 1]
-            if 0 <= j < n and template[i] == words[j]:
-                matched, start, _ = best[d]
-                taken = (matched + 1, start if matched else j, -j)
-                if taken > cell:
-                    cell = taken
-            elif best[d] > cell:
-                cell = best[d]
-            new.append(cell)
-        best = new
-        top = max(top, *best)
-    return top[0], top[1], -top[2]
+    width, least = 2 * band + 1, begin - band
+    # A cell: words matched, where the first lies, and how far the last lies from the end; 0 without a match. Places count from the band's start.
+    bits = int(len(template) + width).bit_length() + 1
+    last, one = (1 << bits) - 1, 1 << 2 * bits
+    best = np.zeros(width + 1, np.int64)
+    places = np.arange(width)
+    padded = np.concatenate([np.zeros(max(-least, 0), words.dtype), words[max(least, 0) : max(least + len(template) + width, 0)]])
+    real = np.concatenate([np.zeros(max(-least, 0), bool), np.ones(len(padded) - max(-least, 0), bool)])
+    room = len(template) + width - len(padded)
+    padded, real = np.concatenate([padded, np.zeros(max(room, 0), words.dtype)]), np.concatenate([real, np.zeros(max(room, 0), bool)])
+    for i, word in enumerate(template):
+        same = (padded[i : i + width] == word) & real[i : i + width]
+        diagonal = best[:-1]
+        j = i + places
+        taken = np.where(diagonal == 0, one | j << bits, ((diagonal >> bits) << bits) + one) | (last - j)
+        best[:-1] = np.maximum.accumulate(np.maximum(best[1:], np.where(same, taken, diagonal)))
+    top = int(best.max())
+    if not top:
+        return 0, 0, 0
+    return top >> 2 * bits, (top >> bits & last) + least, last - (top & last) + least
+
+
+def chains(hits: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows of ``hits`` (place in text, place in a template of ``size`` words) that follow one another in both, as chains without common rows; long ones first.
+
+    A chain gains a hit's worth by each hit and loses, by the share of the
+    template's size, what text and template differ by between two.
+    """
+    hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+    place, at = hits[:, 0], hits[:, 1]
+    worth, before = np.ones(len(hits)), np.full(len(hits), -1)
+    from_ = np.searchsorted(place, place - int((1 + ADDED) * size))
+    upto = np.searchsorted(place, place)
+    for i in range(len(hits)):
+        a, b = from_[i], upto[i]
+        step, along = place[i] - place[a:b], at[i] - at[a:b]
+        gain = np.where((along > 0) & (step - along <= ADDED * size), worth[a:b] - np.abs(step - along) / (2 * size), 0)
+        if len(gain) and (k := int(gain.argmax())) >= 0 and gain[k] > 0:
+            worth[i] += gain[k]
+            before[i] = a + k
+    used = np.zeros(len(hits), bool)
+    out = []
+    for i in np.argsort(-worth, kind="stable").tolist():
+        rows = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            rows.append(i)
+            i = int(before[i])
+        if rows:
+            out.append(hits[rows[::-1]])
+    return out
 
 
 def find(index: Index, words: np.ndarray, hits: Sequence[tuple[int, int, int]], coverage: float) -> list[tuple[int, int, int, int]]:
     """(template, matched, first word, last word) of a text's matches; one within another that matches as many words is left out, unless span and coverage are the same too."""
     found = []
-    by_template: dict[int, list[int]] = defaultdict(list)
+    by_template: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for place, t, p in hits:
-        by_template[t].append(place - p)
-    for t, begins in by_template.items():
+        by_template[t].append((place, p))
+    for t, own in by_template.items():
         template = index.words[t]
-        band = max(BAND, int(BAND_SHARE * len(template)))
-        begins.sort()
-        start = 0
-        for i in range(1, len(begins) + 1):
-            if i == len(begins) or begins[i] - begins[i - 1] > band or begins[i] - begins[start] > 2 * band:
-                if i - start >= HIT_SHARE * index.n_prints[t]:
-                    matched, first, last = align(template, words, begins[(start + i) // 2], band)
-                    if matched >= coverage * len(template) and identified(words[first : last + 1].tolist(), *index.identity[t]):
-                        found.append((t, matched, first, last))
-                start = i
+        size = len(template)
+        least = coverage * size - 1e-9
+        mine: list[tuple[int, int]] = []
+        for chain in chains(np.array(own), size):
+            if any(first <= chain[0, 0] and chain[-1, 0] <= last for first, last in mine[-4:]):
+                continue
+            diagonals = chain[:, 0] - chain[:, 1]
+            low, high = int(diagonals.min()), int(diagonals.max())
+            band = (high - low + 1) // 2 + max(BAND, int((1 - coverage) * size))
+            begin = (low + high) // 2
+            around = words[max(begin - band, 0) : max(begin + size + band, 0)]
+            if np.count_nonzero(np.isin(around, index.sorted_words[t])) < least:
+                continue
+            matched, first, last = align(template, words, begin, band)
+            if matched >= least and identified(words[first : last + 1].tolist(), *index.identity[t]):
+                found.append((t, matched, first, last))
+                mine.append((first, last))
     found = sorted(set(found), key=lambda m: (m[2], -m[1], -m[3], len(index.words[m[0]]), m[0]))
     kept: list[tuple[int, int, int, int]] = []
     ends: list[tuple[int, int, int, int]] = []
@@ -184,7 +223,8 @@ def license_matches(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TE
 
     template counts the texts of one licence from 0. Null and empty texts, and
     templates without a word, match nothing. Templates of fewer than GRAM words
-    have no fingerprints. Repeated rows give repeated results, a null doc_id
+    have no fingerprints. Very long texts are scanned as a whole, in a block of
+    their own. Equally good matches of one span are all given. Repeated rows give repeated results, a null doc_id
     stays null, an empty table gives an empty result; only doc_id and text are read.
     """
     index = Index(templates)
