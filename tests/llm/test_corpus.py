@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -162,29 +163,36 @@ def test_contamination(spark, make, text, caught):
 
 
 def brute_overlaps(rows, texts):
+    """Every window of every item against every place of every document."""
     words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
-    found = set()
+    found = {}
     for i, t, *_ in rows:
         d = words(t)
         for k, x in enumerate(texts):
             m = words(x)
-            for mask in decontaminate.MASKS:
-                keep = [j for j, b in enumerate(mask) if b == "1"]
-                for a in range(len(m) - len(mask) + 1):
-                    for b in range(len(d) - len(mask) + 1):
-                        if all(m[a + j] == d[b + j] for j in keep):
-                            n = min(len(m), decontaminate.WINDOW_WORDS)
-                            f = min(a, len(m) - n)
-                            at = b - a + f
-                            same = sum(0 <= at + j < len(d) and d[at + j] == m[f + j] for j in range(n))
-                            if same * 100 >= n * decontaminate.LEAST_PERCENT:
-                                found.add((i, k))
+            n = min(len(m), decontaminate.WINDOW_WORDS)
+            least = n if n < decontaminate.SHORTEST else n * decontaminate.LEAST_PERCENT / 100
+            for f in range(len(m) - n + 1):
+                for at in range(1 - n, len(d)):
+                    same = sum(0 <= at + j < len(d) and d[at + j] == m[f + j] for j in range(n))
+                    if n and same >= least:
+                        found[i, k] = max(same, found.get((i, k), 0))
     return found
 
 
+def test_masks_lose_nothing():
+    """For each size of window: whichever words are replaced, some mask fits where none of them counts."""
+    plan = decontaminate.mask_plan()
+    for n in range(1, decontaminate.WINDOW_WORDS + 1):
+        may = 0 if n < decontaminate.SHORTEST else n - -(-n * decontaminate.LEAST_PERCENT // 100)
+        masks = [m for m, least, most in plan if least <= n <= most]
+        for gone in combinations(range(n), may):
+            assert any(all(o + i not in gone for i, b in enumerate(m) if b == "1") for m in masks for o in range(n - len(m) + 1)), (n, gone)
+
+
 def test_contamination_by_brute_force_and_in_blocks(spark, make):
     rng = random.Random(6)
-    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 20))) for _ in range(12)]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 20))) for _ in range(16)]
     rows = []
     for i in range(60):
         w = rng.choice(texts).split()
@@ -194,21 +202,41 @@ def test_contamination_by_brute_force_and_in_blocks(spark, make):
     want = brute_overlaps(rows, texts)
     for block in (500_000, 40):
         got = decontaminate.overlaps(make(rows), items(spark, *texts), block_seeds=block)
-        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+        assert {(r.doc_id, r.item_id): r.equal_words for r in got.collect()} == want
     assert want
 
 
+def test_two_replaced_words_of_thirteen_are_always_found(spark, make):
+    item = prose(61, 400).split()[:40]
+    rows = []
+    for k, gone in enumerate(combinations(range(13), 2)):
+        at = k % 28
+        rows.append((k, f"{prose(700 + k, 30)} {' '.join('zz' if j in gone else w for j, w in enumerate(item[at : at + 13]))} {prose(900 + k, 30)}", "en", "a"))
+    got = decontaminate.contaminated(make(rows), items(spark, " ".join(item)))
+    assert len(rows) == 78 and {r.doc_id for r in got.collect()} == set(range(78))
+
+
 def test_contamination_edges(spark, make, edge_rows):
     bench = items(spark, ITEM, ITEM)
     rows = [*edge_rows, (None, ITEM, None, None), (77, ITEM, None, None), (77, "clean", None, None)]
     got = {r.doc_id: r.n_items for r in decontaminate.contaminated(make(rows), bench).collect()}
     assert got == {None: 2, 77: 2}
     left = decontaminate.decontaminated(make(rows), bench)
-    assert left.columns == make(rows).columns and {r.doc_id for r in left.collect()} == {r[0] for r in edge_rows} - {None}
+    # Only the rows themselves go, not the others of their doc_id.
+    assert left.columns == make(rows).columns and Counter((r.doc_id, r.text) for r in left.collect()) == Counter((i, t) for i, t, *_ in rows if t != ITEM)
     assert decontaminate.decontaminated(make(rows), bench.limit(0)).count() == len(rows)
     assert decontaminate.contaminated(make([]), bench).count() == 0
 
 
+def test_items_without_or_with_the_same_id(spark, make):
+    other = " ".join(reversed(ITEM.split()))
+    bench = spark.createDataFrame([(None, ITEM), (5, ITEM), (5, other), (6, None), (None, "")], "item_id long, text string")
+    rows = [(1, ITEM, None, None), (2, other, None, None), (3, "clean " * 30, None, None)]
+    got = {r.doc_id: (r.n_items, r.item_ids) for r in decontaminate.contaminated(make(rows), bench).collect()}
+    assert got == {1: (2, [5]), 2: (1, [5])}
+    assert {r.doc_id for r in decontaminate.decontaminated(make(rows), bench).collect()} == {3}
+
+
 # ---- op8 ----
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfare.llm.decontaminate import LEAST_PERCENT, MASKS, WINDOW_WORDS
+from wayfare.llm.decontaminate import LEAST_PERCENT, SHORTEST, WINDOW_WORDS
 from wayfare.llm.mixing import DOMAIN_WEIGHTS, DOMAINS, LANGUAGE_WEIGHTS, SOURCE_WEIGHTS
 from wayfare.llm.secrets import RULES
 
@@ -47,23 +47,16 @@ def mix_sql(budget_percent: int = 80, max_epochs: int = 2, seed: str = "mix-1")
 
 
 def seeds_sql() -> str:
+    """Windows of all items against all places of all documents; no seed or mask in it."""
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-
-    def seeds(of: str, key: str) -> str:
-        each = [
-            f"SELECT {key}, pos, '{m}' AS mask, concat_ws(chr(1), {', '.join(f'words[pos + {i + 1}]' for i, bit in enumerate(m) if bit == '1')}) AS seed FROM {of}_at WHERE pos + {len(m)} <= len(words)"
-            for m in MASKS
-        ]
-        return " UNION ALL ".join(each)
-
-    return f"""WITH docs AS (SELECT doc_id, {words} AS words FROM documents), items AS (SELECT item_id, {words} AS words FROM benchmark),
-docs_at AS (SELECT *, unnest(range(len(words))) AS pos FROM docs), items_at AS (SELECT *, unnest(range(len(words))) AS pos FROM items),
-doc_seeds AS ({seeds("docs", "doc_id")}), item_seeds AS ({seeds("items", "item_id")}),
-hits AS (SELECT DISTINCT d.doc_id, i.item_id, d.pos AS pos, i.pos AS item_at FROM doc_seeds d JOIN item_seeds i USING (mask, seed)),
-placed AS (SELECT h.*, d.words AS dw, i.words AS iw, least(len(i.words), {WINDOW_WORDS}) AS n, least(h.item_at, len(i.words) - least(len(i.words), {WINDOW_WORDS})) AS f
-  FROM hits h JOIN docs d USING (doc_id) JOIN items i USING (item_id)),
-counted AS (SELECT doc_id, item_id, n, list_sum(list_transform(range(n), lambda k: CASE WHEN pos - item_at + f + k >= 0 AND dw[pos - item_at + f + k + 1] = iw[f + k + 1] THEN 1 ELSE 0 END)) AS equal FROM placed),
-best AS (SELECT doc_id, item_id, max(equal) AS equal FROM counted WHERE equal * 100 >= n * {LEAST_PERCENT} GROUP BY ALL)
+    n = f"least(size, {WINDOW_WORDS})"
+    return f"""WITH docs AS (SELECT DISTINCT doc_id, {words} AS words FROM documents), items AS (SELECT DISTINCT item_id, {words} AS words FROM benchmark),
+doc_words AS (SELECT doc_id, hash(words) AS text, unnest(range(len(words))) AS pos, unnest(words) AS word FROM docs),
+item_words AS (SELECT item_id, hash(words) AS item, len(words) AS size, unnest(range(len(words))) AS item_pos, unnest(words) AS word FROM items),
+same AS (SELECT doc_id, text, item_id, item, size, pos - item_pos AS shift, item_pos FROM doc_words JOIN item_words USING (word)),
+rich AS (SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY doc_id, text, item_id, item, shift) * 100 >= {n} * {LEAST_PERCENT}),
+counted AS (SELECT doc_id, item_id, size, count(*) OVER (PARTITION BY doc_id, text, item_id, item, shift ORDER BY item_pos RANGE BETWEEN CURRENT ROW AND {WINDOW_WORDS - 1} FOLLOWING) AS equal FROM rich),
+best AS (SELECT doc_id, item_id, max(equal) AS equal FROM counted WHERE CASE WHEN size < {SHORTEST} THEN equal = size ELSE equal * 100 >= {n} * {LEAST_PERCENT} END GROUP BY ALL)
 SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids, CAST(max(equal) AS INTEGER) AS most_equal_words FROM best GROUP BY 1"""
 
 
