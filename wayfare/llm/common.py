@@ -28,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Where it is unset (tests, one machine) a
-    local one is made and set, for the session and its context.
+    ``spark.checkpoint.dir`` names it. Where it is unset, one machine (tests)
+    makes and sets a local one, for the session and its context; a cluster
+    raises, as its executors could not read it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         made = spark.sparkContext.getCheckpointDir()
+        if not made and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         root = os.path.dirname(made) if made else f"file://{tempfile.mkdtemp(prefix='wayfare-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,6 +51,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the session's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and every executor can read it.
 
@@ -56,8 +65,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}.parquet"
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
