@@ -64,9 +64,8 @@ def _water_fill(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
 def leaf_budgets(supply: DataFrame, budget_percent: int, max_epochs: int, weights: Sequence[Mapping[str, int]]) -> DataFrame:
     """supply: the levels and tokens of each leaf. Returns them with budget, epochs (whole ones) and part (tokens of the next)."""
     leaves = supply.withColumn("capacity", F.col("tokens") * max_epochs)
-    everything = Window.partitionBy(F.lit(0))
-    given = F.sum("tokens").over(everything)
-    tree = leaves.withColumn("given", given).withColumn("budget", F.expr(f"cast((cast(given as decimal(38,0)) * {budget_percent}L) div 100 as bigint)")).drop("given")
+    given = int(leaves.agg(F.sum("tokens")).first()[0] or 0)
+    tree = leaves.withColumn("budget", F.lit(given * budget_percent // 100).cast("long"))
     for depth, level in enumerate(LEVELS):
         path = LEVELS[: depth + 1]
         nodes = tree.groupBy(*path).agg(F.max("budget").alias("budget"), F.sum("capacity").alias("capacity"))
@@ -91,14 +90,19 @@ def mix(
     ``max_epochs`` give. tokens: a row's tokens; if none are given, a quarter of
     its bytes, rounded up. Null language or source: ``unknown``. Null or empty
     text: no tokens, and as many copies as a row of its place in the order gets.
-    Rows alike in all columns are rows of their own. Empty table: empty result.
+    Rows alike in all columns are rows of their own. Rows of one doc_id come in
+    the order of a hash of language, source and text, and those without one are
+    dealt by that hash. A very long text is one row, taken or left as a whole.
+    Empty table: empty result.
     Columns of any names stay within ``row``.
     """
     count = F.expr("cast((octet_length(coalesce(text, '')) + 3) div 4 as bigint)") if tokens is None else tokens.cast("long")
+    content = F.xxhash64("lang", "source", "text", count)
     of_source = {s: d for d, names in domains.items() for s in names}
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), content.cast("string"))).alias("id"),
+        content.alias("content"),
         F.coalesce("lang", F.lit("unknown")).alias("language"),
         F.coalesce("source", F.lit("unknown")).alias("origin"),
         count.alias("n_tokens"),
@@ -107,13 +111,18 @@ def mix(
     supply = stored(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")))
     budgets = stored(leaf_budgets(supply, budget_percent, max_epochs, weights))
     dealt = budgets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    salted = rows.withColumn("salt", F.pmod(F.hash("id", "content"), F.lit(SALTS)))
     planned = salted.join(dealt.hint("shuffle_hash"), [*LEVELS, "salt"]).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs").cast("string"), "id")))
     planned = planned.withColumn("cell", F.substring("h", 1, CELL_DIGITS))
 
     cells = stored(planned.groupBy(*LEVELS, "cell").agg(F.sum("n_tokens").alias("n_cell")))
-    starts = cells.select(*LEVELS, "cell", F.coalesce(F.sum("n_cell").over(Window.partitionBy(*LEVELS).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    upto = Window.partitionBy(*LEVELS, "cell").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    # Sums before a cell in two levels: of the cells with the same first digit, then of the digits.
+    digit = F.substring("cell", 1, 1).alias("digit")
+    in_digit = Window.partitionBy(*LEVELS, "digit").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    in_leaf = Window.partitionBy(*LEVELS).orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+    digits = cells.groupBy(*LEVELS, digit).agg(F.sum("n_cell").alias("n_digit")).select(*LEVELS, "digit", F.coalesce(F.sum("n_digit").over(in_leaf), F.lit(0)).alias("first"))
+    starts = cells.select("*", digit).withColumn("inner", F.coalesce(F.sum("n_cell").over(in_digit), F.lit(0))).join(digits, [*LEVELS, "digit"]).select(*LEVELS, "cell", (F.col("first") + F.col("inner")).alias("before"))
+    upto = Window.partitionBy(*LEVELS, "cell").orderBy("h", "id", "content").rowsBetween(Window.unboundedPreceding, 0)
     summed = planned.withColumn("within", F.sum("n_tokens").over(upto)).join(starts.hint("shuffle_hash"), [*LEVELS, "cell"])
     taken = (F.col("part") > 0) & (F.col("before") + F.col("within") <= F.col("part"))
     return summed.select("row", *LEVELS, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("epochs") + taken.cast("long")).alias("copies"))
