@@ -420,7 +420,8 @@ def test_deduplication_keeps_one_of_each_group(make, edge_rows):
 
 
 def removed_by_hand(rows, length=100):
-    docs = sorted({(i is not None, i or 0, xxhash.xxh64_intdigest((t or "").encode(), 42), (t or "").encode()) for i, t, *_ in rows})
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    docs = sorted({(i is not None, i or 0, signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), (t or "").encode()) for i, t, *_ in rows})
     seen, out = set(), {}
     for has, i, _, data in docs:
         gone = bytearray(len(data))
@@ -501,3 +502,27 @@ def test_runs_survive_packing():
     columns = {c: np.array([1, 2, 3], k) for c, k in suffixes.Run.FIELDS} | {"lcp": np.array([0, 1, 3]), "size": np.array([3, 3, 5])}
     run = suffixes.Run.unpack(suffixes.Run(columns, b"abc" + b"xy" + b"zz", b"left").pack())
     assert [k for k, _ in run.keys()] == [b"abc", b"axy", b"axyzz"] and run.lefts == b"left" and run.columns["id"].tolist() == [1, 2, 3]
+
+
+def test_rows_of_one_doc_id_and_none_are_told_apart(make):
+    rng = random.Random(21)
+    shared = prose(31, 60)
+    rows = [(rng.choice([None, None, 5]), prose(3000 + i, 20) + (shared if i % 7 == 0 else ""), None, None) for i in range(80)]
+    assert check_removed(make, rows) > 0
+
+
+def test_mixtures_do_not_depend_on_the_order_of_rows(make):
+    """Rows of one doc_id, and of none, with different texts."""
+    rng = random.Random(22)
+    rows = [(rng.choice([1, 1, 2, None]), "x" * rng.randint(1, 300) + str(i), "en", "src1") for i in range(60)]
+    seen = set()
+    for _ in range(4):
+        rng.shuffle(rows)
+        seen.add(str(sorted((str(r.doc_id), r.text) for r in mixing.mixture(make(rows), budget_percent=40).select("doc_id", "text").collect())))
+    assert len(seen) == 1
+
+
+def test_the_row_of_a_repeated_doc_id_that_stays_is_defined(make):
+    a, b = prose(41, 80), prose(42, 80)
+    rows = [(1, a, None, None), (1, b, None, None), (2, a, None, None)]
+    assert len({tuple(r.text for r in simhash.deduplicated(make(rows[k:] + rows[:k])).collect()) for k in range(3)}) == 1

@@ -517,9 +517,10 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of LENGTH bytes that covers it starts earlier too:
     in a document of a smaller doc_id, or in its own. Null texts are empty. A
-    null doc_id is smaller than all others. Rows of one doc_id with different
+    null doc_id is smaller than all others (the least long counts as null). Rows of one doc_id with different
     texts are documents of their own, ordered by a hash of the text; rows of
-    equal doc_id and text are one document and get the same result. Texts
+    equal doc_id and text are one document and get the same result. A long text
+    is cut into overlapping segments, each string of it in one of them. Texts
     shorter than LENGTH lose nothing. An empty table gives an empty result, and
     columns other than doc_id and text are not read.
     """
@@ -528,13 +529,16 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "doc_id", "text"
     )
-    anchors = texts.select("id", "text").mapInArrow(find_anchors, ANCHORS)
+    # Rows of one doc_id, or without any, are told apart by their texts. Other rows of an equal key would only get grams that they lack.
+    key = F.xxhash64("id", "th")
+    texts = texts.withColumn("key", key)
+    anchors = texts.select(F.col("key").alias("id"), "text").mapInArrow(find_anchors, ANCHORS)
     # What a run repeats itself comes as direct rows: they go by document, so that a very common gram isn't one task's.
     anchors = anchors.repartition(n, F.when(F.col("kind") == 2, F.xxhash64("gram", "id")).otherwise(F.col("gram")))
-    grams = anchors.mapInArrow(repeated_anchors, "id long, gram long").groupBy("id").agg(F.collect_list("gram").alias("grams"))
-    # Both joins exchange the same columns of the texts by id (doc_id too, which runs don't need), so Spark moves them once.
-    chosen = texts.join(grams.hint("shuffle_hash"), "id")
+    grams = anchors.mapInArrow(repeated_anchors, "id long, gram long").groupBy(F.col("id").alias("key")).agg(F.collect_list("gram").alias("grams"))
+    # Both joins exchange the same columns of the texts by key (doc_id too, which runs don't need), so Spark moves them once.
+    chosen = texts.join(grams.hint("shuffle_hash"), "key")
     moved = chosen.select("id", "th", "doc_id", "text", "grams").mapInArrow(make_runs(n), MOVED)
     moved = moved.repartitionById(n, F.pmod("part", F.lit(n)))
-    spans = moved.mapInArrow(merge_runs, SPANS).groupBy("id").agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
-    return texts.join(spans.hint("shuffle_hash"), "id", "left").select("doc_id", "th", "text", "spans").mapInArrow(cut_texts, RESULT)
+    spans = moved.mapInArrow(merge_runs, SPANS).groupBy(key.alias("key")).agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
+    return texts.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "th", "text", "spans").mapInArrow(cut_texts, RESULT)
