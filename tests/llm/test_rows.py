@@ -13,7 +13,7 @@ from tests_llm_helpers import ordered, prose, rows_of
 
 from wayfare.llm import language, licenses, quality
 from wayfare.llm.license_texts import TEMPLATES
-from wayfare.llm.tokencount import token_counts
+from wayfare.llm.tokencount import piece_counts, token_counts
 
 # ---- op9 ----
 
@@ -45,6 +45,20 @@ def test_token_counts_of_any_text(make, tokenizer, texts):
     assert got == [(i, len(tokenizer.encode(t, add_special_tokens=False))) for i, t, *_ in rows]
 
 
+@pytest.mark.parametrize("hot", [0, 3, 40])
+def test_token_counts_by_exchange_are_the_librarys(make, edge_rows, tokenizer, hot):
+    rows = edge_rows + [(100 + i, t, None, None) for i, t in enumerate(TRICKY)]
+    got = rows_of(token_counts(make(rows), PATH, hot_entries=hot), "doc_id", "n_tokens", "n_pretokens")
+    assert got == ordered([(i, len(tokenizer.encode(t or "", add_special_tokens=False)), len((t or "").encode().split())) for i, t, *_ in rows])
+
+
+def test_pieces_are_counted_once_per_distinct_pretoken(make, edge_rows):
+    counted = piece_counts(make(edge_rows), PATH)
+    words = [w for _, t, *_ in edge_rows for w in (t or "").encode().split()]
+    assert counted.count() == counted.select("digest").distinct().count() == len(set(words))
+    assert counted.agg({"times": "sum"}).first()[0] == len(words)
+
+
 def test_token_counts_of_nothing(make):
     assert token_counts(make([]), PATH).count() == 0
 

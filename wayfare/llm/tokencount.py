@@ -2,13 +2,17 @@
 
 A pre-token is a run of characters between ASCII white space. The vocabulary
 splits at white space and never joins across it, so the tokens of a text are
-the sum over its pre-tokens. Each block of documents becomes a flat column of
-pre-tokens that is dictionary-encoded: the dictionary holds each distinct
-pre-token once, the indices are the join from the documents' occurrences to it.
-The library counts the pieces of dictionary entries not met before in the task;
-sums per document are differences of a running total. Nothing is shuffled: the
-per-document frequencies are about as large as the text, their join by key
-would move all of it.
+the sum over its pre-tokens.
+
+*Vocabulary.* Distinct pre-tokens and how often they occur are one aggregate,
+combined per block and per task before its exchange. The library counts the
+pieces of each distinct pre-token once, in a table keyed by a 128-bit digest.
+
+*Join.* That table meets the frequencies of the documents in two parts. The
+most frequent pre-tokens, at most ``HOT_ENTRIES``, are broadcast: they make up
+nearly all occurrences, and every pre-token that could skew an exchange is
+among them. The frequencies of all others are exchanged and joined by digest,
+and their sums added. No text and no ids are moved.
 
 A special token's string inside a text never holds white space, so it lies in
 one pre-token and is treated there as the library treats it.
@@ -21,54 +25,114 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from wayfare.llm.common import blocks
+from wayfare.llm.common import blocks, stored
 
-#: Distinct pre-tokens whose counts a task keeps; beyond it the memory starts anew, which costs time only.
-MEMO_ENTRIES = 500_000
-#: A pre-token longer than this is counted but not remembered.
-MEMO_BYTES = 64
+#: Pre-tokens that are broadcast: at most so many, each with 16 bytes of digest and its count.
+HOT_ENTRIES = 250_000
+#: Steps of frequency, per doubling, among which the least one of a broadcast pre-token is chosen.
+STEPS = 8
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, n_pretokens long, over_limit boolean"
+PARTS = "key long, doc_id long, n_bytes long, n_pretokens long, hot_tokens long, rare array<struct<digest: binary, times: long>>"
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
-    """One row per row of ``docs``: bytes, tokens, pre-tokens, and whether the tokens exceed ``limit``.
+def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of all texts, the place among them of each occurrence, and where each text's occurrences end."""
+    words: list[bytes] = []
+    ends = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words += text.split()
+        ends[i] = len(words)
+    encoded = pa.array(words, pa.binary()).dictionary_encode()
+    return encoded.dictionary.to_pylist(), encoded.indices.to_numpy(), ends
 
-    A null or empty text has no tokens. Repeated rows give repeated results, a
-    null doc_id stays null, an empty table gives an empty result, and columns
-    other than doc_id and text are not read.
-    """
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in blocks(batches):
+        words, at, _ = _split(texts)
+        yield pa.record_batch([pa.array(words, pa.binary()), pa.array(np.bincount(at, minlength=len(words)))], names=["word", "times"])
+
+
+def piece_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """digest, times and pieces of each distinct pre-token of ``docs``; the library sees each of them once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import xxhash
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        memo: dict[bytes, int] = {}
-        for part, texts in blocks(batches):
-            words: list[bytes] = []
-            ends = []
-            for text in texts:
-                words += text.split()
-                ends.append(len(words))
-            encoded = pa.array(words, pa.binary()).dictionary_encode()
-            distinct = encoded.dictionary.to_pylist()
-            new = [w for w in distinct if w not in memo]
-            found = dict(zip(new, (len(e) for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)), strict=True))
-            pieces = np.fromiter((memo[w] if w in memo else found[w] for w in distinct), np.int64, len(distinct))
-            if len(memo) + len(found) > MEMO_ENTRIES:
-                memo.clear()
-            memo |= {w: n for w, n in found.items() if len(w) <= MEMO_BYTES}
-            total = np.concatenate([[0], np.cumsum(pieces[encoded.indices.to_numpy()])])
-            at = np.array([0, *ends])
-            tokens = np.diff(total[at])
+        for part, words in blocks(batches, text="word"):
+            found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
             yield pa.record_batch(
-                [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(tokens > limit)],
-                names=["doc_id", "n_bytes", "n_tokens", "n_pretokens", "over_limit"],
+                [pa.array([xxhash.xxh128_digest(w) for w in words], pa.binary()), part.column(1), pa.array([len(e) for e in found], pa.int64())],
+                names=["digest", "times", "pieces"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(count, SCHEMA)
+    distinct = docs.select("text").mapInArrow(_occurrences, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    return distinct.mapInArrow(count, "digest binary, times long, pieces long")
+
+
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The most frequent rows of ``counted``: as many whole steps of frequency as hold ``most`` rows or fewer."""
+    step = F.floor(F.log2("times") * STEPS).cast("int")
+    least, held = None, 0
+    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    return counted.filter(step >= least) if least is not None else counted.limit(0)
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, hot_entries: int = HOT_ENTRIES) -> DataFrame:
+    """One row per row of ``docs``: bytes, tokens, pre-tokens, and whether the tokens exceed ``limit``.
+
+    A null or empty text has no tokens. Repeated rows give repeated results, a
+    null doc_id stays null, an empty table gives an empty result; a very long
+    text is split as a whole, in a block of its own; columns other than doc_id
+    and text are not read.
+    """
+    counted = stored(piece_counts(docs, tokenizer_path))
+    hot = _frequent(counted, hot_entries).select("digest", "pieces").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(hot["digest"].to_pylist(), hot["pieces"].to_pylist(), strict=True)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        known = shared.value
+        # Rows are told apart by task and place; the result is written, so both hold.
+        key = TaskContext.get().partitionId() << 40
+        rare_type = pa.struct([("digest", pa.binary()), ("times", pa.int64())])
+        for part, texts in blocks(batches):
+            words, at, ends = _split(texts)
+            digests = [xxhash.xxh128_digest(w) for w in words]
+            pieces = np.fromiter((known.get(d, -1) for d in digests), np.int64, len(words))
+            each = pieces[at] if len(words) else np.zeros(0, np.int64)
+            total = np.concatenate([[0], np.cumsum(np.maximum(each, 0))])
+            begins = np.concatenate([[0], ends[:-1]])
+            rare = np.flatnonzero(each < 0)
+            row = np.searchsorted(ends, rare, side="right")
+            pairs, times = np.unique(row * max(len(words), 1) + at[rare], return_counts=True) if len(rare) else (np.zeros(0, np.int64),) * 2
+            of, word = np.divmod(pairs, max(len(words), 1))
+            entries = pa.StructArray.from_arrays([pa.array([digests[w] for w in word.tolist()], pa.binary()), pa.array(times.astype(np.int64))], fields=list(rare_type))
+            offsets = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.record_batch(
+                [
+                    pa.array(key + np.arange(len(texts))), part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(ends - begins),
+                    pa.array(total[ends] - total[begins]), pa.ListArray.from_arrays(pa.array(offsets), entries),
+                ],
+                names=["key", "doc_id", "n_bytes", "n_pretokens", "hot_tokens", "rare"],
+            )
+            key += len(texts)
+
+    parts = stored(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(count, PARTS))
+    rare = parts.select("key", F.explode("rare").alias("r")).select("key", "r.digest", "r.times").join(counted.select("digest", "pieces"), "digest")
+    sums = rare.groupBy("key").agg(F.sum(F.col("times") * F.col("pieces")).alias("rare_tokens"))
+    tokens = F.col("hot_tokens") + F.coalesce("rare_tokens", F.lit(0))
+    return parts.join(sums, "key", "left").select("doc_id", "n_bytes", tokens.alias("n_tokens"), "n_pretokens", (tokens > limit).alias("over_limit"))
