@@ -347,3 +347,18 @@ def test_keep_leaves_the_cursor(store):
     assert ingest.read_cursor(store, "s") == '{"n": 1}'
     ingest.record_success(store, "s", NOW, None)
     assert ingest.read_cursor(store, "s") == "null" and cursors.read_cursor("null", "n", int) is None
+
+
+def test_a_lost_writers_lock_lapses(spark, tmp_path):
+    import time
+
+    store = Store(spark, f"file://{tmp_path}/leased")
+    store.migrate()
+    fs, path = store._path("events", "_LOCK")
+    assert fs.createNewFile(path)
+    with pytest.raises(TimeoutError), store.locked("events", wait_s=0.3):
+        pass
+    fs.setTimes(path, int((time.time() - 100) * 1000), -1)
+    with store.locked("events", wait_s=5, lease_s=50):
+        assert fs.exists(path)
+    assert not fs.exists(path)

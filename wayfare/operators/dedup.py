@@ -20,11 +20,17 @@ def last_wins(batch: DataFrame, keys: Sequence[str], position: Sequence[Column])
 
 def _copies(a: str, b: str, days: int) -> Column:
     near = F.abs(F.unix_millis(F.col(f"{a}.start_at")) - F.unix_millis(F.col(f"{b}.start_at"))) <= days * _DAY_MS
-    return (F.col(f"{a}.dedup_key") == F.col(f"{b}.dedup_key")) & (F.col(f"{a}.source_id") != F.col(f"{b}.source_id")) & near
+    return (F.col(f"{a}.dedup_key") == F.col(f"{b}.dedup_key")) & (F.col(f"{a}.bucket") == F.col(f"{b}.bucket")) & (F.col(f"{a}.source_id") != F.col(f"{b}.source_id")) & near
 
 
-def _reduced(existing: DataFrame) -> DataFrame:
-    return existing.filter("dedup_key is not null").select("id", "source_id", "external_id", "dedup_key", "start_at")
+def _bucket(days: int) -> Column:
+    return F.floor(F.unix_millis(F.col("start_at")) / (days * _DAY_MS))
+
+
+def _reduced(existing: DataFrame, days: int) -> DataFrame:
+    """Stored rows in their own stretch of ``days`` and both beside it: a generic headline meets only what is near in time."""
+    rows = existing.filter("dedup_key is not null").select("id", "source_id", "external_id", "dedup_key", "start_at")
+    return rows.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: _bucket(days) + i)))
 
 
 def not_suppressed(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSION_DAYS) -> DataFrame:
@@ -33,12 +39,13 @@ def not_suppressed(incoming: DataFrame, existing: DataFrame, days: int = SUPPRES
     Only what was stored before the batch is consulted. A join on the key with
     the band as a residual condition; rows without a key never match.
     """
-    return incoming.alias("n").join(_reduced(existing).alias("e"), _copies("n", "e", days), "left_anti")
+    placed = incoming.withColumn("bucket", _bucket(days)).alias("n")
+    return placed.join(_reduced(existing, days).alias("e"), _copies("n", "e", days), "left_anti").drop("bucket")
 
 
 def suppressed(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSION_DAYS) -> DataFrame:
     """Incoming rows that were told before, each with the stored row of the smallest id."""
-    found = incoming.alias("n").join(_reduced(existing).alias("e"), _copies("n", "e", days))
+    found = incoming.withColumn("bucket", _bucket(days)).alias("n").join(_reduced(existing, days).alias("e"), _copies("n", "e", days))
     first = F.min_by(F.struct("e.source_id", "e.external_id", "e.id"), F.col("e.id"))
     return (
         found.groupBy(F.col("n.source_id").alias("source_id"), F.col("n.external_id").alias("external_id"), F.col("n.dedup_key").alias("dedup_key"))

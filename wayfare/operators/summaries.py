@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +16,12 @@ def severity(level: Column) -> Column:
 
 def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group with their rank, and how many more it has."""
-    within = Window.partitionBy(*group)
-    ranked = rows.withColumn("rank", F.row_number().over(within.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(within) - k, F.lit(0)))
-    return ranked.filter(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    # The rank's bound alone stands over the window, so that each task keeps k rows of a group before the exchange.
+    top = rows.withColumn("rank", rank).filter(F.col("rank") <= k).alias("t")
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).alias("s")
+    same = reduce(lambda a, b: a & b, [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group])
+    return top.join(sizes, same).select("t.*", F.greatest(F.col("s.n") - k, F.lit(0)).alias("more"))
 
 
 def by_point(rows: DataFrame, order: Sequence[Column], point: str = "location", first: str = "venue_name") -> DataFrame:

@@ -82,10 +82,14 @@ def audit_institution(listed: DataFrame, details: DataFrame, institution: str, n
     )
 
 
+#: Tasks that write one source at most.
+WRITERS = 16
+
+
 def summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "stage").agg(F.count("*").alias("n")).orderBy("source", "stage")
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """JSON lines, one folder per source."""
-    rows.repartition("source").write.mode("overwrite").partitionBy("source").json(path)
+    """JSON lines, one folder per source; a large source is written by several tasks."""
+    rows.repartition("source", F.pmod(F.xxhash64("id"), F.lit(WRITERS))).write.mode("overwrite").partitionBy("source").json(path)

@@ -215,19 +215,19 @@ def incremental_delta(spark, sf_dir):
     return filters.after(table(spark, sf_dir, "events"), "event_id", 750).select("event_id", "event_type")
 
 
-@group("""SELECT id FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 0)
+@group("""SELECT id FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus = 'O' UNION SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus <> 'O')
 ORDER BY CAST(id AS BIGINT) DESC LIMIT 800""")
 def seen_set_bounded_numeric(spark, sf_dir):
-    ids = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("id"))
-    return cursors.largest_seen(ids.filter("o_orderkey % 7 = 0"), ids.filter("o_orderkey % 5 = 0"), "id")
+    ids = table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_orderkey").cast("string").alias("id"))
+    return cursors.largest_seen(ids.filter("o_orderstatus = 'O'"), ids.filter("o_orderstatus <> 'O'"), "id")
 
 
 @group("""SELECT path, row_number() OVER (ORDER BY part, pos) AS place FROM (SELECT * FROM (
-  SELECT 'p' || o_orderkey AS path, 0 AS part, o_orderkey AS pos FROM orders WHERE o_orderkey % 2 = 0 UNION ALL
-  SELECT 'p' || o_orderkey, 1, o_orderkey FROM orders WHERE o_orderkey % 101 = 1) ORDER BY part DESC, pos DESC LIMIT 200)""")
+  SELECT 'p' || o_orderkey AS path, 0 AS part, o_orderkey AS pos FROM orders WHERE o_orderdate < TIMESTAMP '1998-07-25' UNION ALL
+  SELECT 'p' || o_orderkey, 1, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-25') ORDER BY part DESC, pos DESC LIMIT 200)""")
 def seen_set_bounded_recent(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), "o_orderkey").alias("path"), F.col("o_orderkey").alias("pos"))
-    kept = cursors.latest_seen(rows.filter("pos % 2 = 0"), rows.filter("pos % 101 = 1"), "path", "pos")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), "o_orderkey").alias("path"), F.col("o_orderkey").alias("pos"), (F.col("o_orderdate") < ntz("1998-07-25")).alias("old"))
+    kept = cursors.latest_seen(rows.filter("old"), rows.filter("not old"), "path", "pos")
     return kept.withColumn("place", F.col("place").cast("long"))
 
 

@@ -22,15 +22,15 @@ def batch_dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
 
 
-#: Stored: orders not divisible by 3. Incoming: even ones, dearer by 10, with no clerk's note where the key is divisible by 4.
-SQL_EXISTING = "(SELECT o_orderkey AS id, 's' || o_custkey % 4 AS source_id, 'o' || o_orderkey AS external_id, o_orderpriority AS title, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0)"
+#: Stored: orders not divisible by 6. Incoming: even ones, dearer by 10, with no clerk's note where the key is divisible by 4.
+SQL_EXISTING = "(SELECT o_orderkey AS id, 's' || o_custkey % 4 AS source_id, 'o' || o_orderkey AS external_id, o_orderpriority AS title, o_totalprice AS price FROM orders WHERE o_orderkey % 6 <> 0)"
 SQL_INCOMING = "(SELECT 's' || o_custkey % 4 AS source_id, 'o' || o_orderkey AS external_id, CASE WHEN o_orderkey % 4 <> 0 THEN lower(o_orderpriority) END AS title, o_totalprice + 10 AS price FROM orders WHERE o_orderkey % 2 = 0)"
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders")
     key = [F.concat(F.lit("s"), F.col("o_custkey") % 4).alias("source_id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("external_id")]
-    existing = orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), *key, F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("price"))
+    existing = orders.filter("o_orderkey % 6 <> 0").select(F.col("o_orderkey").alias("id"), *key, F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("price"))
     title = F.when(F.col("o_orderkey") % 4 != 0, F.lower("o_orderpriority"))
     return existing, orders.filter("o_orderkey % 2 = 0").select(*key, title.alias("title"), (F.col("o_totalprice") + 10).alias("price"))
 
@@ -57,10 +57,10 @@ def upsert_counts(spark, sf_dir):
 
 
 @group("""SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0
-UNION ALL SELECT c_custkey, 'new ' || c_name, c_mktsegment FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 = 0""")
+UNION ALL SELECT c_custkey, 'new ' || c_name, c_mktsegment FROM customer WHERE c_custkey % 5 = 0""")
 def insert_or_ignore(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    offered = customers.filter("c_custkey % 3 = 0").withColumn("c_name", F.concat(F.lit("new "), "c_name"))
+    offered = customers.withColumn("c_name", F.concat(F.lit("new "), "c_name"))
     return merge.insert_or_ignore(customers.filter("c_custkey % 5 <> 0"), offered, ["c_custkey"])
 
 
@@ -117,28 +117,28 @@ def absence_sweep_count(spark, sf_dir):
     return swept(spark, sf_dir).agg(F.count_if("_flipped").alias("cancelled"))
 
 
-@group("SELECT row_number() OVER (ORDER BY s_suppkey) AS n, s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0")
+@group("SELECT row_number() OVER (ORDER BY s_suppkey) AS n, s_suppkey, s_name FROM supplier")
 def snapshot_replace(spark, sf_dir):
-    snapshot = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select("s_suppkey", "s_name")
+    snapshot = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     # One cell: ids follow the key, as the SQL's do.
     return merge.with_new_ids(snapshot, ["s_suppkey"], 0, "n", cells=1).select("n", "s_suppkey", "s_name")
 
 
 @group("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'quality-' || l.quality ELSE 'lang-' || d.lang END AS reason,
   CASE WHEN d.doc_id IS NOT NULL THEN 1 ELSE 2 END AS first_seen, CASE WHEN l.doc_id IS NOT NULL THEN 2 ELSE 1 END AS last_seen
-FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def quarantine_refresh(spark, sf_dir):
-    existing = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("lang-"), "lang").alias("reason"), F.lit(1).alias("first_seen"), F.lit(1).alias("last_seen"))
+    existing = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("lang-"), "lang").alias("reason"), F.lit(1).alias("first_seen"), F.lit(1).alias("last_seen"))
     incoming = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality-"), "quality").alias("reason"))
     seen = F.lit(2)
     return merge.merged(existing, incoming, ["doc_id"], {"reason": F.col("n.reason"), "last_seen": seen}, {"first_seen": seen, "last_seen": seen}).drop("_change")
 
 
-@group("""SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS severity FROM orders WHERE o_orderpriority <> '5-LOW' ORDER BY 3, 1 LIMIT 200""")
+@group("""SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS severity FROM orders WHERE o_orderpriority <> '5-LOW' ORDER BY 3, 1""")
 def alerts_severity_order(spark, sf_dir):
     level = F.when(F.col("o_orderpriority") == "1-URGENT", "interrumpido").when(F.col("o_orderpriority") == "2-HIGH", "restringido").otherwise("normal")
     rows = table(spark, sf_dir, "orders").filter("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_orderpriority", summaries.severity(level).alias("severity"))
-    return rows.orderBy("severity", "o_orderkey").limit(200)
+    return rows.orderBy("severity", "o_orderkey")
 
 
 @group("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
@@ -153,7 +153,8 @@ def orphan_rows(spark, sf_dir):
     return unseen(table(spark, sf_dir, "lineitem"), parents, "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
-@group(None)
+@group("""SELECT CASE WHEN k % 6 = 0 THEN 'inserted' WHEN k % 2 = 0 THEN 'updated' ELSE 'kept' END AS _change, count(*) AS n, count(*) AS with_ingested,
+  count(*) FILTER (k % 2 = 0) AS with_updated FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1""")
 def upsert_events_table(spark, sf_dir):
     """The events table's own upsert, over rows made from orders: every column by its policy."""
     from wayfare import schemas
@@ -162,6 +163,6 @@ def upsert_events_table(spark, sf_dir):
     base = {"id": "o_orderkey", "source_id": "o_orderpriority", "external_id": "cast(o_orderkey as string)", "title": "o_orderstatus", "start_at": "cast(o_orderdate as timestamp)", "state": "'scheduled'", "category": "'civil'", "region_id": "1L"}
     at = F.lit("2002-01-01").cast("timestamp")
     empty = spark.createDataFrame([], schemas.EVENTS)
-    stored = orders.filter("o_orderkey % 3 <> 0").select(*[F.expr(base.get(f.name, "null")).cast(f.dataType).alias(f.name) for f in empty.schema]).withColumn("ingested_at", at)
+    stored = orders.filter("o_orderkey % 6 <> 0").select(*[F.expr(base.get(f.name, "null")).cast(f.dataType).alias(f.name) for f in empty.schema]).withColumn("ingested_at", at)
     incoming = orders.filter("o_orderkey % 2 = 0").select(*[F.expr(base.get(f.name, "null")).cast(f.dataType).alias(f.name) for f in empty.schema if f.name not in ("id", "ingested_at", "updated_at")])
     return upserted(stored, incoming, F.lit("2003-01-01").cast("timestamp")).groupBy("_change").agg(F.count("*").alias("n"), F.count("ingested_at").alias("with_ingested"), F.count("updated_at").alias("with_updated"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
@@ -14,14 +13,12 @@ from wayfare.streaming.incremental import event_files, merge_into, run_available
 group = Group()
 
 
-@group(None)
+@group("SELECT 's' || user_id % 3 AS source_id, count(*) AS n, count(*) AS ids FROM events GROUP BY 1")
 def stream_upsert(spark, sf_dir):
     """All events arrive as files, the first third twice; the store ends with each of them once."""
-    import os
-    import tempfile
+    from wayfare.plans.queries.rules import shared_root
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='wayfare-')}"
-    root = os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    root = shared_root(spark, "stream")
     events = table(spark, sf_dir, "events")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = events.select(

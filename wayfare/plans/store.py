@@ -3,7 +3,8 @@
 A write makes a new version beside the old and then moves the pointer, so
 readers see the old rows or the new, and a failed write changes nothing. Files
 are reached by Hadoop's file systems: the root may be in any store Spark knows.
-One writer at a time holds the table's lock file.
+One writer at a time holds the table's lock file, which lapses if its holder is
+lost.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ LAYOUT = {
     "road_alerts": (schemas.ROAD_ALERTS, ()),
 }
 VERSIONS_KEPT = 2
+#: Seconds after which a lock counts as left behind: longer than any write takes.
+LEASE_S = 6 * 3600
 
 
 class Store:
@@ -58,10 +61,17 @@ class Store:
             fs.rename(temporary, path)
 
     @contextmanager
-    def locked(self, table: str, wait_s: float = 60) -> Iterator[None]:
+    def locked(self, table: str, wait_s: float = 60, lease_s: float = LEASE_S) -> Iterator[None]:
+        """Hold the table's lock file. One whose holder was lost is taken over once it is older than ``lease_s``."""
         fs, path = self._path(table, "_LOCK")
         end = time.time() + wait_s
         while not fs.createNewFile(path):
+            if self._expired(fs, path, lease_s):
+                # Only one of those that wait can rename it away; the others find it gone or new.
+                stale = self._path(table, f"._LOCK-{uuid.uuid4().hex}")[1]
+                if fs.rename(path, stale):
+                    fs.delete(stale, False)
+                continue
             if time.time() > end:
                 raise TimeoutError(f"{table} is locked")
             time.sleep(0.1)
@@ -70,6 +80,11 @@ class Store:
         finally:
             fs.delete(path, False)
 
+    @staticmethod
+    def _expired(fs, path, lease_s: float) -> bool:
+        found = [s for s in fs.globStatus(path) or ()]
+        return bool(found) and time.time() - found[0].getModificationTime() / 1000 > lease_s
+
     def version(self, table: str) -> str | None:
         return self._text(table, "_CURRENT")
 
