@@ -38,8 +38,11 @@ CALIBRATE_EVERY = 4
 LENGTHS = (20, 100, 500)
 PIECES = (10, 20, 100, 500)
 PIECES_PER_TEXT = 3
-#: Percentiles of a language's own pieces and of its nearest neighbours' pieces between which the limit lies half-way; it is never under OWN_LEAST.
-OWN, OWN_LEAST, RIVAL = 95, 99, 5
+#: Percentiles of a language's own pieces and of its nearest neighbours' pieces between which the limit lies half-way.
+#: The neighbours' median, not their least: labelled rows hold passages of other languages.
+OWN, RIVAL = 95, 50
+#: The limit is at least this percentile of the own pieces, and at least so many nats above OWN: a text with passages of another language, or with codes and numbers, stays.
+OWN_LEAST, LEAST_SLACK = 99, 0.5
 #: Nats per character above OWN where no other language is there to compare with.
 SLACK = 1.5
 TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
@@ -393,7 +396,7 @@ def calibrate(by: Classifier, held: DataFrame, seed: int) -> None:
                 by.limits[b, k] = by.limits[max(b - 1, 0), k]
             elif len(rival):
                 low, high = np.percentile(own, OWN), np.percentile(rival, RIVAL)
-                by.limits[b, k] = max(np.percentile(own, OWN_LEAST), (low + high) / 2)
+                by.limits[b, k] = max(np.percentile(own, OWN_LEAST), low + LEAST_SLACK, (low + high) / 2)
             else:
                 by.limits[b, k] = np.percentile(own, OWN) + SLACK
     if len(state):
