@@ -55,7 +55,7 @@ def test_token_counts_by_exchange_are_the_librarys(make, edge_rows, tokenizer, h
 def test_pieces_are_counted_once_per_distinct_pretoken(make, edge_rows):
     counted = piece_counts(make(edge_rows), PATH)
     words = [w for _, t, *_ in edge_rows for w in (t or "").encode().split()]
-    assert counted.count() == counted.select("digest").distinct().count() == len(set(words))
+    assert counted.count() == counted.select("name").distinct().count() == len(set(words))
     assert counted.agg({"times": "sum"}).first()[0] == len(words)
 
 

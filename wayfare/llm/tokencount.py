@@ -6,12 +6,13 @@ the sum over its pre-tokens.
 
 *Vocabulary.* Distinct pre-tokens and how often they occur are one aggregate,
 combined per block and per task before its exchange. The library counts the
-pieces of each distinct pre-token once, in a table keyed by a 128-bit digest.
+pieces of each distinct pre-token once, in a table by name: the pre-token
+itself, or the 128-bit digest of a long one.
 
 *Join.* That table meets the frequencies of the documents in two parts. The
 most frequent pre-tokens, at most ``HOT_ENTRIES``, are broadcast: they make up
 nearly all occurrences, and every pre-token that could skew an exchange is
-among them. The frequencies of all others are exchanged and joined by digest,
+among them. The frequencies of all others are exchanged and joined by name,
 and their sums added. No text and no ids are moved.
 
 A special token's string inside a text never holds white space, so it lies in
@@ -31,12 +32,20 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import blocks, stored
 
-#: Pre-tokens that are broadcast: at most so many, each with 16 bytes of digest and its count.
+#: Pre-tokens that are broadcast: at most so many, each with a name of 16 bytes at most and its count.
 HOT_ENTRIES = 250_000
 #: Steps of frequency, per doubling, among which the least one of a broadcast pre-token is chosen.
 STEPS = 8
+#: A pre-token of so many bytes or more goes by its digest, which has just so many: no short name is one.
+DIGEST_BYTES = 16
 
-PARTS = "key long, doc_id long, n_bytes long, n_pretokens long, hot_tokens long, rare array<struct<digest: binary, times: long>>"
+PARTS = "key long, doc_id long, n_bytes long, n_pretokens long, hot_tokens long, rare array<struct<name: binary, times: long>>"
+
+
+def _names(words: list[bytes]) -> list[bytes]:
+    import xxhash
+
+    return [w if len(w) < DIGEST_BYTES else xxhash.xxh128_digest(w) for w in words]
 
 
 def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -57,11 +66,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def piece_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """digest, times and pieces of each distinct pre-token of ``docs``; the library sees each of them once."""
+    """name, times and pieces of each distinct pre-token of ``docs``; the library sees each of them once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import xxhash
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -70,12 +78,12 @@ def piece_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for part, words in blocks(batches, text="word"):
             found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
             yield pa.record_batch(
-                [pa.array([xxhash.xxh128_digest(w) for w in words], pa.binary()), part.column(1), pa.array([len(e) for e in found], pa.int64())],
-                names=["digest", "times", "pieces"],
+                [pa.array(_names(words), pa.binary()), part.column(1), pa.array([len(e) for e in found], pa.int64())],
+                names=["name", "times", "pieces"],
             )
 
     distinct = docs.select("text").mapInArrow(_occurrences, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    return distinct.mapInArrow(count, "digest binary, times long, pieces long")
+    return distinct.mapInArrow(count, "name binary, times long, pieces long")
 
 
 def _frequent(counted: DataFrame, most: int) -> DataFrame:
@@ -99,20 +107,18 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, hot_en
     and text are not read.
     """
     counted = stored(piece_counts(docs, tokenizer_path))
-    hot = _frequent(counted, hot_entries).select("digest", "pieces").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(hot["digest"].to_pylist(), hot["pieces"].to_pylist(), strict=True)))
+    hot = _frequent(counted, hot_entries).select("name", "pieces").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(hot["name"].to_pylist(), hot["pieces"].to_pylist(), strict=True)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         known = shared.value
         # Rows are told apart by task and place; the result is written, so both hold.
         key = TaskContext.get().partitionId() << 40
-        rare_type = pa.struct([("digest", pa.binary()), ("times", pa.int64())])
+        rare_type = pa.struct([("name", pa.binary()), ("times", pa.int64())])
         for part, texts in blocks(batches):
             words, at, ends = _split(texts)
-            digests = [xxhash.xxh128_digest(w) for w in words]
-            pieces = np.fromiter((known.get(d, -1) for d in digests), np.int64, len(words))
+            called = _names(words)
+            pieces = np.fromiter((known.get(w, -1) for w in called), np.int64, len(words))
             each = pieces[at] if len(words) else np.zeros(0, np.int64)
             total = np.concatenate([[0], np.cumsum(np.maximum(each, 0))])
             begins = np.concatenate([[0], ends[:-1]])
@@ -120,7 +126,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, hot_en
             row = np.searchsorted(ends, rare, side="right")
             pairs, times = np.unique(row * max(len(words), 1) + at[rare], return_counts=True) if len(rare) else (np.zeros(0, np.int64),) * 2
             of, word = np.divmod(pairs, max(len(words), 1))
-            entries = pa.StructArray.from_arrays([pa.array([digests[w] for w in word.tolist()], pa.binary()), pa.array(times.astype(np.int64))], fields=list(rare_type))
+            entries = pa.StructArray.from_arrays([pa.array([called[w] for w in word.tolist()], pa.binary()), pa.array(times.astype(np.int64))], fields=list(rare_type))
             offsets = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.record_batch(
                 [
@@ -132,7 +138,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, hot_en
             key += len(texts)
 
     parts = stored(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(count, PARTS))
-    rare = parts.select("key", F.explode("rare").alias("r")).select("key", "r.digest", "r.times").join(counted.select("digest", "pieces"), "digest")
+    rare = parts.select("key", F.explode("rare").alias("r")).select("key", "r.name", "r.times").join(counted.select("name", "pieces"), "name")
     sums = rare.groupBy("key").agg(F.sum(F.col("times") * F.col("pieces")).alias("rare_tokens"))
     tokens = F.col("hot_tokens") + F.coalesce("rare_tokens", F.lit(0))
     return parts.join(sums, "key", "left").select("doc_id", "n_bytes", tokens.alias("n_tokens"), "n_pretokens", (tokens > limit).alias("over_limit"))
