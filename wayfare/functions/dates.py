@@ -21,6 +21,7 @@ _S = SPACE + "+"
 _DAY = r"(\d{1,2})"
 _MONTH = f"({'|'.join(MONTHS)})"
 _YEAR = rf"(?:{_S}de{_S}(\d{{4}}))?"
+# The patterns of announced dates, from the most to the least specific.
 CROSS_MONTH = rf"(?:del|desde el){_S}{_DAY}{_S}de{_S}{_MONTH}{_YEAR}{_S}(?:al|hasta el){_S}{_DAY}{_S}de{_S}{_MONTH}{_YEAR}"
 SAME_MONTH = rf"del{_S}{_DAY}{_S}al{_S}{_DAY}{_S}de{_S}{_MONTH}{_YEAR}"
 OPEN_START = rf"a partir del{_S}{_DAY}{_S}de{_S}{_MONTH}{_YEAR}"
