@@ -102,7 +102,7 @@ def scraped_to_rows(spark, sf_dir):
 
 
 @group(f"""SELECT k, CASE WHEN k % 2 = 0 THEN '{{"titulo":"Acto ' || k || '"}}' ELSE '{{}}' END AS body FROM {SQL_ORDERS}""")
-def optional_fields(spark, sf_dir):
+def blank_fields(spark, sf_dir):
     return orders(spark, sf_dir).select("k", F.to_json(F.struct(text.blank_to_null(F.expr("CASE WHEN k % 2 = 0 THEN concat(' Acto ', k) ELSE '  ' END")).alias("titulo"), text.blank_to_null(F.lit("")).alias("lugar"))).alias("body"))
 
 
