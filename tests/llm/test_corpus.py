@@ -295,6 +295,30 @@ def test_ledger_scans_only_what_is_unseen(make):
     assert secrets.secret_digest(secrets.findings_by_version(third, newer), newer).first().n_assign == 1
 
 
+def test_ledger_lasts_and_covers_all_paths_and_revisions(spark, tmp_path):
+    def of(*rows):
+        return spark.createDataFrame(rows, "path string, revision int, text string, found2 string")
+
+    ledger, keys = secrets.Ledger(spark, f"file://{tmp_path}/ledger"), ("path", "revision")
+    assert ledger.runs() == [] and ledger.ledger().count() == 0
+    old = [("a", 1, "token=abcdefgh12", None), ("a", 2, "clean", None), ("b", 1, "token=abcdefgh12", None), (None, None, "token=abcdefgh12", None)]
+    scan = ledger.scan(of(*old), keys=keys)
+    n = len(secrets.RULES)
+    assert scan.scanned.count() == 2 * n and scan.found.count() == 1
+    got = sorted((r.path or "", r.revision or 0, len(r.found)) for r in secrets.findings_by_version(scan).collect())
+    assert got == [("", 0, 1), ("a", 1, 1), ("a", 2, 0), ("b", 1, 1)]
+    # The next run scans the one new blob and still finds the old one's spans at a new path.
+    again = secrets.Ledger(spark, f"file://{tmp_path}/ledger").scan(of(*old, ("c", 1, "token=abcdefgh12", None), ("c", 2, "secret: abcdefgh99", None)), keys=keys)
+    assert again.scanned.count() == n and again.found.count() == 1 and len(ledger.runs()) == 2
+    assert {(r.path, r.revision) for r in secrets.findings_by_version(again).filter("size(found) > 0").collect()} == {("a", 1), ("b", 1), (None, None), ("c", 1), ("c", 2)}
+    # Nothing new, nothing scanned; a run that was lost before its marker counts for nothing.
+    (tmp_path / "ledger" / "run-lost" / "ledger").mkdir(parents=True)
+    still = ledger.scan(of(*old), keys=keys)
+    assert still.scanned.count() == 0 and still.findings.count() == 2 and len(ledger.runs()) == 3
+    with pytest.raises(ValueError):
+        secrets.scan_versions(of(*old), keys=("path", "text"))
+
+
 # ---- op10 ----
 
 

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import table
+from wayfare.llm.common import drop_at_exit, shared_dir, table
 from wayfare.llm.decontaminate import contaminated
 from wayfare.llm.language import language_digest
 from wayfare.llm.licenses import license_matches
 from wayfare.llm.mixing import mix_digest
 from wayfare.llm.oracles import mix_sql, secrets_sql, seeds_sql
 from wayfare.llm.quality import quality
-from wayfare.llm.secrets import findings_by_version, scan_versions, secret_digest
+from wayfare.llm.secrets import Ledger, findings_by_version, secret_digest
 from wayfare.llm.sharding import shard_digest
 from wayfare.llm.simhash import simhash_digest
 from wayfare.llm.suffixes import repeated_bytes
@@ -52,8 +52,16 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(table(spark, sf_dir, "documents"))
 
 
+#: The setting that names a lasting ledger's folder; without it each run of the query has a new one.
+SECRET_LEDGER = "spark.wayfare.secretLedger"
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_digest(findings_by_version(scan_versions(table(spark, sf_dir, "documents"))))
+    root = spark.conf.get(SECRET_LEDGER, None)
+    if not root:
+        root = f"{shared_dir(spark)}.ledger"
+        drop_at_exit(spark, root)
+    return secret_digest(findings_by_version(Ledger(spark, root).scan(table(spark, sf_dir, "documents"))))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
