@@ -362,3 +362,36 @@ def test_a_lost_writers_lock_lapses(spark, tmp_path):
     with store.locked("events", wait_s=5, lease_s=50):
         assert fs.exists(path)
     assert not fs.exists(path)
+
+
+def test_a_merge_writes_what_it_touches(spark, store, monkeypatch):
+    ingest.upsert_events(store, events(spark, *[event(str(i)) for i in range(40)]), NOW)
+    store.replace("events", store.read("events"))
+    (base,) = store.version("events")
+    early = store.read("events")
+    for n in range(3):
+        got = ingest.upsert_events(store, events(spark, event("7", title=f"new {n}"), event(f"more {n}")), NOW)
+        assert (got.inserted, got.updated) == (1, 1)
+    first, *changes = store.version("events")
+    assert first == base and [spark.read.parquet(f"{store.root}/events/{c}").count() for c in changes] == [2, 2, 2]
+    rows = table(store)
+    assert len(rows) == 43 and rows["7"].title == "new 2" and len({r.id for r in rows.values()}) == 43
+    # A writer that was lost before the pointer moved has changed nothing.
+    spark.read.parquet(f"{store.root}/events/{changes[0]}").write.parquet(f"{store.root}/events/c-00000099-lost")
+    assert table(store) == rows
+    # Many change sets become a base; rows and readers of what was current stay.
+    monkeypatch.setattr("wayfare.plans.store.MOST_CHANGES", 3)
+    monkeypatch.setattr("wayfare.plans.store.RETAIN_S", -10)
+    last = store.read("events")
+    ingest.upsert_events(store, events(spark, event("7", title="folded")), NOW)
+    assert len(store.version("events")) == 1 and table(store)["7"].title == "folded" and len(table(store)) == 43
+    assert last.filter("external_id = '7'").first().title == "new 2" and early.count() == 40
+
+
+def test_filters_reach_the_base_below_changes(spark, store):
+    store.replace("events", store.read("events"))
+    ingest.upsert_events(store, events(spark, event("a"), event("b", start="2027-01-01T00:00:00-05:00")), NOW)
+    found = store.read("events").filter("start_at > timestamp'2026-12-01'")
+    assert [r.external_id for r in found.collect()] == ["b"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(start_at" in plan

@@ -12,12 +12,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of key hashes within which new ids are counted.
+#: Ranges of key hashes within which new ids are counted, at least; a session of many shuffle partitions has four to each.
 ID_CELLS = 256
 
 
-def with_new_ids(rows: DataFrame, keys: Sequence[str], start: int, column: str = "id", cells: int = ID_CELLS) -> DataFrame:
+def with_new_ids(rows: DataFrame, keys: Sequence[str], start: int, column: str = "id", cells: int | None = None) -> DataFrame:
     """Gapless ids after ``start``, by hash of the key: counted per cell of hashes, so no task numbers all rows."""
+    cells = cells or max(ID_CELLS, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cell = F.pmod(F.xxhash64(*keys), F.lit(cells))
     rows = rows.withColumn("_cell", cell)
     counts = rows.groupBy("_cell").agg(F.count("*").alias("_n"))

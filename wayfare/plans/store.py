@@ -1,6 +1,11 @@
-"""Tables as versioned Parquet folders with a pointer to the current one.
+"""Tables as Parquet folders with a pointer to those that are current.
 
-A write makes a new version beside the old and then moves the pointer, so
+A table is a base (``v-…``) and the change sets (``c-…``) written since: rows
+that take the place of those of the same key, or come anew. A merge writes a
+change set of the rows it touches, so what is written follows the batch and not
+the table; change sets are folded into a new base once they are many or large.
+
+A write makes its folder beside the others and then moves the pointer, so
 readers see the old rows or the new, and a failed write changes nothing. Files
 are reached by Hadoop's file systems: the root may be in any store Spark knows.
 One writer at a time holds the table's lock file, which lapses if its holder is
@@ -13,20 +18,27 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare import schemas
+from wayfare.operators.dedup import last_wins
 
+#: Of each table: schema, columns to cluster by, and the key of its change sets.
 LAYOUT = {
-    "events": (schemas.EVENTS, ("start_at",)),
-    "regions": (schemas.REGIONS, ()),
-    "ingest_state": (schemas.INGEST_STATE, ()),
-    "ingest_quarantine": (schemas.INGEST_QUARANTINE, ()),
-    "road_alerts": (schemas.ROAD_ALERTS, ()),
+    "events": (schemas.EVENTS, ("start_at",), ("source_id", "external_id")),
+    "regions": (schemas.REGIONS, (), ("country_code", "level", "slug")),
+    "ingest_state": (schemas.INGEST_STATE, (), ("source_id",)),
+    "ingest_quarantine": (schemas.INGEST_QUARANTINE, (), ("source_id", "external_id")),
+    "road_alerts": (schemas.ROAD_ALERTS, (), ("id",)),
 }
-VERSIONS_KEPT = 2
+#: Change sets are folded into the base beyond this number, or beyond a quarter of its bytes (and this many).
+MOST_CHANGES = 16
+FOLD_BYTES = 32 << 20
+#: Seconds for which a folder that isn't current stays for readers; what the pointer named before stays in any case.
+RETAIN_S = 3600
 #: Seconds after which a lock counts as left behind: longer than any write takes.
 LEASE_S = 6 * 3600
 
@@ -85,40 +97,70 @@ class Store:
         found = [s for s in fs.globStatus(path) or ()]
         return bool(found) and time.time() - found[0].getModificationTime() / 1000 > lease_s
 
-    def version(self, table: str) -> str | None:
-        return self._text(table, "_CURRENT")
+    def version(self, table: str) -> list[str]:
+        """The folders that are current: the base, then its change sets from old to new; none of a table that isn't there."""
+        return (self._text(table, "_CURRENT") or "").split()
+
+    def _folder(self, table: str, name: str) -> DataFrame:
+        return self.spark.read.schema(LAYOUT[table][0]).parquet(f"{self.root}/{table}/{name}")
 
     def read(self, table: str) -> DataFrame:
-        schema, _ = LAYOUT[table]
-        version = self.version(table)
-        if version is None:
+        schema, _, keys = LAYOUT[table]
+        base, *changes = self.version(table) or [None]
+        if base is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{version}")
+        rows = self._folder(table, base)
+        if changes:
+            each = [self._folder(table, name).withColumn("_at", F.lit(i)) for i, name in enumerate(changes)]
+            newest = last_wins(reduce(DataFrame.unionByName, each), keys, [F.col("_at")]).drop("_at")
+            # Filters on the table reach the base's scan through the anti-join.
+            rows = rows.join(newest.select(*keys), list(keys), "left_anti").select(*newest.columns).unionByName(newest)
+        return rows
 
     def replace(self, table: str, rows: DataFrame) -> DataFrame:
         """Make rows the table's content; returns them as read back. Rows are clustered for range filters where the layout says so."""
-        schema, cluster = LAYOUT[table]
+        self._point(table, [self._write(table, "v", rows)])
+        return self.read(table)
+
+    def change(self, table: str, rows: DataFrame) -> DataFrame:
+        """Put rows, of which no two share a key, in the place of those of their keys; returns the table as read back."""
         before = self.version(table)
-        number = int(before.split("-")[1]) + 1 if before else 1
-        version = f"v-{number:08d}-{uuid.uuid4().hex[:8]}"
+        if not before:
+            return self.replace(table, rows)
+        now = [*before, self._write(table, "c", rows)]
+        self._point(table, now)
+        base, *changes = (self._bytes(table, name) for name in now)
+        if len(changes) > MOST_CHANGES or sum(changes) > max(base // 4, FOLD_BYTES):
+            return self.replace(table, self.read(table))
+        return self.read(table)
+
+    def _write(self, table: str, kind: str, rows: DataFrame) -> str:
+        schema, cluster, _ = LAYOUT[table]
+        number = max((int(name.split("-")[1]) for name in self.version(table)), default=0) + 1
+        name = f"{kind}-{number:08d}-{uuid.uuid4().hex[:8]}"
         rows = rows.select(*schemas.column_names(schema))
         if cluster:
             rows = rows.repartitionByRange(*cluster).sortWithinPartitions(*cluster)
-        rows.write.parquet(f"{self.root}/{table}/{version}")
-        self._put(version, table, "_CURRENT")
-        self._forget(table)
-        return self.read(table)
+        rows.write.parquet(f"{self.root}/{table}/{name}")
+        return name
 
-    def _forget(self, table: str) -> None:
+    def _bytes(self, table: str, name: str) -> int:
+        fs, path = self._path(table, name)
+        return fs.getContentSummary(path).getLength()
+
+    def _point(self, table: str, names: list[str]) -> None:
+        before = self.version(table)
+        self._put(" ".join(names), table, "_CURRENT")
         fs, path = self._path(table)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v-"))
-        for name in names[:-VERSIONS_KEPT]:
-            fs.delete(self._path(table, name)[1], True)
+        for found in fs.listStatus(path):
+            name = found.getPath().getName()
+            if name[:2] in ("v-", "c-") and name not in (*names, *before) and time.time() - found.getModificationTime() / 1000 > RETAIN_S:
+                fs.delete(found.getPath(), True)
 
     def migrate(self) -> None:
         """Tables that aren't there yet are made, and the regions seeded."""
-        for table, (schema, _) in LAYOUT.items():
-            if self.version(table) is None:
+        for table, (schema, *_) in LAYOUT.items():
+            if not self.version(table):
                 self.replace(table, self.spark.createDataFrame([], schema))
         seed_regions(self)
 
