@@ -408,6 +408,30 @@ def test_links_of_clustered_fingerprints(spark, seed, chunk):
     assert groups(ours) == groups(theirs)
 
 
+@pytest.mark.parametrize("bits", [1, 3])
+def test_links_within_other_numbers_of_bits(spark, bits):
+    codes = clustered(9, 300)
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    frame = spark.createDataFrame([(signed(c),) for c in codes], "fp long").repartition(3)
+    centre = {r.fp: r.centre for r in simhash.connected(simhash.star_links(frame, bits)).collect()}
+    want = connected_by_hand(codes, bits)
+    ours, theirs = defaultdict(set), defaultdict(set)
+    for c in codes:
+        ours[centre.get(signed(c), signed(c))].add(c)
+        theirs[want[c]].add(c)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_some_route_keeps_whatever_bits_differ(bits):
+    blocks = lambda order: sum(((1 << w) - 1) << (64 - start - w) for start, w in order[:2])
+    leads = [blocks(order) for order in simhash.routes(bits)]
+    assert all(sorted(p for start, w in order for p in range(start, start + w)) == list(range(64)) for order in simhash.routes(bits))
+    for places in combinations(range(64), bits):
+        flipped = sum(1 << p for p in places)
+        assert any(not lead & flipped for lead in leads)
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3])
 def test_gray_index_finds_what_brute_force_finds(bits):
     for seed in range(5):
