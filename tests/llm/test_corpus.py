@@ -559,6 +559,14 @@ def test_rows_of_one_doc_id_and_none_are_told_apart(make):
     assert check_removed(make, rows) > 0
 
 
+def test_texts_are_exchanged_once(make):
+    """The exchange by key serves both joins; another one would move all texts again."""
+    shared = prose(32, 60)
+    found = suffixes.repeated_bytes(make([(i, prose(3100 + i, 20) + shared, None, None) for i in range(30)]))
+    assert sum(r.n_removed for r in found.collect()) > 0
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixtures_do_not_depend_on_the_order_of_rows(make):
     """Rows of one doc_id, and of none, with different texts."""
     rng = random.Random(22)

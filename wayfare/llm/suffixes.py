@@ -526,19 +526,17 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions_for(spark, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], TASK_BYTES)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
-        F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "doc_id", "text"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    own_id = F.coalesce("doc_id", F.lit(_NO_ID))
     # Rows of one doc_id, or without any, are told apart by their texts. Other rows of an equal key would only get grams that they lack.
-    key = F.xxhash64("id", "th")
-    texts = texts.withColumn("key", key)
+    texts = texts.withColumn("key", F.xxhash64(own_id, "th"))
     anchors = texts.select(F.col("key").alias("id"), "text").mapInArrow(find_anchors, ANCHORS)
     # What a run repeats itself comes as direct rows: they go by document, so that a very common gram isn't one task's.
     anchors = anchors.repartition(n, F.when(F.col("kind") == 2, F.xxhash64("gram", "id")).otherwise(F.col("gram")))
     grams = anchors.mapInArrow(repeated_anchors, "id long, gram long").groupBy(F.col("id").alias("key")).agg(F.collect_list("gram").alias("grams"))
-    # Both joins exchange the same columns of the texts by key (doc_id too, which runs don't need), so Spark moves them once.
+    # Both joins exchange the same columns of the texts by key, and ids are made after them, so Spark moves the texts once.
     chosen = texts.join(grams.hint("shuffle_hash"), "key")
-    moved = chosen.select("id", "th", "doc_id", "text", "grams").mapInArrow(make_runs(n), MOVED)
+    moved = chosen.select(own_id.alias("id"), "th", "text", "grams").mapInArrow(make_runs(n), MOVED)
     moved = moved.repartitionById(n, F.pmod("part", F.lit(n)))
-    spans = moved.mapInArrow(merge_runs, SPANS).groupBy(key.alias("key")).agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
+    spans = moved.mapInArrow(merge_runs, SPANS).groupBy(F.xxhash64("id", "th").alias("key")).agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
     return texts.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "th", "text", "spans").mapInArrow(cut_texts, RESULT)
