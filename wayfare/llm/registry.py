@@ -13,12 +13,15 @@ from wayfare.llm.language import language_digest
 from wayfare.llm.licenses import license_matches
 from wayfare.llm.mixing import mix_digest
 from wayfare.llm.oracles import mix_sql, secrets_sql, seeds_sql
+from wayfare.llm.packing import packed
 from wayfare.llm.quality import quality
+from wayfare.llm.repair import repair_digest
 from wayfare.llm.secrets import Ledger, findings_by_version, secret_digest
 from wayfare.llm.sharding import shard_digest
 from wayfare.llm.simhash import simhash_digest
 from wayfare.llm.suffixes import repeated_bytes
 from wayfare.llm.tokencount import token_counts
+from wayfare.llm.variants import grouped_words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +77,20 @@ def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_words(table(spark, sf_dir, "documents"), damaged=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_alignment": op1_license_alignment,
     "op2_compression_bands": op2_compression_bands,
@@ -85,6 +102,9 @@ QUERIES: dict[str, Query] = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_token_counts": op9_token_counts,
     "op10_gray_simhash": op10_gray_simhash,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_cutting_stock": op12_cutting_stock,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
