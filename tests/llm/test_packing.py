@@ -77,7 +77,8 @@ def test_knapsack_and_linear_program(seed):
     classes = np.sort(rng.choice(np.arange(2, 41), 8, replace=False))
     prices = rng.random(8) * classes
     prices[0] = -1.0
-    value, pattern = packing.priced(prices, classes, room)
+    value, (pattern, *others) = packing.priced(prices, classes, room, 3)
+    assert len(others) == 3 and all(p @ classes <= room and p.any() for p in others)
     best = np.zeros(room + 1)
     for c in range(1, room + 1):
         best[c] = max([best[c - 1], *(best[c - s] + p for s, p in zip(classes, prices) if s <= c)])

@@ -307,3 +307,10 @@ def test_probabilities_are_plain_kneser_neys(make):
         want = -sum(np.log(p(("\x01" * 3 + text)[i : i + 3], c)) for i, c in enumerate(text)) / len(text)
         length, nats = language.cross_entropies(model.models(), [text.encode()])
         assert length[0] == len(text) and abs(nats[0, 0] - want) < 1e-4
+
+
+def test_no_task_ranks_all_hashes_of_a_language(spark):
+    rows = spark.range(1000).selectExpr("'en' lang", "xxhash64(id) h")
+    plan = language.least_hashes(rows, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning(lang") < plan.rindex("WindowGroupLimit")
+    assert sorted(r.place for r in language.least_hashes(rows, 7).collect()) == list(range(1, 8))

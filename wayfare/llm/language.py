@@ -288,15 +288,21 @@ def scored(docs: DataFrame, by: Classifier, temperatures: tuple[float, ...], fin
     return docs
 
 
+def least_hashes(labelled: DataFrame, rows: int) -> DataFrame:
+    """lang, h and place (from 1) of the ``rows`` least different hashes h of each language."""
+    ranked = labelled.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    return ranked.filter(F.col("place") <= rows)
+
+
 def sample(labelled: DataFrame, rows: int, seed: int, chars: int | None = None) -> DataFrame:
     """lang, place and text of the ``rows`` texts of each language whose seeded hashes are least, without repeats; place counts from 0.
 
-    Only hashes are made distinct and ranked, and no task ranks more than the
-    best of the others' tasks; texts are fetched for the chosen hashes.
+    Only hashes are made distinct and ranked. The rank's bound stands bare over the
+    window, so each task keeps ``rows`` hashes of a language before they are
+    exchanged; texts are fetched for the chosen hashes.
     """
     usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64(F.lit(seed), "text").alias("h"), "text")
-    ranked = usable.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")) - 1)
-    chosen = stored(ranked.filter(F.col("place") < rows))
+    chosen = stored(least_hashes(usable, rows).withColumn("place", F.col("place") - 1))
     found = usable.alias("u").join(chosen.alias("c"), (F.col("u.lang") == F.col("c.lang")) & (F.col("u.h") == F.col("c.h"))).select("c.lang", "c.place", "u.h", "u.text")
     found = found.groupBy("lang", "place").agg(F.min("h").alias("h"), F.min("text").alias("text"))
     if chars is not None:

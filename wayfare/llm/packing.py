@@ -44,6 +44,8 @@ END_ID = 1
 GRAIN = 4
 #: The linear program ends within so much of its lower bound, or after this many columns for each class.
 GAP, ROUNDS = 1e-3, 4
+#: Columns that one knapsack offers.
+COLUMNS = 16
 #: A pattern of whole rests fills so much of its sequence, by rounded lengths.
 LEAST_FILL = 0.98
 #: Rows of a cell of hashes.
@@ -146,8 +148,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFra
 # ---- patterns ----
 
 
-def priced(prices: np.ndarray, classes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The knapsack: the most that items of ``classes`` (their sizes) can be worth in ``room``, and how many of each that takes."""
+def priced(prices: np.ndarray, classes: np.ndarray, room: int, more: int = 0) -> tuple[float, list[np.ndarray]]:
+    """The knapsack: the most that items of ``classes`` (their sizes) can be worth in ``room``, and how many of each that takes.
+
+    With ``more``, also the best patterns that hold one certain item, for so many different items at most.
+    """
     useful = np.flatnonzero(prices > 1e-12)
     sizes, worth = classes[useful], prices[useful]
     best, took = np.zeros(room + 1), np.full(room + 1, -1, np.int64)
@@ -160,14 +165,20 @@ def priced(prices: np.ndarray, classes: np.ndarray, room: int) -> tuple[float, n
             k = int(value.argmax())
             if value[k] > best[c]:
                 best[c], took[c] = value[k], k
-    pattern, c = np.zeros(len(classes), np.int64), room
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[useful[took[c]]] += 1
-            c -= sizes[took[c]]
-    return float(best[room]), pattern
+
+    def pattern(c: int, *held: int) -> np.ndarray:
+        out = np.zeros(len(classes), np.int64)
+        np.add.at(out, useful[list(held)], 1)
+        while c > 0:
+            if took[c] < 0:
+                c -= 1
+            else:
+                out[useful[took[c]]] += 1
+                c -= sizes[took[c]]
+        return out
+
+    with_one = np.argsort(-(best[room - sizes] + worth), kind="stable")[:more]
+    return float(best[room]), [pattern(room), *(pattern(room - int(sizes[k]), k) for k in with_one)]
 
 
 def linear_program(classes: np.ndarray, demand: np.ndarray, room: int, least_fill: float = LEAST_FILL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,14 +191,24 @@ def linear_program(classes: np.ndarray, demand: np.ndarray, room: int, least_fil
     m = len(classes)
     cut = classes / (room * least_fill)
     basis, inverse, used, dual, cost = np.eye(m, dtype=np.int64), np.eye(m), demand.copy(), cut.copy(), cut.copy()
-    is_cut, bound = np.ones(m, bool), float(classes @ demand) / room
+    is_cut, bound, least = np.ones(m, bool), float(classes @ demand) / room, 0.0
+    held: list[np.ndarray] = []
     for _ in range(ROUNDS * m):
-        value, pattern = priced(dual, classes, room)
         price, back = 1.0, int((dual - cut).argmax())
-        # Prices divided by how far they exceed any column's cost are feasible for the dual program: a lower bound.
-        bound = max(bound, float(dual @ demand) / max(value, float((dual / cut).max()), 1.0))
-        if cost @ used <= bound * (1 + GAP) or max(value - 1, dual[back] - cut[back]) <= 1e-9:
-            break
+        worth = dual @ held[0] if held else 0
+        while held and worth - 1 < least:
+            held.pop(0)
+            worth = dual @ held[0] if held else 0
+        if held:
+            pattern, value = held.pop(0), float(worth)
+        else:
+            value, (pattern, *held) = priced(dual, classes, room, COLUMNS)
+            # What later patterns must still be worth to enter without new prices.
+            least = max((value - 1) / 2, 1e-9)
+            # Prices divided by how far they exceed any column's cost are feasible for the dual program: a lower bound.
+            bound = max(bound, float(dual @ demand) / max(value, float((dual / cut).max()), 1.0))
+            if cost @ used <= bound * (1 + GAP) or max(value - 1, dual[back] - cut[back]) <= 1e-9:
+                break
         if dual[back] - cut[back] > value - 1:
             pattern, price, value = np.eye(m, dtype=np.int64)[back], cut[back], dual[back]
         column = inverse @ pattern
