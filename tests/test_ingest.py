@@ -381,7 +381,7 @@ def test_a_merge_writes_what_it_touches(spark, store, monkeypatch):
     assert table(store) == rows
     # Many change sets become a base; rows and readers of what was current stay.
     monkeypatch.setattr("wayfare.plans.store.MOST_CHANGES", 3)
-    monkeypatch.setattr("wayfare.plans.store.RETAIN_S", -10)
+    monkeypatch.setattr("wayfare.plans.store.RETAIN_S", 3600)
     last = store.read("events")
     ingest.upsert_events(store, events(spark, event("7", title="folded")), NOW)
     assert len(store.version("events")) == 1 and table(store)["7"].title == "folded" and len(table(store)) == 43

@@ -18,37 +18,67 @@ def last_wins(batch: DataFrame, keys: Sequence[str], position: Sequence[Column])
     return batch.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
 
 
-def _copies(a: str, b: str, days: int) -> Column:
-    near = F.abs(F.unix_millis(F.col(f"{a}.start_at")) - F.unix_millis(F.col(f"{b}.start_at"))) <= days * _DAY_MS
-    return (F.col(f"{a}.dedup_key") == F.col(f"{b}.dedup_key")) & (F.col(f"{a}.bucket") == F.col(f"{b}.bucket")) & (F.col(f"{a}.source_id") != F.col(f"{b}.source_id")) & near
+def _least_other(rows: DataFrame, group: Sequence[str], time: Column) -> DataFrame:
+    """rows with ``m1``, the stored row of the least id so far in the order of ``time``, and ``m2``, the least of another source than that.
 
-
-def _bucket(days: int) -> Column:
-    return F.floor(F.unix_millis(F.col("start_at")) / (days * _DAY_MS))
-
-
-def _reduced(existing: DataFrame, days: int) -> DataFrame:
-    """Stored rows in their own stretch of ``days`` and both beside it: a generic headline meets only what is near in time."""
-    rows = existing.filter("dedup_key is not null").select("id", "source_id", "external_id", "dedup_key", "start_at")
-    return rows.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: _bucket(days) + i)))
+    All are running minima over one sorted group. A stored row that isn't m1's
+    source's, and an m1 that one of another source took over from, are all that m2
+    can be: what m1 took over from was the least of all before it.
+    """
+    order = Window.partitionBy(*group).orderBy(time, F.col("row").isNull().cast("int"), F.col("row.id"))
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("m1", F.min("row").over(running))
+    rows = rows.withColumn("before", F.lag("m1").over(order))
+    lost = F.when(F.col("row.source_id") != F.col("m1.source_id"), F.col("row"))
+    taken = F.when(F.col("before.source_id") != F.col("m1.source_id"), F.col("before"))
+    return rows.withColumn("m2", F.min(F.least(lost, taken)).over(running))
+
+
+def told_before(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSION_DAYS) -> DataFrame:
+    """incoming with ``told``: the stored row (id, source_id, external_id) of the smallest id that tells the same news, null if there is none.
+
+    It has the key, another source, and a start at most ``days`` away. No pair of
+    rows is made. Time is cut in stretches of ``days``; the rows of a window are the
+    end of one stretch, a whole one, and the beginning of a third. In each stretch
+    stored rows and the incoming ones' bounds are sorted together, and running
+    minima answer each bound: forwards for beginnings, backwards for ends. Rows of
+    one key, source and start are one on both sides, so a headline that comes a
+    hundred thousand times is sorted, at most, once for each start.
+    """
+    width = days * _DAY_MS
+    start = F.unix_millis(F.col("start_at"))
+    row = F.struct(F.col("id"), F.col("source_id"), F.col("external_id"))
+    stored = existing.filter("dedup_key is not null and start_at is not null").groupBy("dedup_key", start.alias("at"), "source_id").agg(F.min(row).alias("row"))
+    stored = stored.select("dedup_key", "at", F.floor(F.col("at") / width).alias("stretch"), "row")
+    asked = incoming.filter("dedup_key is not null and start_at is not null").select("dedup_key", "source_id", start.alias("t")).distinct()
+    here = F.floor(F.col("t") / width)
+    none = F.lit(None).cast(stored.schema["row"].dataType)
+
+    def answered(shift: int, bound: Column, backwards: bool) -> DataFrame:
+        """The least row of another source in a stretch, from its begin (or end) to the bound."""
+        probes = asked.select("dedup_key", bound.alias("at"), (here + shift).alias("stretch"), none.alias("row"), F.col("source_id").alias("asks"), "t")
+        both = stored.withColumns({"asks": F.lit(None).cast("string"), "t": F.lit(None).cast("long")}).unionByName(probes)
+        found = _least_other(both, ["dedup_key", "stretch"], F.col("at").desc() if backwards else F.col("at").asc()).filter("asks is not null")
+        return found.select("dedup_key", F.col("asks").alias("source_id"), "t", F.when(F.col("m1.source_id") != F.col("asks"), F.col("m1")).otherwise(F.col("m2")).alias("told"))
+
+    # A whole stretch is one whose beginning ends where it ends.
+    answers = answered(-1, F.col("t") - width, True).unionByName(answered(0, (here + 1) * width, False)).unionByName(answered(1, F.col("t") + width, False))
+    answers = answers.filter("told is not null").groupBy("dedup_key", "source_id", "t").agg(F.min("told").alias("told"))
+    n, a = incoming.withColumn("_t", start).alias("n"), answers.alias("a")
+    same = (F.col("n.dedup_key") == F.col("a.dedup_key")) & (F.col("n.source_id") == F.col("a.source_id")) & (F.col("n._t") == F.col("a.t"))
+    return n.join(a, same, "left").select(*[F.col(f"n.{c}") for c in incoming.columns], F.col("a.told").alias("told"))
 
 
 def not_suppressed(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSION_DAYS) -> DataFrame:
-    """Incoming rows that no stored row of another source has already told.
+    """Incoming rows that no stored row of another source has already told. Only what was stored before the batch is consulted; rows without a key are never told."""
+    return told_before(incoming, existing, days).filter("told is null").drop("told")
 
-    Only what was stored before the batch is consulted. A join on the key with
-    the band as a residual condition; rows without a key never match.
-    """
-    placed = incoming.withColumn("bucket", _bucket(days)).alias("n")
-    return placed.join(_reduced(existing, days).alias("e"), _copies("n", "e", days), "left_anti").drop("bucket")
+
+def listing(told: DataFrame) -> DataFrame:
+    """Of ``told_before``'s rows those that were told, each with the stored row."""
+    return told.filter("told is not null").select("source_id", "external_id", "dedup_key", F.col("told.source_id").alias("of_source_id"), F.col("told.external_id").alias("of_external_id"), F.col("told.id").alias("of_id"))
 
 
 def suppressed(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSION_DAYS) -> DataFrame:
     """Incoming rows that were told before, each with the stored row of the smallest id."""
-    found = incoming.withColumn("bucket", _bucket(days)).alias("n").join(_reduced(existing, days).alias("e"), _copies("n", "e", days))
-    first = F.min_by(F.struct("e.source_id", "e.external_id", "e.id"), F.col("e.id"))
-    return (
-        found.groupBy(F.col("n.source_id").alias("source_id"), F.col("n.external_id").alias("external_id"), F.col("n.dedup_key").alias("dedup_key"))
-        .agg(first.alias("of"))
-        .select("source_id", "external_id", "dedup_key", F.col("of.source_id").alias("of_source_id"), F.col("of.external_id").alias("of_external_id"), F.col("of.id").alias("of_id"))
-    )
+    return listing(told_before(incoming, existing, days))

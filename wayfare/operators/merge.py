@@ -28,8 +28,8 @@ def with_new_ids(rows: DataFrame, keys: Sequence[str], start: int, column: str =
     return rows.withColumn("_rank", rank).join(F.broadcast(offsets), "_cell").withColumn(column, F.lit(start) + F.col("_before") + F.col("_rank")).drop("_cell", "_rank", "_before")
 
 
-def merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], on_match: Mapping[str, Column], on_insert: Mapping[str, Column]) -> DataFrame:
-    """existing after the merge, with ``_change``: inserted, updated or kept.
+def merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], on_match: Mapping[str, Column], on_insert: Mapping[str, Column], how: str = "full_outer") -> DataFrame:
+    """existing after the merge, with ``_change``: inserted, updated or kept. how: right_outer gives what is inserted or updated alone.
 
     on_match and on_insert give columns in terms of ``e`` (existing) and ``n``
     (incoming); a column that on_match leaves out keeps its stored value, one
@@ -37,7 +37,7 @@ def merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], on_mat
     unique on both sides and not null.
     """
     e, n = existing.withColumn("_here", F.lit(True)).alias("e"), incoming.withColumn("_here", F.lit(True)).alias("n")
-    joined = e.join(n, [F.col(f"e.{k}") == F.col(f"n.{k}") for k in keys], "full_outer")
+    joined = e.join(n, [F.col(f"e.{k}") == F.col(f"n.{k}") for k in keys], how)
     was, comes = F.col("e._here").isNotNull(), F.col("n._here").isNotNull()
 
     def value(c: str) -> Column:

@@ -5,72 +5,132 @@ that take the place of those of the same key, or come anew. A merge writes a
 change set of the rows it touches, so what is written follows the batch and not
 the table; change sets are folded into a new base once they are many or large.
 
-A write makes its folder beside the others and then moves the pointer, so
-readers see the old rows or the new, and a failed write changes nothing. Files
-are reached by Hadoop's file systems: the root may be in any store Spark knows.
-One writer at a time holds the table's lock file, which lapses if its holder is
-lost.
+*Pointers* are files ``_CURRENT-00000042`` that are made once, never renamed and
+never written again: the highest whole one counts. A write makes its folder, then
+the next pointer, so readers see the old rows or the new at any time, and a failed
+write changes nothing, nor does one that breaks off while it writes its pointer.
+A table whose folders have no pointer is damaged and raises. What a pointer
+names stays for ``RETAIN_S`` after the next pointer was made, and that of the
+last but one in any case.
+
+*Layout.* Folders of large tables are dealt into cells by a hash of the key, a
+partition column, so a merge reads the cells of its batch alone. Within a cell
+rows are clustered by hidden columns (a class of duration, a month, a place), on
+which filters skip row groups.
+
+*Schemas* change by steps that add or rename a column. A folder keeps the version
+it was written in; its columns are followed by their number through the steps.
+
+Files are reached by Hadoop's file systems: the root may be in any store Spark
+knows. One writer at a time holds the table's lock file, which lapses if its
+holder is lost.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare import schemas
+from wayfare.functions.geo import place_cell
 from wayfare.operators.dedup import last_wins
+from wayfare.operators.filters import duration_class
+
+
+@dataclass(frozen=True)
+class Layout:
+    """schema: the columns by now. steps: from the first version on, ("add", "name type") or ("rename", old, new); versions before them lack what they add."""
+
+    schema: str
+    key: Sequence[str]
+    cells: bool = False
+    hidden: Mapping[str, Callable[[], Column]] = field(default_factory=dict)
+    cluster: Sequence[str] = ()
+    steps: Sequence[tuple[str, ...]] = ()
+
+    def version(self) -> int:
+        return len(self.steps)
 
-#: Of each table: schema, columns to cluster by, and the key of its change sets.
+    def names_at(self, version: int) -> list[tuple[str, str, str | None]]:
+        """(name now, type, name in ``version``, or None before it was added) of all columns."""
+        types = {f: t for f, t in schemas.columns(self.schema)}
+        then: dict[str, str | None] = {n: n for n in types}
+        for step in reversed(self.steps[version:]):
+            if step[0] == "rename":
+                then = {n: step[1] if old == step[2] else old for n, old in then.items()}
+            else:
+                then = {n: None if old == step[1].split()[0] else old for n, old in then.items()}
+        return [(n, t, then[n]) for n, t in types.items()]
+
+
+def _month() -> Column:
+    return F.floor(F.unix_seconds("start_at") / (30 * 86400)).cast("int")
+
+
+#: What the engine stores. Steps of the events: a source's address, the region's name, the keys of news, venues.
 LAYOUT = {
-    "events": (schemas.EVENTS, ("start_at",), ("source_id", "external_id")),
-    "regions": (schemas.REGIONS, (), ("country_code", "level", "slug")),
-    "ingest_state": (schemas.INGEST_STATE, (), ("source_id",)),
-    "ingest_quarantine": (schemas.INGEST_QUARANTINE, (), ("source_id", "external_id")),
-    "road_alerts": (schemas.ROAD_ALERTS, (), ("id",)),
-}
+    "events": Layout(
+        schemas.EVENTS, ("source_id", "external_id"), cells=True,
+        hidden={"_class": lambda: duration_class(F.col("start_at"), F.col("end_at")), "_month": _month, "_place": lambda: place_cell(F.col("location"))},
+        cluster=("_class", "_month", "_place", "start_at"),
+        steps=(("add", "source_url string"), ("rename", "city_id", "region_id"), ("add", "dedup_key string"), ("add", "venue_name string")),
+    ),
+    "regions": Layout(schemas.REGIONS, ("country_code", "level", "slug")),
+    "ingest_state": Layout(schemas.INGEST_STATE, ("source_id",)),
+    "ingest_quarantine": Layout(schemas.INGEST_QUARANTINE, ("source_id", "external_id"), cells=True),
+    "road_alerts": Layout(schemas.ROAD_ALERTS, ("id",)),
+}
 #: Change sets are folded into the base beyond this number, or beyond a quarter of its bytes (and this many).
 MOST_CHANGES = 16
 FOLD_BYTES = 32 << 20
-#: Seconds for which a folder that isn't current stays for readers; what the pointer named before stays in any case.
+#: Seconds for which a folder stays for readers after the pointer that no longer names it was made.
 RETAIN_S = 3600
-#: Seconds after which a lock counts as left behind: longer than any write takes.
+#: Seconds after which a lock counts as left behind, and a folder that no pointer names: longer than any write takes.
 LEASE_S = 6 * 3600
+#: Bytes of a cell, and most cells of a table: what a merge broadcasts is one number for each cell.
+CELL_BYTES = 1 << 30
+MOST_CELLS = 1 << 16
+
+
+class StoreError(RuntimeError):
+    """A table whose files contradict each other."""
+
+
+@dataclass(frozen=True)
+class Folder:
+    name: str
+    version: int
+    cells: int
+
+
+@dataclass(frozen=True)
+class Pointer:
+    """What is current: the base, then its change sets from old to new. last_id: the largest id that was given, if known."""
+
+    number: int = -1
+    folders: tuple[Folder, ...] = ()
+    at: float = 0.0
+    last_id: int | None = None
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, layout: Mapping[str, Layout] = LAYOUT):
+        self.spark, self.root, self.layout = spark, root.rstrip("/"), layout
         self.jvm = spark.sparkContext._jvm
 
     def _path(self, *parts: str):
         path = self.jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _text(self, *parts: str) -> str | None:
-        fs, path = self._path(*parts)
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def _put(self, text: str, *parts: str) -> None:
-        fs, path = self._path(*parts)
-        temporary = self._path(*parts[:-1], f".{parts[-1]}-{uuid.uuid4().hex}")[1]
-        stream = fs.create(temporary, True)
-        stream.write(text.encode())
-        stream.close()
-        if not fs.rename(temporary, path):
-            fs.delete(path, False)
-            fs.rename(temporary, path)
+    # ---- locks ----
 
     @contextmanager
     def locked(self, table: str, wait_s: float = 60, lease_s: float = LEASE_S) -> Iterator[None]:
@@ -97,72 +157,182 @@ class Store:
         found = [s for s in fs.globStatus(path) or ()]
         return bool(found) and time.time() - found[0].getModificationTime() / 1000 > lease_s
 
+    # ---- pointers ----
+
+    def _listed(self, table: str) -> dict[str, float]:
+        """Names in the table's folder, and when they were last written."""
+        fs, path = self._path(table)
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(path)} if fs.exists(path) else {}
+
+    def _load(self, table: str, name: str) -> Pointer | None:
+        """A pointer's content; None if its writer broke off."""
+        fs, path = self._path(table, name)
+        stream = fs.open(path)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        try:
+            found = json.loads(text)
+        except ValueError:
+            return None
+        return Pointer(int(name.split("-")[1]), tuple(Folder(*f) for f in found["folders"]), found["at"], found["last_id"])
+
+    def pointer(self, table: str) -> Pointer:
+        listed = self._listed(table)
+        for name in sorted((n for n in listed if n.startswith("_CURRENT-")), reverse=True):
+            found = self._load(table, name)
+            if found:
+                return found
+        if any(n[:2] in ("v-", "c-") for n in listed):
+            raise StoreError(f"{table}: there are folders, but no pointer to them")
+        return Pointer()
+
     def version(self, table: str) -> list[str]:
         """The folders that are current: the base, then its change sets from old to new; none of a table that isn't there."""
-        return (self._text(table, "_CURRENT") or "").split()
-
-    def _folder(self, table: str, name: str) -> DataFrame:
-        return self.spark.read.schema(LAYOUT[table][0]).parquet(f"{self.root}/{table}/{name}")
-
-    def read(self, table: str) -> DataFrame:
-        schema, _, keys = LAYOUT[table]
-        base, *changes = self.version(table) or [None]
-        if base is None:
-            return self.spark.createDataFrame([], schema)
-        rows = self._folder(table, base)
-        if changes:
-            each = [self._folder(table, name).withColumn("_at", F.lit(i)) for i, name in enumerate(changes)]
-            newest = last_wins(reduce(DataFrame.unionByName, each), keys, [F.col("_at")]).drop("_at")
-            # Filters on the table reach the base's scan through the anti-join.
-            rows = rows.join(newest.select(*keys), list(keys), "left_anti").select(*newest.columns).unionByName(newest)
-        return rows
-
-    def replace(self, table: str, rows: DataFrame) -> DataFrame:
+        return [f.name for f in self.pointer(table).folders]
+
+    def _point(self, table: str, folders: Sequence[Folder], last_id: int | None) -> None:
+        """Make the next pointer. Only one writer can make it; what is no longer needed goes."""
+        listed = self._listed(table)
+        number = max((int(n.split("-")[1]) for n in listed if n.startswith("_CURRENT-")), default=-1) + 1
+        fs, path = self._path(table, f"_CURRENT-{number:08d}")
+        stream = fs.create(path, False)
+        stream.write(json.dumps({"folders": [[f.name, f.version, f.cells] for f in folders], "at": time.time(), "last_id": last_id}).encode())
+        stream.close()
+        self._clean(table)
+
+    def _clean(self, table: str) -> None:
+        listed, now = self._listed(table), time.time()
+        names = sorted(n for n in listed if n.startswith("_CURRENT-"))
+        found = [(n, p) for n in names if (p := self._load(table, n))]
+        # A pointer is superseded when the next one is made.
+        old = {n for (n, _), (_, following) in list(zip(found, found[1:], strict=False))[:-1] if now - following.at > RETAIN_S}
+        broken = {n for n in names[:-1] if n not in {x for x, _ in found}}
+        needed = {f.name for n, p in found if n not in old for f in p.folders}
+        gone = {f.name for n, p in found if n in old for f in p.folders} - needed
+        lost = {n for n, at in listed.items() if n[:2] in ("v-", "c-") and n not in needed and now - at > LEASE_S}
+        for name in (*gone, *lost, *old, *broken):
+            fs, path = self._path(table, name)
+            fs.delete(path, True)
+
+    # ---- reading ----
+
+    def _folder(self, table: str, folder: Folder, hidden: bool = False) -> DataFrame:
+        """A folder's rows under the names of now."""
+        layout = self.layout[table]
+        columns = layout.names_at(folder.version)
+        more = {n: e for n, e in layout.hidden.items()} if hidden else {}
+        stored = [f"`{then}` {t}" for _, t, then in columns if then] + [f"{n} {'long' if n == '_place' else 'int'}" for n in layout.hidden] + (["_cell int"] if layout.cells else [])
+        rows = self.spark.read.schema(", ".join(stored)).parquet(f"{self.root}/{table}/{folder.name}")
+        return rows.select(*[F.col(then).alias(n) if then else F.lit(None).cast(t).alias(n) for n, t, then in columns], *more, *(["_cell"] if hidden and layout.cells else []))
+
+    def read(self, table: str, hidden: bool = False, within: DataFrame | None = None) -> DataFrame:
+        """The table's rows. hidden: with the columns that rows are clustered by. within: only of the keys in it."""
+        layout, folders = self.layout[table], self.pointer(table).folders
+        if not folders:
+            rows = self.spark.createDataFrame([], layout.schema)
+            return rows.withColumns({n: e() for n, e in layout.hidden.items()} if hidden else {})
+        each = [self._folder(table, f, hidden or within is not None) for f in folders]
+        if within is not None:
+            each = [self._keyed(table, rows, f, within) for rows, f in zip(each, folders, strict=True)]
+        names = [c for c in each[0].columns if c != "_cell" and (hidden or not c.startswith("_"))]
+        base, *changes = (rows.select(*names) for rows in each)
+        if not changes:
+            return base
+        newest = last_wins(reduce(DataFrame.unionByName, [rows.withColumn("_at", F.lit(i)) for i, rows in enumerate(changes)]), layout.key, [F.col("_at")]).drop("_at")
+        # Filters on the table reach the base's scan through the anti-join.
+        return base.join(newest.select(*layout.key), list(layout.key), "left_anti").select(*names).unionByName(newest)
+
+    def _keyed(self, table: str, rows: DataFrame, folder: Folder, within: DataFrame) -> DataFrame:
+        """rows whose key is in ``within``. Only the cells of these keys are read: Spark prunes the partitions by the broadcast numbers of cells."""
+        layout = self.layout[table]
+        keys = within.select(*layout.key).distinct()
+        if layout.cells:
+            cells = keys.select(self._cell(layout, folder.cells).alias("_cell")).filter("_cell >= 0").distinct()
+            rows = rows.join(F.broadcast(cells), "_cell", "left_semi")
+        return rows.join(keys, list(layout.key), "left_semi")
+
+    @staticmethod
+    def _cell(layout: Layout, cells: int) -> Column:
+        return F.pmod(F.xxhash64(*layout.key), F.lit(cells)).cast("int")
+
+    # ---- writing ----
+
+    def replace(self, table: str, rows: DataFrame, last_id: int | None = None) -> DataFrame:
         """Make rows the table's content; returns them as read back. Rows are clustered for range filters where the layout says so."""
-        self._point(table, [self._write(table, "v", rows)])
+        before = self._begun(table)
+        size = sum(self._bytes(table, f.name) for f in before.folders)
+        cells = 1
+        while cells * CELL_BYTES < size and cells < MOST_CELLS:
+            cells *= 2
+        self._point(table, [self._write(table, "v", rows, cells)], before.last_id if last_id is None else last_id)
         return self.read(table)
 
-    def change(self, table: str, rows: DataFrame) -> DataFrame:
-        """Put rows, of which no two share a key, in the place of those of their keys; returns the table as read back."""
-        before = self.version(table)
-        if not before:
-            return self.replace(table, rows)
-        now = [*before, self._write(table, "c", rows)]
-        self._point(table, now)
-        base, *changes = (self._bytes(table, name) for name in now)
+    def change(self, table: str, rows: DataFrame, counters: Mapping[str, Column] | None = None, new_ids: str | None = None) -> dict[str, int]:
+        """Put rows, of which no two share a key, in the place of those of their keys.
+
+        counters: aggregates over the rows, which the job that writes them brings
+        along and which are returned; if all are zero, the table is left alone.
+        new_ids: the counter of rows that came with ids after the last.
+        """
+        before = self._begun(table)
+        if not before.folders:
+            self.replace(table, self.spark.createDataFrame([], self.layout[table].schema))
+            before = self.pointer(table)
+        seen = Observation()
+        written = self._write(table, "c", rows, before.folders[0].cells, lambda df: df.observe(seen, *[c.alias(n) for n, c in counters.items()]) if counters else df)
+        counts = dict(seen.get) if counters else {}
+        if counters and not any(counts.values()):
+            fs, path = self._path(table, written.name)
+            fs.delete(path, True)
+            return counts
+        now = (*before.folders, written)
+        self._point(table, now, before.last_id if new_ids is None or before.last_id is None else before.last_id + counts[new_ids])
+        base, *changes = (self._bytes(table, f.name) for f in now)
         if len(changes) > MOST_CHANGES or sum(changes) > max(base // 4, FOLD_BYTES):
-            return self.replace(table, self.read(table))
-        return self.read(table)
+            self.replace(table, self.read(table))
+        return counts
+
+    def last_id(self, table: str) -> int:
+        """The largest id: from the pointer, or else from the ids that are stored."""
+        known = self.pointer(table).last_id
+        return self.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if known is None else known
 
-    def _write(self, table: str, kind: str, rows: DataFrame) -> str:
-        schema, cluster, _ = LAYOUT[table]
-        number = max((int(name.split("-")[1]) for name in self.version(table)), default=0) + 1
-        name = f"{kind}-{number:08d}-{uuid.uuid4().hex[:8]}"
-        rows = rows.select(*schemas.column_names(schema))
-        if cluster:
-            rows = rows.repartitionByRange(*cluster).sortWithinPartitions(*cluster)
-        rows.write.parquet(f"{self.root}/{table}/{name}")
-        return name
+    def _begun(self, table: str) -> Pointer:
+        """The current pointer; a new table gets an empty one before its first folder."""
+        found = self.pointer(table)
+        if found.number < 0:
+            self._point(table, (), None)
+        return found
+
+    def _write(self, table: str, kind: str, rows: DataFrame, cells: int, watch: Callable[[DataFrame], DataFrame] = lambda df: df) -> Folder:
+        layout = self.layout[table]
+        number = max((int(n.split("-")[1]) for n in self.version(table)), default=0) + 1
+        folder = Folder(f"{kind}-{number:08d}-{uuid.uuid4().hex[:8]}", layout.version(), cells if layout.cells else 1)
+        columns = [*schemas.column_names(layout.schema), *layout.hidden, *(["_cell"] if layout.cells else [])]
+        rows = rows.withColumns({n: e() for n, e in layout.hidden.items()})
+        order = list(layout.cluster)
+        if layout.cells:
+            rows, order = rows.withColumn("_cell", self._cell(layout, cells)), ["_cell", *order]
+        if order:
+            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        # Counted behind the exchange: what is before it runs once more, for the samples of its ranges.
+        rows = watch(rows).select(*columns)
+        (rows.write.partitionBy("_cell") if layout.cells else rows.write).parquet(f"{self.root}/{table}/{folder.name}")
+        return folder
 
     def _bytes(self, table: str, name: str) -> int:
         fs, path = self._path(table, name)
         return fs.getContentSummary(path).getLength()
 
-    def _point(self, table: str, names: list[str]) -> None:
-        before = self.version(table)
-        self._put(" ".join(names), table, "_CURRENT")
-        fs, path = self._path(table)
-        for found in fs.listStatus(path):
-            name = found.getPath().getName()
-            if name[:2] in ("v-", "c-") and name not in (*names, *before) and time.time() - found.getModificationTime() / 1000 > RETAIN_S:
-                fs.delete(found.getPath(), True)
-
     def migrate(self) -> None:
         """Tables that aren't there yet are made, and the regions seeded."""
-        for table, (schema, *_) in LAYOUT.items():
+        for table, layout in self.layout.items():
             if not self.version(table):
-                self.replace(table, self.spark.createDataFrame([], schema))
-        seed_regions(self)
+                self.replace(table, self.spark.createDataFrame([], layout.schema))
+        if "regions" in self.layout:
+            seed_regions(self)
 
 
 def seed_regions(store: Store) -> tuple[int, int]:

@@ -63,12 +63,17 @@ PERU_REGIONS = (
 COUNTRY, TIMEZONE = "PE", "America/Lima"
 
 
-def column_names(ddl: str) -> list[str]:
-    """Top-level column names of a DDL string."""
-    names, depth, start = [], 0, 0
+def columns(ddl: str) -> list[tuple[str, str]]:
+    """Top-level columns of a DDL string: name and type."""
+    found, depth, start = [], 0, 0
     for i, c in enumerate(ddl + ","):
         depth += (c == "<") - (c == ">")
         if c == "," and not depth:
-            names.append(ddl[start:i].split()[0])
+            name, kind = ddl[start:i].split(None, 1)
+            found.append((name, kind.strip()))
             start = i + 1
-    return names
+    return found
+
+
+def column_names(ddl: str) -> list[str]:
+    return [name for name, _ in columns(ddl)]
