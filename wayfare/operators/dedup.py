@@ -18,20 +18,22 @@ def last_wins(batch: DataFrame, keys: Sequence[str], position: Sequence[Column])
     return batch.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
 
 
-def _least_other(rows: DataFrame, group: Sequence[str], time: Column) -> DataFrame:
-    """rows with ``m1``, the stored row of the least id so far in the order of ``time``, and ``m2``, the least of another source than that.
+def _least_other(rows: DataFrame, group: Sequence[str], time: Column, name: str) -> DataFrame:
+    """rows with ``name``: for a row that asks, the stored row of the least id and another source so far, in the order of ``time``.
 
-    All are running minima over one sorted group. A stored row that isn't m1's
-    source's, and an m1 that one of another source took over from, are all that m2
-    can be: what m1 took over from was the least of all before it.
+    All are running minima over one sorted group: m1 is the least stored row, m2 the
+    least of another source than m1's. A stored row that isn't of m1's source, and
+    an m1 that a row of another source took over from, are all that m2 can be: what
+    was taken over from was the least of all before it.
     """
     order = Window.partitionBy(*group).orderBy(time, F.col("row").isNull().cast("int"), F.col("row.id"))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("m1", F.min("row").over(running))
-    rows = rows.withColumn("before", F.lag("m1").over(order))
+    found = rows.withColumn("m1", F.min("row").over(running))
+    found = found.withColumn("before", F.lag("m1").over(order))
     lost = F.when(F.col("row.source_id") != F.col("m1.source_id"), F.col("row"))
     taken = F.when(F.col("before.source_id") != F.col("m1.source_id"), F.col("before"))
-    return rows.withColumn("m2", F.min(F.least(lost, taken)).over(running))
+    found = found.withColumn("m2", F.min(F.least(lost, taken)).over(running))
+    return found.withColumn(name, F.when(F.col("m1.source_id") != F.col("asks"), F.col("m1")).otherwise(F.col("m2"))).drop("m1", "m2", "before")
 
 
 def told_before(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSION_DAYS) -> DataFrame:
@@ -53,16 +55,13 @@ def told_before(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSIO
     asked = incoming.filter("dedup_key is not null and start_at is not null").select("dedup_key", "source_id", start.alias("t")).distinct()
     here = F.floor(F.col("t") / width)
     none = F.lit(None).cast(stored.schema["row"].dataType)
-
-    def answered(shift: int, bound: Column, backwards: bool) -> DataFrame:
-        """The least row of another source in a stretch, from its begin (or end) to the bound."""
-        probes = asked.select("dedup_key", bound.alias("at"), (here + shift).alias("stretch"), none.alias("row"), F.col("source_id").alias("asks"), "t")
-        both = stored.withColumns({"asks": F.lit(None).cast("string"), "t": F.lit(None).cast("long")}).unionByName(probes)
-        found = _least_other(both, ["dedup_key", "stretch"], F.col("at").desc() if backwards else F.col("at").asc()).filter("asks is not null")
-        return found.select("dedup_key", F.col("asks").alias("source_id"), "t", F.when(F.col("m1.source_id") != F.col("asks"), F.col("m1")).otherwise(F.col("m2")).alias("told"))
-
     # A whole stretch is one whose beginning ends where it ends.
-    answers = answered(-1, F.col("t") - width, True).unionByName(answered(0, (here + 1) * width, False)).unionByName(answered(1, F.col("t") + width, False))
+    bounds = F.array(*[F.struct(at.alias("at"), (here + shift).alias("stretch"), F.lit(back).alias("back")) for shift, at, back in ((-1, F.col("t") - width, True), (0, (here + 1) * width, False), (1, F.col("t") + width, False))])
+    probes = asked.select("dedup_key", F.col("source_id").alias("asks"), "t", F.inline(bounds)).withColumn("row", none)
+    group = ["dedup_key", "stretch"]
+    both = stored.withColumns({"asks": F.lit(None).cast("string"), "t": F.lit(None).cast("long"), "back": F.lit(None).cast("boolean")}).unionByName(probes)
+    both = _least_other(_least_other(both, group, F.col("at").asc(), "since"), group, F.col("at").desc(), "until")
+    answers = both.filter("asks is not null").select("dedup_key", F.col("asks").alias("source_id"), "t", F.when(F.col("back"), F.col("until")).otherwise(F.col("since")).alias("told"))
     answers = answers.filter("told is not null").groupBy("dedup_key", "source_id", "t").agg(F.min("told").alias("told"))
     n, a = incoming.withColumn("_t", start).alias("n"), answers.alias("a")
     same = (F.col("n.dedup_key") == F.col("a.dedup_key")) & (F.col("n.source_id") == F.col("a.source_id")) & (F.col("n._t") == F.col("a.t"))

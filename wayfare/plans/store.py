@@ -1,6 +1,6 @@
 """Tables as Parquet folders with a pointer to those that are current.
 
-A table is a base (``v-…``) and the change sets (``c-…``) written since: rows
+A table is a base (``v-…``) and the change sets (``c=…``) written since: rows
 that take the place of those of the same key, or come anew. A merge writes a
 change set of the rows it touches, so what is written follows the batch and not
 the table; change sets are folded into a new base once they are many or large.
@@ -184,7 +184,7 @@ class Store:
             found = self._load(table, name)
             if found:
                 return found
-        if any(n[:2] in ("v-", "c-") for n in listed):
+        if any(n[:2] in ("v-", "c=") for n in listed):
             raise StoreError(f"{table}: there are folders, but no pointer to them")
         return Pointer()
 
@@ -211,21 +211,26 @@ class Store:
         broken = {n for n in names[:-1] if n not in {x for x, _ in found}}
         needed = {f.name for n, p in found if n not in old for f in p.folders}
         gone = {f.name for n, p in found if n in old for f in p.folders} - needed
-        lost = {n for n, at in listed.items() if n[:2] in ("v-", "c-") and n not in needed and now - at > LEASE_S}
+        lost = {n for n, at in listed.items() if n[:2] in ("v-", "c=") and n not in needed and now - at > LEASE_S}
         for name in (*gone, *lost, *old, *broken):
             fs, path = self._path(table, name)
             fs.delete(path, True)
 
     # ---- reading ----
 
-    def _folder(self, table: str, folder: Folder, hidden: bool = False) -> DataFrame:
-        """A folder's rows under the names of now."""
+    def _scan(self, table: str, folders: Sequence[Folder], hidden: bool) -> DataFrame:
+        """Rows of folders of one version, in one scan, under the names of now; of several with ``_at``, the number of each row's folder."""
         layout = self.layout[table]
-        columns = layout.names_at(folder.version)
-        more = {n: e for n, e in layout.hidden.items()} if hidden else {}
+        columns = layout.names_at(folders[0].version)
         stored = [f"`{then}` {t}" for _, t, then in columns if then] + [f"{n} {'long' if n == '_place' else 'int'}" for n in layout.hidden] + (["_cell int"] if layout.cells else [])
-        rows = self.spark.read.schema(", ".join(stored)).parquet(f"{self.root}/{table}/{folder.name}")
-        return rows.select(*[F.col(then).alias(n) if then else F.lit(None).cast(t).alias(n) for n, t, then in columns], *more, *(["_cell"] if hidden and layout.cells else []))
+        is_base = folders[0].name.startswith("v-")
+        paths = [f"{self.root}/{table}/{f.name}" for f in folders]
+        # The names of change sets are values of a partition column.
+        rows = self.spark.read.schema(", ".join(stored + ([] if is_base else ["c string"]))).option("basePath", paths[0] if is_base else f"{self.root}/{table}").parquet(*paths)
+        names = [F.col(then).alias(n) if then else F.lit(None).cast(t).alias(n) for n, t, then in columns]
+        more = [*(layout.hidden if hidden else ()), *(["_cell"] if hidden and layout.cells else [])]
+        at = [] if is_base else [F.col("c").alias("_at")]
+        return rows.select(*names, *more, *at)
 
     def read(self, table: str, hidden: bool = False, within: DataFrame | None = None) -> DataFrame:
         """The table's rows. hidden: with the columns that rows are clustered by. within: only of the keys in it."""
@@ -233,24 +238,27 @@ class Store:
         if not folders:
             rows = self.spark.createDataFrame([], layout.schema)
             return rows.withColumns({n: e() for n, e in layout.hidden.items()} if hidden else {})
-        each = [self._folder(table, f, hidden or within is not None) for f in folders]
-        if within is not None:
-            each = [self._keyed(table, rows, f, within) for rows, f in zip(each, folders, strict=True)]
-        names = [c for c in each[0].columns if c != "_cell" and (hidden or not c.startswith("_"))]
-        base, *changes = (rows.select(*names) for rows in each)
-        if not changes:
+        keys = None if within is None else within.select(*layout.key).distinct()
+        names = [*schemas.column_names(layout.schema), *(layout.hidden if hidden else ())]
+
+        def rows_of(some: Sequence[Folder]) -> DataFrame:
+            rows = self._scan(table, some, hidden or keys is not None)
+            return rows if keys is None else self._keyed(layout, rows, some[0].cells, keys)
+
+        base = rows_of(folders[:1]).select(*names)
+        if len(folders) == 1:
             return base
-        newest = last_wins(reduce(DataFrame.unionByName, [rows.withColumn("_at", F.lit(i)) for i, rows in enumerate(changes)]), layout.key, [F.col("_at")]).drop("_at")
+        # Change sets have the cells of their base.
+        changes = [rows_of([f for f in folders[1:] if f.version == v]).select(*names, "_at") for v in sorted({f.version for f in folders[1:]})]
+        newest = last_wins(reduce(DataFrame.unionByName, changes), layout.key, [F.col("_at")]).drop("_at")
         # Filters on the table reach the base's scan through the anti-join.
         return base.join(newest.select(*layout.key), list(layout.key), "left_anti").select(*names).unionByName(newest)
 
-    def _keyed(self, table: str, rows: DataFrame, folder: Folder, within: DataFrame) -> DataFrame:
-        """rows whose key is in ``within``. Only the cells of these keys are read: Spark prunes the partitions by the broadcast numbers of cells."""
-        layout = self.layout[table]
-        keys = within.select(*layout.key).distinct()
+    def _keyed(self, layout: Layout, rows: DataFrame, cells: int, keys: DataFrame) -> DataFrame:
+        """rows of some keys. Only the cells of these keys are read: Spark prunes the partitions by the broadcast numbers of cells."""
         if layout.cells:
-            cells = keys.select(self._cell(layout, folder.cells).alias("_cell")).filter("_cell >= 0").distinct()
-            rows = rows.join(F.broadcast(cells), "_cell", "left_semi")
+            wanted = keys.select(self._cell(layout, cells).alias("_cell")).filter("_cell >= 0").distinct()
+            rows = rows.join(F.broadcast(wanted), "_cell", "left_semi")
         return rows.join(keys, list(layout.key), "left_semi")
 
     @staticmethod
@@ -308,15 +316,18 @@ class Store:
 
     def _write(self, table: str, kind: str, rows: DataFrame, cells: int, watch: Callable[[DataFrame], DataFrame] = lambda df: df) -> Folder:
         layout = self.layout[table]
-        number = max((int(n.split("-")[1]) for n in self.version(table)), default=0) + 1
-        folder = Folder(f"{kind}-{number:08d}-{uuid.uuid4().hex[:8]}", layout.version(), cells if layout.cells else 1)
+        number = max((int(n[2:10]) for n in self.version(table)), default=0) + 1
+        folder = Folder(f"{kind}{'-' if kind == 'v' else '='}{number:08d}-{uuid.uuid4().hex[:8]}", layout.version(), cells if layout.cells else 1)
         columns = [*schemas.column_names(layout.schema), *layout.hidden, *(["_cell"] if layout.cells else [])]
         rows = rows.withColumns({n: e() for n, e in layout.hidden.items()})
         order = list(layout.cluster)
         if layout.cells:
             rows, order = rows.withColumn("_cell", self._cell(layout, cells)), ["_cell", *order]
-        if order:
+        if order and kind == "v":
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        elif order:
+            # A batch's rows by cell, in tasks of even size; they are sorted by ranges once they are folded.
+            rows = rows.hint("rebalance", *order[: int(layout.cells)]).sortWithinPartitions(*order)
         # Counted behind the exchange: what is before it runs once more, for the samples of its ranges.
         rows = watch(rows).select(*columns)
         (rows.write.partitionBy("_cell") if layout.cells else rows.write).parquet(f"{self.root}/{table}/{folder.name}")
