@@ -94,6 +94,18 @@ def without_bom(text: Column) -> Column:
     return F.regexp_replace(text, "^\\ufeff+", "")
 
 
+def json_class(body: Column, shape: str = "array", field: str | None = None) -> Column:
+    """What a captured body is: ``ok``, ``not-json``, or ``wrong-shape``: JSON of another kind than ``shape`` (array or object), or whose first element (itself, if an object) lacks ``field``. Null for a null body."""
+    parsed = F.try_parse_json(body)
+    kind = F.lower(F.regexp_extract(F.schema_of_variant(parsed), r"^(\w+)", 1))
+    fits = kind == shape
+    if field is not None:
+        path = f"$[0].{field}" if shape == "array" else f"$.{field}"
+        empty = F.lit(False) if shape == "object" else F.schema_of_variant(parsed) == "ARRAY<VOID>"
+        fits &= empty | F.try_variant_get(parsed, path, "string").isNotNull()
+    return F.when(body.isNull(), None).when(parsed.isNull(), "not-json").when(F.coalesce(fits, F.lit(False)), "ok").otherwise("wrong-shape")
+
+
 def require(condition: Column, value: Column, message: str | Column) -> Column:
     """The value; a row for which the condition isn't true fails the query with the message."""
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message) if isinstance(message, str) else message))

@@ -60,6 +60,11 @@ def visible(source: Column, now: datetime, exposed: bool = False, exposed_until:
     return ~source.isin(*gated)
 
 
+def disrupted(level: Column) -> Column:
+    """Alerts that anyone has to know of: all but normal ones."""
+    return level != "normal"
+
+
 def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in ``seen``, safe for nulls."""
     return rows.join(seen.select(F.col(key)).distinct(), key, "left_anti")

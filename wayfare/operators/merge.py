@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 ID_CELLS = 256
 
 
-def with_new_ids(rows: DataFrame, keys: Sequence[str], start: int, column: str = "id", cells: int | None = None) -> DataFrame:
-    """Gapless ids after ``start``, by hash of the key: counted per cell of hashes, so no task numbers all rows."""
+def with_new_ids(rows: DataFrame, keys: Sequence[str], start: int, column: str = "id", cells: int | None = None, cell: Column | None = None) -> DataFrame:
+    """Gapless ids after ``start``, by hash of the key: counted per cell of hashes, so no task numbers all rows. cell: cells in the keys' own order, for ids in that order."""
     cells = cells or max(ID_CELLS, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cell = F.pmod(F.xxhash64(*keys), F.lit(cells))
+    cell = F.pmod(F.xxhash64(*keys), F.lit(cells)) if cell is None else cell
     rows = rows.withColumn("_cell", cell)
     counts = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

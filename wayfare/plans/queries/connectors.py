@@ -6,10 +6,18 @@ must give. The gates run with their real vocabularies.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from datetime import UTC, datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.plans import audit, serving
+from wayfare.functions import text
+from wayfare.functions.vocabulary import INSTITUTIONS
+from wayfare.plans import audit, scans, serving
+from wayfare.plans.ingest import ScanResult
 from wayfare.plans.queries import Group, table
 from wayfare.plans.queries.spanish import NAMES, SQL_NAMES
 from wayfare.sources import alerts, captures, pages, posts
@@ -84,10 +92,9 @@ def sports_home_matches(spark, sf_dir):
 
 @group("SELECT count(*) AS boxes, count(*) AS matches FROM orders")
 def sports_listing_counts(spark, sf_dir):
-    """All matches on one page: its boxes and its different links are counted."""
+    """A match on each page: boxes and different links are counted over all of them."""
     box = F.concat(F.lit('<div class="match"><a href="/liga-1/otro-club-vs-x-m'), F.col("k"), F.lit('">x</a></div>'))
-    page = orders(spark, sf_dir).groupBy(F.lit("listing").alias("url")).agg(F.concat_ws("", F.collect_list(box)).alias("body"))
-    boxes, matches, _ = pages.sports_listing(page)
+    boxes, matches, _ = pages.sports_listing(orders(spark, sf_dir).select(F.concat(F.lit("listing-"), "k").alias("url"), box.alias("body")))
     return spark.createDataFrame([(boxes, matches)], "boxes long, matches long")
 
 
@@ -251,6 +258,98 @@ def road_alert_response(spark, sf_dir):
     return found.select(*[c for c in found.columns if c != "location"], F.col("location.lng").alias("lng"), F.col("location.lat").alias("lat"))
 
 
+# ---- Scans, end to end ----
+
+INSTITUTION_TITLE = "concat('Restricción vehicular ', k)"
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> Callable[[str, str], DataFrame]:
+    """Every source's listing and pages: one of each for each order."""
+    news = lambda name: f"concat('https://www.gob.pe/institucion/{name}/noticias/', k, '-nota')"
+    sports_path = f"concat('/liga-1/', {CLUB}, '-vs-rival-m', k)"
+    match = f"""concat('{{"@type":"Review","itemReviewed":{{"@type":"SportsEvent","name":"Liga 1","description":"Partido ', k, '","startDate":"', d, 'T20:00:00-05:00","location":"', {VENUE}, ', Lima","eventStatus":"EventScheduled","competitor":[{{"name":"A"}},{{"name":"B"}}]}}}}')"""
+    show = """concat('{"@type":"Event","name":"Show ', k, '","startDate":"', d, 'T20:00:00.000Z","endDate":"', d, 'T20:00:00.000Z","eventStatus":"https://schema.org/EventScheduled","location":{"name":"","address":{"streetAddress":"Av. 1"}}}')"""
+    show_url = f"concat('https://www.joinnus.com/events/', {KIND}, '/lima-show-', k)"
+    article = """concat('{"@type":"NewsArticle","headline":"', CASE k % 3 WHEN 0 THEN 'Cierre nocturno ' WHEN 1 THEN 'Mantenimiento ' ELSE 'Aniversario ' END, k, '","datePublished":"', d, 'T08:00:00-05:00"}')"""
+
+    def captured(source: str, part: str) -> DataFrame:
+        if source == posts.MUNICIPAL:
+            return municipal_pages(spark, sf_dir)
+        if source == pages.SPORTS and part == "listing":
+            return written(spark, sf_dir, f"""concat('<div class="match"><a href="', {sports_path}, '">x</a></div>')""")
+        if source == pages.SPORTS:  # Pages of one match in five are gone.
+            found = written(spark, sf_dir, linked(match), f"concat('{pages.SPORTS_URL}', {sports_path})", n="k")
+            return found.withColumn("kind", F.when(F.col("n") % 5 == 0, "http-4xx").otherwise("ok")).drop("n")
+        if source == pages.TICKETS and part == "listing":
+            return written(spark, sf_dir, f"concat('<urlset><url><loc>', {show_url}, '</loc></url></urlset>')")
+        if source == pages.TICKETS:
+            return written(spark, sf_dir, linked(show), show_url)
+        if source == pages.PRESS and part == "listing":
+            return written(spark, sf_dir, """concat('<a href="https://prensa.limaexpresa.pe/news/nota-', k, '.html">a</a>')""")
+        if source == pages.PRESS:
+            return written(spark, sf_dir, f"""concat({linked(article)}, '<div class="content-text"><p>En Línea Amarilla, sin fecha</p></div>')""", f"concat('{pages.PRESS_ORIGIN}/news/nota-', k, '.html')")
+        name = source.removeprefix("gob-pe-")
+        if part == "listing":
+            return written(spark, sf_dir, f"to_json(array(named_struct('title', {INSTITUTION_TITLE}, 'description', 'Comunicado', 'url', {news(name)}, 'image', '', 'date', {spanish('day')})))")
+        said = f"CASE k % 3 WHEN 0 THEN concat('En Miraflores desde el ', {spanish('later')}) WHEN 1 THEN 'En la avenida de Nazca' ELSE 'En Miraflores fue el 3 de enero de 1990' END"
+        return written(spark, sf_dir, f"concat('<main><p>', {said}, '</p></main>')", news(name))
+
+    return captured
+
+
+#: Cursors that the scans begin with.
+CURSORS = {pages.TICKETS: '{"seenIds": ["1", "2", "4"]}', pages.PRESS: '{"seenUrls": ["/news/nota-3.html"]}', "gob-pe-atu": '{"lastId": 100}', posts.MUNICIPAL: '{"after": "1995-06-01T00:00:00"}'}
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> list[tuple[str, ScanResult]]:
+    now = datetime(1998, 8, 2, tzinfo=UTC)
+    wanted = (pages.SPORTS, pages.TICKETS, pages.PRESS, posts.MUNICIPAL, *(f"gob-pe-{n}" for n in INSTITUTIONS))
+    return [(s.name, s.scan(CURSORS.get(s.name))) for s in scans.registry(spark, fetched(spark, sf_dir), now) if s.name in wanted]
+
+
+@group(f"""SELECT 'futbolperuano' AS "sourceId", 'm' || k AS "externalId", d || 'T20:00:00-05:00' AS "startAt" FROM {SQL_ORDERS} WHERE k % 4 < 3 AND k % 5 > 0
+UNION ALL SELECT 'joinnus', CAST(k AS VARCHAR), d || 'T20:00:00-05:00' FROM {SQL_ORDERS} WHERE k % 4 < 3 AND k NOT IN (1, 2, 4)
+UNION ALL SELECT 'lima-expresa', 'nota-' || k, d || 'T08:00:00-05:00' FROM {SQL_ORDERS} WHERE k % 3 < 2 AND k <> 3
+UNION ALL SELECT 'mml', CAST(k AS VARCHAR), l || 'T00:00:00-05:00' FROM (SELECT * FROM {SQL_ORDERS} WHERE d >= '1995-06-01' ORDER BY d, k LIMIT 250) WHERE k % 6 = 5
+UNION ALL SELECT 'gob-pe-' || n, CAST(k AS VARCHAR), CASE k % 3 WHEN 0 THEN l ELSE d END || 'T00:00:00-05:00' FROM {SQL_ORDERS}, (VALUES ('atu', 100, 2), ('sutran', 0, 1), ('mtc', 0, 1), ('munilima', 0, 2)) AS i(n, last, kinds) WHERE k > last AND k % 3 < kinds""")
+def scan_events(spark, sf_dir):
+    """What the scans of eight sources find behind their cursors: listings, the pages of what is new, gates."""
+    return reduce(DataFrame.unionByName, [found.events.select("sourceId", "externalId", "startAt") for _, found in scanned(spark, sf_dir)])
+
+
+@group(f"""SELECT 'joinnus' AS source, (SELECT '{{"seenIds": [' || string_agg('"' || k || '"', ', ' ORDER BY k DESC) || ']}}' FROM (SELECT k FROM (SELECT k FROM {SQL_ORDERS} WHERE k % 4 < 3 UNION SELECT unnest([1, 2, 4])) ORDER BY k DESC LIMIT 800)) AS "cursor"
+UNION ALL SELECT 'mml', '{{"after": "' || max(d) || 'T10:00:00"}}' FROM (SELECT d FROM {SQL_ORDERS} WHERE d >= '1995-06-01' ORDER BY d, k LIMIT 250)
+UNION ALL SELECT 'gob-pe-' || n, '{{"lastId": ' || max(k) || '}}' FROM {SQL_ORDERS}, (VALUES ('atu'), ('sutran'), ('mtc'), ('munilima')) AS i(n) GROUP BY n""")
+def scan_cursors(spark, sf_dir):
+    """Where each scan goes on: ids that were seen, the newest post, the highest news."""
+    rows = [(name, json.dumps(found.next_cursor)) for name, found in scanned(spark, sf_dir) if name not in (pages.SPORTS, pages.PRESS)]
+    return spark.createDataFrame(rows, "source string, cursor string")
+
+
+@group(f"""SELECT id, CASE WHEN k % 2 = 1 THEN 'no-trigger-listing' WHEN nth > 40 THEN 'detail-cap-skipped' WHEN k % 10 = 0 THEN 'detail-fetch-failed-http-4xx' WHEN k % 3 = 1 THEN 'non-lima' WHEN k % 3 = 2 THEN 'past-event' ELSE 'extracted' END AS stage
+FROM (SELECT k, k AS id, row_number() OVER (PARTITION BY k % 2 ORDER BY d DESC, k DESC) AS nth FROM {SQL_ORDERS} WHERE d || 'T10:00:00' >= '1997-12-05T00:00:00')""")
+def institution_audit_rows(spark, sf_dir):
+    """The gates replayed over an institution's listing; its forty details are the audit's own bound."""
+    body = """concat('<div class="card p-6"><h3><a href="/institucion/mtc/noticias/', k, '-nota">', CASE WHEN k % 2 = 0 THEN 'Restricción vehicular ' ELSE 'Noticia ' END, k, '</a></h3><p id="n', k, '-description">Sobre ', k, '</p><time datetime="', d, 'T10:00:00"></time></div>')"""
+    text = f"CASE k % 3 WHEN 0 THEN concat('En Miraflores, avenida Larco, desde el ', {spanish('later')}) WHEN 1 THEN 'En la avenida de Nazca' ELSE 'En la avenida Larco de Miraflores fue el 3 de enero de 1990' END"
+    details = written(spark, sf_dir, f"concat('<main><p>', {text}, '</p></main>')", NEWS_URL)
+    details = details.withColumn("kind", F.when(F.col("url").rlike("0-nota$"), "http-4xx").otherwise("ok"))
+    listed = pages.news_listing(written(spark, sf_dir, body), "mtc")
+    return audit.audit_institution(listed, details, "mtc", datetime(1998, 8, 2, tzinfo=UTC), 240).select("id", "stage")
+
+
+#: Bodies of four kinds, as both engines write them.
+BODIES = """CASE k % 4 WHEN 0 THEN concat('[{"id":', k, '}]') WHEN 1 THEN concat('{"id":', k, '}') WHEN 2 THEN concat('<html>', k, '</html>') ELSE concat('[{"nr":', k, '}]') END"""
+
+
+@group(f"""SELECT k, CASE WHEN NOT json_valid(body) THEN 'not-json' WHEN json_type(body) <> 'ARRAY' OR NOT json_exists(body, '$[0].id') THEN 'wrong-shape' ELSE 'ok' END AS kind,
+  coalesce(CASE WHEN json_valid(body) THEN TRY_CAST(json_extract_string(body, '$[0].id') AS BIGINT) END, -1) AS id FROM (SELECT k, {BODIES} AS body FROM {SQL_ORDERS})""")
+def json_body_classes(spark, sf_dir):
+    """Captured bodies as variants: an array of posts, JSON of another shape, or no JSON."""
+    body = orders(spark, sf_dir).select("k", F.expr(BODIES).alias("body"))
+    return body.select("k", text.json_class(F.col("body"), "array", "id").alias("kind"), F.coalesce(F.try_variant_get(F.try_parse_json("body"), "$[0].id", "bigint"), F.lit(-1)).alias("id"))
+
+
 # ---- Fetches ----
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators import dedup, merge, summaries
-from wayfare.operators.filters import unseen
+from wayfare.operators.filters import disrupted, unseen
+from wayfare.plans import serving
 from wayfare.plans.ingest import upserted
 from wayfare.plans.queries import Group, table
 
@@ -120,8 +121,8 @@ def absence_sweep_count(spark, sf_dir):
 @group("SELECT row_number() OVER (ORDER BY s_suppkey) AS n, s_suppkey, s_name FROM supplier")
 def snapshot_replace(spark, sf_dir):
     snapshot = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    # One cell: ids follow the key, as the SQL's do.
-    return merge.with_new_ids(snapshot, ["s_suppkey"], 0, "n", cells=1).select("n", "s_suppkey", "s_name")
+    # Cells of a thousand keys, in their order: ids follow the key, as the SQL's do.
+    return merge.with_new_ids(snapshot, ["s_suppkey"], 0, "n", cell=F.floor(F.col("s_suppkey") / 1000)).select("n", "s_suppkey", "s_name")
 
 
 @group("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'quality-' || l.quality ELSE 'lang-' || d.lang END AS reason,
@@ -137,7 +138,8 @@ def quarantine_refresh(spark, sf_dir):
 @group("""SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS severity FROM orders WHERE o_orderpriority <> '5-LOW' ORDER BY 3, 1""")
 def alerts_severity_order(spark, sf_dir):
     level = F.when(F.col("o_orderpriority") == "1-URGENT", "interrumpido").when(F.col("o_orderpriority") == "2-HIGH", "restringido").otherwise("normal")
-    rows = table(spark, sf_dir, "orders").filter("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_orderpriority", summaries.severity(level).alias("severity"))
+    level = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "sin nivel").when(F.col("o_orderpriority") == "3-MEDIUM", "lento").otherwise(level)
+    rows = table(spark, sf_dir, "orders").filter(disrupted(level)).select("o_orderkey", "o_orderpriority", summaries.severity(level).alias("severity"))
     return rows.orderBy("severity", "o_orderkey")
 
 
@@ -147,6 +149,21 @@ def region_lookup(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
+#: Regions of the first level, nations below them, and a chain of suppliers below the first nation.
+SQL_TREE = """(SELECT r_regionkey AS id, NULL AS parent_id, lower(r_name) AS slug FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, lower(n_name) FROM nation
+  UNION ALL SELECT 1000 + s_suppkey, CASE WHEN s_suppkey = 1 THEN 100 ELSE 999 + s_suppkey END, 's' || s_suppkey FROM supplier WHERE s_suppkey <= 10)"""
+
+
+@group(f"""WITH RECURSIVE tree AS (SELECT id, slug AS path, 1 AS depth FROM {SQL_TREE} WHERE parent_id IS NULL
+  UNION ALL SELECT r.id, t.path || '/' || r.slug, t.depth + 1 FROM {SQL_TREE} r JOIN tree t ON r.parent_id = t.id) SELECT id, path, depth FROM tree""")
+def region_paths(spark, sf_dir):
+    """A tree of twelve levels: the chain of the first ten suppliers is its depth, not a part of the table."""
+    regions = table(spark, sf_dir, "region").selectExpr("cast(r_regionkey as long) id", "cast(null as long) parent_id", "lower(r_name) slug")
+    nations = table(spark, sf_dir, "nation").selectExpr("cast(100 + n_nationkey as long)", "cast(n_regionkey as long)", "lower(n_name)")
+    chain = table(spark, sf_dir, "supplier").filter("s_suppkey <= 10").selectExpr("cast(1000 + s_suppkey as long)", "cast(if(s_suppkey = 1, 100, 999 + s_suppkey) as long)", "concat('s', s_suppkey)")
+    return serving.region_tree(regions.union(nations).union(chain)).select("id", F.array_join("path", "/").alias("path"), F.size("path").alias("depth"))
+
+
 @group("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
 def orphan_rows(spark, sf_dir):
     parents = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"))

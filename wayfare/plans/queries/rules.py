@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfare import schemas
 from wayfare.functions import dates, gates, geo, text
+from wayfare.operators.filters import overlaps_by_class
 from wayfare.operators.validate import ContractError, scraped_event_violations
 from wayfare.plans import ingest, serving
 from wayfare.plans.queries import Group, table
@@ -186,7 +187,9 @@ def csv_import_rows(spark, sf_dir):
 def json_import_rows(spark, sf_dir):
     path = shared_root(spark, "import")
     row = "named_struct('sourceId', 'manual', 'externalId', concat('n', n_nationkey), 'title', n_name, 'startAt', '2026-07-01T20:00:00-05:00', 'state', 'scheduled', 'category', 'civil', 'location', named_struct('lng', -77.5D, 'lat', -12.5D))"
-    table(spark, sf_dir, "nation").coalesce(1).agg(F.to_json(F.collect_list(F.expr(row))).alias("value")).write.text(path)
+    # One file for each region, with an array of its nations.
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.expr(row))).alias("value"))
+    nations.repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
     return imports.read_json(spark, path).select("externalId", "title", "startAt", F.col("location.lng").alias("lng"))
 
 
@@ -227,26 +230,30 @@ def backfills(spark, sf_dir):
 FIRST, SECOND, WINDOW_END = datetime(1995, 1, 1, tzinfo=UTC), datetime(1995, 2, 1, tzinfo=UTC), datetime(1998, 1, 1, tzinfo=UTC)
 
 
-def two_runs(spark: SparkSession, sf_dir: str) -> Store:
+def two_runs(spark: SparkSession, sf_dir: str) -> tuple[Store, list[ingest.RunSummary]]:
     """Urgent orders by one source, high ones by another with the same keys of news, a source that fails; the second run no longer lists odd urgent ones."""
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey k", "o_orderpriority p", "date_format(o_orderdate, 'yyyy-MM-dd') d", "concat('c', o_custkey) c")
     store = Store(spark, shared_root(spark, "runs"))
     store.migrate()
+    summaries = []
 
     def listed(priority: str, source: str, where: str, title: str) -> DataFrame:
         return scraped(rows.filter(F.col("p") == priority).filter(where), sourceId=f"'{source}'", title=f"'{title}'", startAt="concat(d, 'T00:00:00Z')", dedupKey="c")
 
+    fields = {"sourceId": "'b'", "externalId": "cast(k as string)", "title": "'t'", "reason": "'no-date'"}
+    rejected = rows.filter("p = '3-MEDIUM'").select(*[F.expr(fields.get(c, "null")).cast("string").alias(c) for c in schemas.column_names(schemas.QUARANTINED_POST)])
+
     def broken(cursor: str | None) -> ingest.ScanResult:
         raise ContractError("no page")
 
     for number, (now, where) in enumerate(((FIRST, "true"), (SECOND, "k % 2 = 0")), 1):
         sources = [
             ingest.Source("a", lambda cursor, w=where, n=number: ingest.ScanResult(listed("1-URGENT", "a", w, f"t{n}"), sweep_window_end=WINDOW_END, next_cursor={"run": n})),
-            ingest.Source("b", lambda cursor, n=number: ingest.ScanResult(listed("2-HIGH", "b", "true", f"t{n}"))),
+            ingest.Source("b", lambda cursor, n=number: ingest.ScanResult(listed("2-HIGH", "b", "true", f"t{n}"), rejected)),
             ingest.Source("c", broken),
         ]
-        ingest.run_once(store, sources, now)
-    return store
+        summaries.append(ingest.run_once(store, sources, now))
+    return store, summaries
 
 
 SQL_RUN = "SELECT o_orderkey AS k, o_orderpriority AS p, CAST(o_orderdate AS TIMESTAMP) AS began, o_custkey AS c FROM orders"
@@ -257,14 +264,64 @@ SQL_RUN = "SELECT o_orderkey AS k, o_orderpriority AS p, CAST(o_orderdate AS TIM
 UNION ALL SELECT 'b', CAST(k AS VARCHAR), 't2', 'scheduled' FROM ({SQL_RUN}) n WHERE p = '2-HIGH'
   AND NOT EXISTS (FROM ({SQL_RUN}) e WHERE e.p = '1-URGENT' AND e.c = n.c AND abs(epoch_ms(e.began) - epoch_ms(n.began)) <= 14 * 86400000)""")
 def ingest_run_events(spark, sf_dir):
-    return two_runs(spark, sf_dir).read("events").select("source_id", "external_id", "title", "state")
+    return two_runs(spark, sf_dir)[0].read("events").select("source_id", "external_id", "title", "state")
 
 
 @group("""SELECT * FROM (VALUES ('a', '{"run": 2}', '1995-02-01T00:00:00.000Z', '1995-02-01T00:00:00.000Z', NULL, NULL, 0), ('b', NULL, '1995-02-01T00:00:00.000Z', '1995-02-01T00:00:00.000Z', NULL, NULL, 0),
   ('c', NULL, '1995-02-01T00:00:00.000Z', NULL, '1995-02-01T00:00:00.000Z', 'no page', 2)) AS t(source_id, "cursor", last_run_at, last_success_at, last_error_at, last_error, consecutive_failures)""")
 def ingest_run_state(spark, sf_dir):
     at = [dates.iso_utc(F.col(c)).alias(c) for c in ("last_run_at", "last_success_at", "last_error_at")]
-    return two_runs(spark, sf_dir).read("ingest_state").select("source_id", "cursor", *at, "last_error", "consecutive_failures")
+    return two_runs(spark, sf_dir)[0].read("ingest_state").select("source_id", "cursor", *at, "last_error", "consecutive_failures")
+
+
+SQL_KEPT = f"""FROM ({SQL_RUN}) n WHERE p = '2-HIGH' AND NOT EXISTS (FROM ({SQL_RUN}) e WHERE e.p = '1-URGENT' AND e.c = n.c AND abs(epoch_ms(e.began) - epoch_ms(n.began)) <= 14 * 86400000)"""
+
+
+@group(f"""SELECT run, CASE run WHEN 1 THEN a + kept ELSE 0 END AS inserted, CASE run WHEN 1 THEN 0 ELSE even + kept END AS updated, CASE run WHEN 1 THEN 0 ELSE swept END AS cancelled, b - kept AS suppressed, quarantined, 'c' AS failed
+FROM (VALUES (1), (2)) AS r(run), (SELECT count(*) FILTER (p = '1-URGENT') AS a, count(*) FILTER (p = '1-URGENT' AND k % 2 = 0) AS even, count(*) FILTER (p = '2-HIGH') AS b, count(*) FILTER (p = '3-MEDIUM') AS quarantined,
+  count(*) FILTER (p = '1-URGENT' AND k % 2 = 1 AND began > TIMESTAMP '1995-02-01' AND began < TIMESTAMP '1998-01-01') AS swept, (SELECT count(*) {SQL_KEPT}) AS kept FROM ({SQL_RUN}))""")
+def ingest_run_counters(spark, sf_dir):
+    """The counters of two runs, as the jobs that write bring them along."""
+    runs = two_runs(spark, sf_dir)[1]
+    rows = [(i, s.inserted, s.updated, s.cancelled, s.suppressed, s.quarantined, ",".join(s.failed_sources)) for i, s in enumerate(runs, 1)]
+    return spark.createDataFrame(rows, "run int, inserted long, updated long, cancelled long, suppressed long, quarantined long, failed string")
+
+
+# ---- The store's layout ----
+
+
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stored events of all durations, written to the store and read back with its hidden columns."""
+    hours = "CASE k % 6 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 20 WHEN 3 THEN 100 WHEN 4 THEN 2000 ELSE 20000 END"
+    point = "named_struct('lng', (k % 3600) / 10.0D - 180, 'lat', (k % 1700) / 10.0D - 85)"
+    rows = stored_events(spark, sf_dir).withColumnRenamed("id", "k")
+    rows = rows.withColumn("end_at", F.expr(f"CASE WHEN k % 7 > 0 THEN start_at + make_dt_interval(0, {hours}) END")).withColumn("location", F.expr(f"CASE WHEN k % 5 > 0 THEN {point} END"))
+    store = Store(spark, shared_root(spark, "layout"))
+    store.replace("events", rows.withColumnRenamed("k", "id"))
+    return store.read("events", hidden=True)
+
+
+SQL_LAID_OUT = f"""(SELECT k AS id, CAST(day AS TIMESTAMP) AS start_at, CASE WHEN k % 7 > 0 THEN CAST(day AS TIMESTAMP) + to_hours(CASE k % 6 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 20 WHEN 3 THEN 100 WHEN 4 THEN 2000 ELSE 20000 END) END AS end_at,
+  CASE WHEN k % 5 > 0 THEN (k % 3600) / 10.0 - 180 END AS lng, CASE WHEN k % 5 > 0 THEN (k % 1700) / 10.0 - 85 END AS lat FROM {SQL_ORDERS})"""
+
+
+@group(f"SELECT id FROM {SQL_LAID_OUT} WHERE start_at <= TIMESTAMP '1996-03-01' AND coalesce(end_at, start_at) >= TIMESTAMP '1996-02-20 06:00:00'")
+def events_overlap_classes(spark, sf_dir):
+    """Overlap with both bounds in the scan: events by classes of duration."""
+    begin, end = (F.lit(x).cast("timestamp") for x in (datetime(1996, 2, 20, 6, tzinfo=UTC), datetime(1996, 3, 1, tzinfo=UTC)))
+    return laid_out(spark, sf_dir).filter(overlaps_by_class(F.col("start_at"), F.col("end_at"), F.col("_class"), begin, end)).select("id")
+
+
+def sql_metres(lng: float, lat: float) -> str:
+    return f"2 * 6371008.8 * asin(sqrt(pow(sin((radians({lat}) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians({lat})) * pow(sin((radians({lng}) - radians(lng)) / 2), 2)))"
+
+
+@group(f"SELECT 'near' AS kind, id, 0 AS km FROM {SQL_LAID_OUT} WHERE lng IS NOT NULL AND {sql_metres(-77.03, -12.05)} <= 3000000 UNION ALL SELECT 'nearest', id, CAST(floor(m / 1000) AS INT) FROM (SELECT id, {sql_metres(179.9, 10.05)} AS m FROM {SQL_LAID_OUT} WHERE lng IS NOT NULL ORDER BY m, id LIMIT 40)")
+def events_by_place(spark, sf_dir):
+    """All within a radius, and the nearest to a point beside the date line, by cells of a space-filling curve; the number of nearest ones is the feature."""
+    rows = laid_out(spark, sf_dir)
+    near = serving.events_near(rows, -77.03, -12.05, 3_000_000).select(F.lit("near").alias("kind"), "id", F.lit(0).alias("km"))
+    return near.unionAll(serving.nearest_events(rows, 179.9, 10.05, 40).select(F.lit("nearest"), "id", F.floor(F.col("distance_m") / 1000).cast("int")))
 
 
 @group(f"""SELECT 'PE-' || k AS codigo_via, CASE k % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'restringido' ELSE 'interrumpido' END AS estado, '1995-02-01T00:00:00.000Z' AS fetched_at FROM {SQL_ORDERS} WHERE day >= DATE '1997-01-01'""")

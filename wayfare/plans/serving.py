@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfare.functions.dates import iso_utc
 from wayfare.functions.geo import distance_m, point, within
 from wayfare.functions.text import category_label, joined_parts, source_label, state_label
-from wayfare.operators.filters import all_of, overlaps, visible
+from wayfare.operators.filters import all_of, overlaps, overlaps_by_class, visible
 from wayfare.operators.summaries import by_point, facets, freshness, severity
 from wayfare.operators.validate import event_id_argument, query_arguments
 
@@ -33,10 +33,13 @@ def events_query(
     """Events that meet [from, to], earliest first. Cancelled ones are among them; gated sources are not, whatever source says."""
     begin, end, limit = query_arguments(from_, to, category, source, limit)
     literal: list[Column | None] = [None if x is None else F.lit(x).cast("timestamp") for x in (begin, end)]
+    # With the store's class of duration, both bounds can skip row groups.
+    kind = [F.col("_class")] if "_class" in events.columns else []
+    overlap = (overlaps_by_class if kind else overlaps)(F.col("start_at"), F.col("end_at"), *kind, *literal)
     condition = all_of(
         [
             visible(F.col("source_id"), now, exposed, exposed_until),
-            overlaps(F.col("start_at"), F.col("end_at"), *literal),
+            overlap,
             None if category is None else F.col("category") == category,
             None if source is None else F.col("source_id") == source,
         ]
@@ -83,21 +86,33 @@ def labelled(events: DataFrame) -> DataFrame:
 
 
 def events_near(events: DataFrame, lng: float, lat: float, metres: float) -> DataFrame:
-    return events.filter(within(F.col("location"), lng, lat, metres))
+    return events.filter(within(F.col("location"), lng, lat, metres, F.col("_place") if "_place" in events.columns else None))
 
 
-def nearest_events(events: DataFrame, lng: float, lat: float, k: int) -> DataFrame:
-    """The k located events nearest to a point, with their distance in metres: a top-k per task, then of those."""
+#: Half of the largest distance of two points, in metres; a ring beyond it holds all.
+FARTHEST_M = 10_000_000.0
+
+
+def nearest_events(events: DataFrame, lng: float, lat: float, k: int, first_m: float = 2000.0) -> DataFrame:
+    """The k located events nearest to a point, with their distance in metres.
+
+    Rings widen fourfold until one holds k events, so of the store's rows (read with
+    ``hidden``) only the cells of that ring are read; a top-k per task is then that
+    of the ring. Fewer than k in all are all returned.
+    """
     centre = F.struct(F.lit(lng).alias("lng"), F.lit(lat).alias("lat"))
-    return events.filter(F.col("location").isNotNull()).withColumn("distance_m", distance_m(F.col("location"), centre)).orderBy("distance_m", "id").limit(k)
-
-
-def region_tree(regions: DataFrame, depth: int = 4) -> DataFrame:
-    """Each region with the slugs from its root down; levels are few, so one join per level."""
-    tree = regions.filter("parent_id is null").select("id", F.array("slug").alias("path"))
-    level = tree
-    for _ in range(depth - 1):
-        children = regions.select(F.col("id").alias("child"), "parent_id", "slug")
-        level = level.join(children, F.col("id") == F.col("parent_id")).select(F.col("child").alias("id"), F.concat("path", F.array("slug")).alias("path"))
-        tree = tree.unionByName(level)
-    return tree
+    located = events.filter(F.col("location.lng").isNotNull() & F.col("location.lat").isNotNull())
+    metres = first_m
+    while metres < FARTHEST_M and events_near(located, lng, lat, metres).limit(k).count() < k:
+        metres *= 4
+    ring = events_near(located, lng, lat, metres) if metres < FARTHEST_M else located
+    return ring.withColumn("distance_m", distance_m(F.col("location"), centre)).orderBy("distance_m", "id").limit(k)
+
+
+def region_tree(regions: DataFrame, levels: int = 1000) -> DataFrame:
+    """Each region with the slugs from its root down, whatever its depth. Regions under a loop have no root and aren't listed; more than ``levels`` levels raise."""
+    query = f"""WITH RECURSIVE tree(id, path) MAX RECURSION LEVEL {levels} AS (
+      SELECT id, array(slug) FROM {{regions}} WHERE parent_id IS NULL
+      UNION ALL SELECT r.id, concat(t.path, array(r.slug)) FROM {{regions}} r JOIN tree t ON r.parent_id = t.id)
+    SELECT id, path FROM tree"""
+    return regions.sparkSession.sql(query, regions=regions)

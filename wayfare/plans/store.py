@@ -330,7 +330,14 @@ class Store:
             rows = rows.hint("rebalance", *order[: int(layout.cells)]).sortWithinPartitions(*order)
         # Counted behind the exchange: what is before it runs once more, for the samples of its ranges.
         rows = watch(rows).select(*columns)
-        (rows.write.partitionBy("_cell") if layout.cells else rows.write).parquet(f"{self.root}/{table}/{folder.name}")
+        # Parquet keeps no statistics of the older form of timestamps, so no row group could be skipped by them.
+        form, conf = "spark.sql.parquet.outputTimestampType", self.spark.conf
+        before = conf.get(form)
+        conf.set(form, "TIMESTAMP_MICROS")
+        try:
+            (rows.write.partitionBy("_cell") if layout.cells else rows.write).parquet(f"{self.root}/{table}/{folder.name}")
+        finally:
+            conf.set(form, before)
         return folder
 
     def _bytes(self, table: str, name: str) -> int:

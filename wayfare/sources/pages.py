@@ -137,7 +137,7 @@ def sports_listing(pages: DataFrame) -> tuple[int, int, DataFrame]:
     """Boxes, different match links, and the paths of home matches of the clubs we follow, in page order."""
     links = parsed(pages, match_links, LINKS)
     matches = links.filter(F.col("href").rlike(SPORTS_MATCH)).groupBy("href").agg(F.min("place").alias("place"))
-    counts = links.agg(F.max("matches")).first()[0] or 0, matches.count()
+    counts = links.filter("place = -1").agg(F.sum("matches")).first()[0] or 0, matches.count()
     targets = matches.filter(home_club(F.col("href")).isNotNull()).select(F.col("href").alias("path"), "place")
     if counts[0] and not counts[1]:
         raise ContractError(f"sports: {counts[0]} matches but none parseable")
