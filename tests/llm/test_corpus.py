@@ -1,6 +1,7 @@
 """Operators that need the whole corpus, against brute force on small tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -397,7 +398,7 @@ def test_links_of_clustered_fingerprints(spark, seed, chunk):
     codes = clustered(seed, 600)
     signed = lambda c: c - (1 << 64) if c >> 63 else c
     frame = spark.createDataFrame([(signed(c),) for c in codes], "fp long").repartition(3)
-    stars = simhash.connected(simhash.star_links(frame, chunk=chunk))
+    stars = simhash.connected(simhash.star_links(frame, chunk=chunk, group=40))
     centre = {r.fp: r.centre for r in stars.collect()}
     want = connected_by_hand(codes)
     groups = lambda label: sorted(sorted(g) for g in label.values())
@@ -413,7 +414,7 @@ def test_links_within_other_numbers_of_bits(spark, bits):
     codes = clustered(9, 300)
     signed = lambda c: c - (1 << 64) if c >> 63 else c
     frame = spark.createDataFrame([(signed(c),) for c in codes], "fp long").repartition(3)
-    centre = {r.fp: r.centre for r in simhash.connected(simhash.star_links(frame, bits)).collect()}
+    centre = {r.fp: r.centre for r in simhash.connected(simhash.star_links(frame, bits, group=25)).collect()}
     want = connected_by_hand(codes, bits)
     ours, theirs = defaultdict(set), defaultdict(set)
     for c in codes:
@@ -424,7 +425,7 @@ def test_links_within_other_numbers_of_bits(spark, bits):
 
 @pytest.mark.parametrize("bits", [1, 2, 3])
 def test_some_route_keeps_whatever_bits_differ(bits):
-    blocks = lambda order: sum(((1 << w) - 1) << (64 - start - w) for start, w in order[:2])
+    blocks = lambda order: sum(((1 << w) - 1) << (64 - start - w) for start, w in order[:1])
     leads = [blocks(order) for order in simhash.routes(bits)]
     assert all(sorted(p for start, w in order for p in range(start, start + w)) == list(range(64)) for order in simhash.routes(bits))
     for places in combinations(range(64), bits):
@@ -437,13 +438,29 @@ def test_gray_index_finds_what_brute_force_finds(bits):
     for seed in range(5):
         codes = np.array(clustered(seed, 300), np.uint64)
         group = (codes >> np.uint64(62)).astype(np.int64)
-        leaf, centre = simhash.stars(codes, group, bits)
+        leaf, centre, _ = simhash.stars(codes, group, bits)
         label = {int(c): int(c) for c in codes} | dict(zip(map(int, leaf), map(int, centre), strict=True))
         for g in set(group.tolist()):
             mine = [int(c) for c in codes[group == g]]
             assert {c: label[c] for c in mine} == connected_by_hand(mine, bits)
 
 
+def test_the_index_prunes_most_of_the_documents_fingerprints(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    fps = simhash.fingerprints(spark.read.parquet(path)).select("fp").distinct()
+    rows = simhash.search_report(fps).collect()
+    total = {c: sum(r[c] for r in rows) for c in ("members", "pairs", "visited", "pruned", "compared")}
+    # Groups of thousands, of which upper nodes leave few members to compare.
+    assert len({r.turn for r in rows}) == 3 and total["pairs"] > 1000 * total["members"]
+    assert total["compared"] < 0.2 * total["pairs"] and total["pruned"] > 0.3 * total["visited"] and total["visited"] < 0.3 * total["pairs"]
+
+
+def test_groups_keep_their_size(spark):
+    assert [simhash.lead_bits(n, 2) for n in (0, 1, 4096, 4097, 8192, 8193, 1 << 40)] == [0, 0, 0, 1, 1, 2, 21]
+
+
 def test_gray_rank_orders_neighbours_by_one_bit():
     codes = np.arange(256, dtype=np.uint64)
     ordered_codes = codes[np.argsort(simhash.gray_rank(codes))]
