@@ -65,7 +65,7 @@ def test_rests_that_go_with_nothing_are_cut(make):
 
 def test_cells_and_small_caches(make, monkeypatch):
     monkeypatch.setattr(packing, "CELL_ROWS", 3)
-    monkeypatch.setattr(packing, "CACHE_IDS", 10)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 10)
     rows = [(i, prose(i % 40, 30 + 9 * (i % 40)), "en", "a") for i in range(120)]
     assert check(packing.packed(make(rows), PATH, size=256, grain=1).collect(), rows, 256) < 0.02
 

@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,8 +51,9 @@ COLUMNS = 16
 LEAST_FILL = 0.98
 #: Rows of a cell of hashes.
 CELL_ROWS = 100_000
-#: Ids of known pre-tokens that a worker keeps.
-CACHE_IDS = 4_000_000
+#: Known pre-tokens that a worker keeps from task to task, some 150 bytes each, and new ones that are encoded as one text.
+CACHE_WORDS = 800_000
+JOINED = 2000
 
 #: One row per row of the input: pieces of whole sequences by their CRC-32, and the rest's ids.
 TOKENS = "key long, doc_id long, doc_tokens long, crcs array<long>, rest int, rest_crc long, ids array<int>"
@@ -71,6 +73,10 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # A special token's string ends a word whatever stands beside it, and its id nothing else has.
+        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
+        self.between, self.break_ = special[-1] if special else (None, "")
+        self.strings = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -78,31 +84,51 @@ class Ids:
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
     def _learn(self, words: list[bytes]) -> None:
-        for encoded, word in zip(self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), words, strict=True):
-            ids, at = encoded.ids, len(self.known)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if at == len(self.begin):
-                self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.begin[at], self.count[at] = self.used, len(ids)
-            self.known[word] = at
-            self.used += len(ids)
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, each text's followed by the end's id, and where each text's end."""
-        words: list[bytes] = []
-        ends = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words += text.split()
-            ends[i] = len(words)
-        encoded = pa.array(words, pa.binary()).dictionary_encode()
-        distinct = encoded.dictionary.to_pylist()
-        if self.used > CACHE_IDS:
+        """Encode new words: many at once, with a special token between them; by themselves those that hold one, or where there is none."""
+        joined, alone = (words, []) if self.between is not None else ([], words)
+        whole = b" ".join(words)
+        if joined and any(x in whole for x in self.strings):
+            joined, alone = [], []
+            for w in words:
+                (alone if any(x in w for x in self.strings) else joined).append(w)
+        parts = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        found = self._encoded([self.break_.encode().join([*part, b""]) for part in parts] + alone)
+        flat, counts = [], []
+        for ids in found[: len(parts)]:
+            stops = np.flatnonzero(ids == self.between)
+            counts.append(np.diff(stops, prepend=-1) - 1)
+            flat.append(ids[ids != self.between])
+        counts += [np.array([len(ids)]) for ids in found[len(parts) :]]
+        flat += found[len(parts) :]
+        if not flat:
+            return
+        ids, counts = np.concatenate(flat), np.concatenate(counts)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        at = len(self.known)
+        while at + len(words) > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[at : at + len(words)] = self.used + np.cumsum(counts) - counts
+        self.count[at : at + len(words)] = counts
+        self.known.update(zip(joined + alone, range(at, at + len(words)), strict=True))
+        self.used += len(ids)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, each text's followed by the end's id, and where each text's end. A null text has the end's id alone."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+        words = split.flatten()
+        encoded = words.dictionary_encode()
+        distinct = encoded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_pylist()
+        if len(self.known) > CACHE_WORDS:
             self._clear()
         self._learn([w for w in distinct if w not in self.known])
-        place = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         at = place[encoded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         # A document's end is one more word, of one id.
         end_at = ends + np.arange(len(texts))
@@ -119,13 +145,23 @@ class Ids:
         return out, last + 1
 
 
+#: Of each worker process.
+_KNOWN: dict[str, Ids] = {}
+
+
+def _ids(path: str) -> Ids:
+    if path not in _KNOWN:
+        _KNOWN[path] = Ids(path)
+    return _KNOWN[path]
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
     """TOKENS of each row of ``docs``; key tells rows apart once the result is written."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, key = Ids(tokenizer_path), TaskContext.get().partitionId() << 40
+        ids, key = _ids(tokenizer_path), TaskContext.get().partitionId() << 40
         for part, texts in blocks(batches):
-            flat, ends = ids.of(texts)
+            flat, ends = ids.of(part.column(1))
             begins = np.concatenate([[0], ends[:-1]])
             lengths = ends - begins
             rests = ends - lengths % size
