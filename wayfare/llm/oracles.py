@@ -76,3 +76,72 @@ found AS (SELECT * FROM placed WHERE length(value) >= least)
 SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' ORDER BY ends - length(whole), rank) FILTER (kind IN ({base})), '')) AS base_sha256,
   coalesce(string_agg({text}, ',' ORDER BY ends - length(whole), rank), '') AS spans, sha256(any_value(d.t)) AS blob
 FROM docs d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id"""
+
+
+#: CRC-32's table, from its polynomial.
+CRC_TABLE = """(SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM (SELECT unnest(range(256)) AS b)))"""
+
+
+def crc32_sql(text: str, table: str) -> str:
+    """The unsigned CRC-32 of a text's bytes."""
+    each = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({each}, lambda c, b: xor({table}[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _added(weight: str, cost: str | int, label: str) -> str:
+    """A weight after one more edit. Weights are nine digits of cost and then the labels, so text order is theirs; null: not reached."""
+    return f"(printf('%09d', CAST(left({weight}, 9) AS INTEGER) + {cost}) || substr({weight}, 10) || '{label}')"
+
+
+def _least(*weights: str) -> str:
+    return f"least({', '.join(weights)})"
+
+
+def repair_sql() -> str:
+    """Rows after damage, then weights of the grammar's four states row by row, then the repaired rows of the least path."""
+    stays = "CASE WHEN r.stays THEN {} END"
+    step = {
+        "w0": _added("w0", 3, "D"),
+        "w1": _least(_added("w1", 3, "D"), f"CASE WHEN r.stays AND r.initial = 's' THEN {_added('w0', 'r.late', 'K')} END"),
+        "w2": _least(_added("w2", 3, "D"), *[x for w in ("w0", "w1", "w3") for x in (f"CASE WHEN r.stays AND r.initial = 'u' THEN {_added(w, 'r.late', 'K')} END", stays.format(_added(w, "2 + r.late", "R")))]),
+        "w3": _least(_added("w3", 3, "D"), f"CASE WHEN r.stays AND r.initial = 'a' THEN {_added('w2', 'r.late', 'K')} END", stays.format(_added("w2", "2 + r.late", "R"))),
+    }
+    # Insertions: an empty user row leads to the third state, an empty assistant row from there to the fourth.
+    users = _least("w2", *[_added(w, 2, "I") for w in ("w0", "w1", "w3")])
+    closed = f"w0, w1, {users} AS w2, {_least('w3', _added(users, 2, 'I'))} AS w3"
+    return f"""WITH RECURSIVE crc AS {CRC_TABLE},
+one AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+dealt AS (SELECT *, {crc32_sql("name", "crc.t")} % 20 AS fault FROM one, crc),
+damaged AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM dealt WHERE fault <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place FROM damaged),
+judged AS (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+  WHEN regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+rows AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS late, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM judged),
+convs AS (SELECT conv_id, max(place) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, {closed} FROM (SELECT conv_id, '000000000' AS w0, NULL::VARCHAR AS w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3 FROM convs)
+  UNION ALL SELECT conv_id, pos, {closed} FROM (SELECT w.conv_id, w.pos + 1 AS pos, {", ".join(f"{e} AS {n}" for n, e in step.items())} FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.pos + 1)),
+best AS (SELECT c.*, CAST(left(w, 9) AS BIGINT) AS cost, substr(w, 10) AS audit FROM (SELECT conv_id, pos, least(w0, w3) AS w FROM walk) x JOIN convs c ON c.conv_id IS NOT DISTINCT FROM x.conv_id AND c.n = x.pos),
+edits AS (SELECT conv_id, k, substr(audit, k, 1) AS edit, length(replace(left(audit, k), 'I', '')) AS place, length(replace(left(audit, k), 'D', '')) AS nth FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM best)),
+kept AS (SELECT e.conv_id, e.k, e.edit, e.nth, r.role, coalesce(r.text, '') AS text FROM edits e LEFT JOIN rows r ON e.edit <> 'I' AND r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.place = e.place WHERE e.edit <> 'D'),
+headed AS (SELECT *, max(CASE WHEN nth = 1 AND edit = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS head FROM kept),
+written AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS sha FROM headed GROUP BY conv_id)
+SELECT o.conv_id, coalesce(b.gaps, 0) AS gaps, coalesce(b.blank, 0) AS blank, coalesce(b.duplicate, 0) AS duplicate, coalesce(b.truncated, 0) AS truncated, coalesce(b.illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost,
+  coalesce(b.audit, '') AS audit, coalesce(w.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+def variants_sql() -> str:
+    """Words from the documents' runs, all near pairs through shortened strings, and paths of forms."""
+    capitals, small = ("".join(map(chr, range(a, a + 26))) for a in (65, 97))
+    return f"""WITH RECURSIVE crc AS {CRC_TABLE},
+runs AS (SELECT doc_id, translate(raw, '{capitals}', '{small}') AS run, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS raw FROM documents) WHERE length(raw) >= 7 GROUP BY ALL),
+hashed AS (SELECT *, {crc32_sql("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)", "crc.t")} AS h FROM runs, crc),
+words AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m FROM hashed) GROUP BY word HAVING length(word) >= 7 AND sum(m) >= 2),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.rest UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+found AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+path AS (SELECT word, word AS pos, 0 AS steps FROM found UNION ALL SELECT p.word, f.form, p.steps + 1 FROM path p JOIN found f ON f.word = p.pos WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN (SELECT word, arg_max(pos, steps) AS root FROM path GROUP BY word) USING (word)"""

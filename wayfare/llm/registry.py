@@ -12,7 +12,7 @@ from wayfare.llm.decontaminate import contaminated
 from wayfare.llm.language import language_digest
 from wayfare.llm.licenses import license_matches
 from wayfare.llm.mixing import mix_digest
-from wayfare.llm.oracles import mix_sql, secrets_sql, seeds_sql
+from wayfare.llm.oracles import mix_sql, repair_sql, secrets_sql, seeds_sql
 from wayfare.llm.packing import packed
 from wayfare.llm.quality import quality
 from wayfare.llm.repair import repair_digest
@@ -111,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op3_hierarchical_mix": mix_sql(),
     "op4_spaced_seeds": seeds_sql(),
     "op8_secret_ledger": secrets_sql(),
+    "op11_conversation_repair": repair_sql(),
 }
