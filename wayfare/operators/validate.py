@@ -44,6 +44,22 @@ def scraped_event_violations() -> Column:
     )
 
 
+def event_body_violations(prefix: str = "e.") -> Column:
+    """What an event's body breaks, as a client reads it: ids, texts that must be there, the state, instants in UTC with milliseconds, the point, the address."""
+    at = lambda c: F.col(prefix + c)
+    instant_text = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z$"
+    given = {c: F.coalesce(F.length(at(c)) > 0, F.lit(False)) for c in ("sourceId", "externalId", "title", "category")}
+    return violations(
+        id=F.coalesce(at("id") > 0, F.lit(False)),
+        **given,
+        state=F.coalesce(at("state").isin(*schemas.EVENT_STATES), F.lit(False)),
+        startAt=F.coalesce(at("startAt").rlike(instant_text), F.lit(False)),
+        endAt=at("endAt").rlike(instant_text),
+        location=at("location").isNull() | F.coalesce(is_valid_point(at("location")), F.lit(False)),
+        sourceUrl=is_web_url(at("sourceUrl")),
+    )
+
+
 def validated(events: DataFrame) -> DataFrame:
     """The batch, if no row of it breaks the contract: one bad row fails the whole batch."""
     bad = events.withColumn("violations", scraped_event_violations()).filter(F.size("violations") > 0)

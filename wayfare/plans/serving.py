@@ -12,7 +12,8 @@ from wayfare.functions.geo import distance_m, point, within
 from wayfare.functions.text import category_label, joined_parts, source_label, state_label
 from wayfare.operators.filters import all_of, overlaps, overlaps_by_class, visible
 from wayfare.operators.summaries import by_point, facets, freshness, severity
-from wayfare.operators.validate import event_id_argument, query_arguments
+from wayfare.operators.validate import event_body_violations, event_id_argument, query_arguments
+from wayfare.schemas import POINT
 
 DEFAULT_LIMIT = 100
 
@@ -47,6 +48,21 @@ def events_query(
     return event_shape(events.filter(condition).orderBy("start_at", "id").limit(limit))
 
 
+def as_json(response: DataFrame) -> DataFrame:
+    """A response's rows as the JSON bodies that clients get: every field is there, null or not."""
+    return response.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
+
+
+#: What a client reads an event's body as.
+EVENT_BODY = f"id long, sourceId string, externalId string, regionId long, title string, category string, state string, startAt string, endAt string, location {POINT}, venueName string, sourceUrl string"
+
+
+def revalidated(bodies: DataFrame) -> DataFrame:
+    """Bodies as a client reads them: typed columns, and ``violations`` of the response's contract; a body that isn't such an object has ``body`` alone."""
+    read = bodies.select(F.from_json("body", EVENT_BODY).alias("e"), F.try_parse_json("body").isNotNull().alias("is_json"))
+    return read.select("e.*", F.when(F.col("is_json"), event_body_violations()).otherwise(F.array(F.lit("body"))).alias("violations"))
+
+
 def event_query(events: DataFrame, event_id: int | str, now: datetime, exposed: bool = False, exposed_until: datetime | None = None) -> DataFrame:
     """The event of an id: no row if there is none, or if it is gated."""
     condition = all_of([F.col("id") == event_id_argument(event_id), visible(F.col("source_id"), now, exposed, exposed_until)])
