@@ -1,6 +1,7 @@
 """The store, merges, runs, serving queries, audit and streaming, over small inline rows."""
 
 import json
+import shutil
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -21,11 +22,18 @@ NOW = datetime(2026, 6, 12, 6, 0, tzinfo=UTC)
 NAMES = schemas.column_names(schemas.SCRAPED_EVENT)
 
 
+@pytest.fixture(scope="module")
+def migrated(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("migrated")
+    Store(spark, f"file://{path}/store").migrate()
+    return path / "store"
+
+
 @pytest.fixture
-def store(spark, tmp_path):
-    made = Store(spark, f"file://{tmp_path}/store")
-    made.migrate()
-    return made
+def store(spark, tmp_path, migrated):
+    """A store of one's own: a copy of one that was just migrated."""
+    shutil.copytree(migrated, tmp_path / "store")
+    return Store(spark, f"file://{tmp_path}/store")
 
 
 def event(external, start="2026-07-01T20:00:00-05:00", source="s", **more):
