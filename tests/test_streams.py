@@ -100,3 +100,23 @@ def test_ten_thousand_patterns(spark):
     # No pattern is tried on every text.
     with pytest.raises(ValueError, match="literal part"):
         patterns.first_match(texts, "t", spark.range(300).selectExpr("id place", "'[a-z]' pattern"))
+
+
+def test_first_match_never_broadcasts_texts(spark, tmp_path):
+    path = str(tmp_path / "texts.parquet")
+    spark.range(500).selectExpr("id", "concat('estadio ', id) t").write.parquet(path)
+    found = patterns.first_match(spark.read.parquet(path), "t", spark.createDataFrame([(1, "estadio 1"), (2, "[a-z]"), (3, "estadio 2|plaza")], "place long, pattern string"))
+    lines = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in lines]
+    scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line]
+    assert len(scans) >= 3
+    for i in scans:
+        # From the scan up to the root: which joins it is under, and on which side.
+        at, side = i, depth[i]
+        for j in range(i, -1, -1):
+            if depth[j] < side:
+                if "BroadcastHashJoin" in lines[j] or "BroadcastNestedLoopJoin" in lines[j]:
+                    left = at == j + 1
+                    assert left == ("BuildRight" in lines[j]), lines[j]
+                at, side = j, depth[j]
+    assert found.count() == 500 and found.filter("place = 1").count() == 111

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 GRAM = 4
 #: Patterns of which no literal part is known, at most: each of them is tried on every text.
 LOOSE = 200
+#: Grams of patterns that are sent to every task, at most; more of them meet the texts by a shuffle. Texts are never sent: a small file can hold a hundred times as many grams.
+BROADCAST = 200_000
 
 _META = set(".^$*+?{}[]\\|()")
 
@@ -94,6 +96,7 @@ def first_match(rows: DataFrame, text: str, patterns: DataFrame, key: str = "id"
     known = patterns.filter("pattern is not null").select(F.col("place").cast("long").alias("place"), "pattern")
     grams = index(known).persist()
     try:
+        few = grams.count() <= BROADCAST
         loose = grams.filter("gram is null").select("place").distinct()
         n_loose = loose.count()
         if n_loose > LOOSE:
@@ -101,11 +104,12 @@ def first_match(rows: DataFrame, text: str, patterns: DataFrame, key: str = "id"
         loose_patterns = [r.place for r in loose.collect()]
     finally:
         grams.unpersist()
+    to_tasks = F.broadcast if few else lambda df: df.hint("merge")
     texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
     # Overlapping grams, in one pass over the text.
     held = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), 1))).alias("gram"))
-    met = held.join(grams.filter("gram is not null"), "gram").groupBy("key", "place", "alternative").agg(F.count("*").alias("n"), F.first("grams").alias("grams")).filter("n = grams").select("key", "place").distinct()
-    verified = met.join(known, "place").join(texts, "key").filter(F.expr("text rlike pattern")).select("key", "place")
+    met = held.join(to_tasks(grams.filter("gram is not null")), "gram").groupBy("key", "place", "alternative").agg(F.count("*").alias("n"), F.first("grams").alias("grams")).filter("n = grams").select("key", "place").distinct()
+    verified = met.join(to_tasks(known), "place").join(texts.hint("merge"), "key").filter(F.expr("text rlike pattern")).select("key", "place")
     if loose_patterns:
         tried = texts.select("key", "text", F.explode(F.array(*map(F.lit, loose_patterns))).alias("place")).join(F.broadcast(known.join(loose, "place")), "place")
         verified = verified.unionByName(tried.filter(F.expr("text rlike pattern")).select("key", "place"))
