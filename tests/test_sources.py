@@ -20,6 +20,14 @@ def test_markup_tree():
     assert markup.parse(None).text() == ""
 
 
+def test_article_text_reads_five_references_with_their_semicolon():
+    from wayfare.plans.queries.texts import article
+
+    html = "<p>&amp</p><article>a &amp;&amp<b>x</b> &copy; &lt;y&gt; &amp;lt; &quot;&#39;</article>"
+    assert [r["text"] for r in article("u", html)] == ["a &&ampx &copy; <y> &lt; \"'"]
+    assert markup.parse("<p>a&amp<b>x</b></p>").text() == "a&x"
+
+
 def test_captures(spark, tmp_path):
     assert [outcome(s) for s in (200, 404, 500, None)] == ["ok", "http-4xx", "transient", "transient"]
     first = captures(spark, {"a": "A", "b": 503, "c": 404, "d": None})
