@@ -258,6 +258,15 @@ def test_a_headline_a_hundred_thousand_times(spark):
     assert {tuple(r) for r in told.groupBy("source_id").agg(F.min("told.id"), F.max("told.id"), F.count("told")).collect()} == {("s0", 1, 1, 33334), ("s1", 0, 0, 33333), ("s2", 0, 0, 33333)}
 
 
+def test_tasks_of_the_suppression_grow_with_the_rows(spark, monkeypatch):
+    rows = lambda first: spark.range(3000).selectExpr(f"id + {first} id", "concat('s', id % 3) source_id", "cast(id as string) external_id", "concat('k', id % 50) dedup_key", "timestamp'2026-01-01' + make_dt_interval(0, cast(id as int)) start_at")
+    told = lambda: dedup.told_before(rows(10_000).withColumn("source_id", F.lit("s1")), rows(0))
+    want = sorted((r.external_id, r.told.id if r.told else -1) for r in told().collect())
+    monkeypatch.setattr(dedup, "TASK_ROWS", 1000)
+    assert any("stretch" in line and ", 12)" in line for line in told()._jdf.queryExecution().sparkPlan().toString().split("\n"))
+    assert sorted((r.external_id, r.told.id if r.told else -1) for r in told().collect()) == want and len({w for _, w in want}) > 10
+
+
 # ---- Trees and bodies ----
 
 

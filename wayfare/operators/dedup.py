@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Copies of a headline by other sources within so many days are the same news.
 SUPPRESSION_DAYS = 14
 _DAY_MS = 86_400_000
+#: Rows of a task that sorts stored rows and bounds: some 250 MB.
+TASK_ROWS = 250_000
 
 
 def last_wins(batch: DataFrame, keys: Sequence[str], position: Sequence[Column]) -> DataFrame:
@@ -36,7 +38,7 @@ def _least_other(rows: DataFrame, group: Sequence[str], time: Column, name: str)
     return found.withColumn(name, F.when(F.col("m1.source_id") != F.col("asks"), F.col("m1")).otherwise(F.col("m2"))).drop("m1", "m2", "before")
 
 
-def told_before(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSION_DAYS) -> DataFrame:
+def told_before(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSION_DAYS, n_rows: int | None = None) -> DataFrame:
     """incoming with ``told``: the stored row (id, source_id, external_id) of the smallest id that tells the same news, null if there is none.
 
     It has the key, another source, and a start at most ``days`` away. No pair of
@@ -45,14 +47,20 @@ def told_before(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSIO
     stored rows and the incoming ones' bounds are sorted together, and running
     minima answer each bound: forwards for beginnings, backwards for ends. Rows of
     one key, source and start are one on both sides, so a headline that comes a
-    hundred thousand times is sorted, at most, once for each start.
+    hundred thousand times is sorted, at most, once for each start. There are as
+    many tasks as hold ``TASK_ROWS`` each. n_rows: about how many rows are stored,
+    and three for each incoming one; they are counted where it isn't given.
     """
     width = days * _DAY_MS
     start = F.unix_millis(F.col("start_at"))
     row = F.struct(F.col("id"), F.col("source_id"), F.col("external_id"))
-    stored = existing.filter("dedup_key is not null and start_at is not null").groupBy("dedup_key", start.alias("at"), "source_id").agg(F.min(row).alias("row"))
+    existing, asking = (rows.filter("dedup_key is not null and start_at is not null") for rows in (existing, incoming))
+    if n_rows is None:
+        n_rows = existing.count() + 3 * asking.count()
+    n_tasks = max(-(-n_rows // TASK_ROWS), min(int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // 10_000 + 1))
+    stored = existing.groupBy("dedup_key", start.alias("at"), "source_id").agg(F.min(row).alias("row"))
     stored = stored.select("dedup_key", "at", F.floor(F.col("at") / width).alias("stretch"), "row")
-    asked = incoming.filter("dedup_key is not null and start_at is not null").select("dedup_key", "source_id", start.alias("t")).distinct()
+    asked = asking.select("dedup_key", "source_id", start.alias("t")).distinct()
     here = F.floor(F.col("t") / width)
     none = F.lit(None).cast(stored.schema["row"].dataType)
     # A whole stretch is one whose beginning ends where it ends.
@@ -60,6 +68,7 @@ def told_before(incoming: DataFrame, existing: DataFrame, days: int = SUPPRESSIO
     probes = asked.select("dedup_key", F.col("source_id").alias("asks"), "t", F.inline(bounds)).withColumn("row", none)
     group = ["dedup_key", "stretch"]
     both = stored.withColumns({"asks": F.lit(None).cast("string"), "t": F.lit(None).cast("long"), "back": F.lit(None).cast("boolean")}).unionByName(probes)
+    both = both.repartition(n_tasks, *group)
     both = _least_other(_least_other(both, group, F.col("at").asc(), "since"), group, F.col("at").desc(), "until")
     answers = both.filter("asks is not null").select("dedup_key", F.col("asks").alias("source_id"), "t", F.when(F.col("back"), F.col("until")).otherwise(F.col("since")).alias("told"))
     answers = answers.filter("told is not null").groupBy("dedup_key", "source_id", "t").agg(F.min("told").alias("told"))
