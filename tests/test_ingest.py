@@ -148,6 +148,14 @@ def test_run_sweeps_only_complete_batches(spark, store):
     assert run(event("a"), sweep_window_end=end).cancelled == 1
 
 
+def test_a_run_lets_go_of_what_it_persisted(spark, store):
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    rejected = spark.createDataFrame([("s", "p", "t", None, "no-date", None, None)], "sourceId string, externalId string, title string, url string, reason string, postDate string, detail string")
+    before = held()
+    ingest.run_once(store, [Source("s", lambda c: ScanResult(events(spark, event("a"), event("b")), rejected))], NOW)
+    assert store.read("ingest_quarantine").count() == 1 and held() == before
+
+
 def test_first_run_catches_up_once(spark, store):
     source = Source("s", lambda c: result(spark, event("a")))
     assert ingest.run_first_time(store, [source], NOW).inserted == 1
