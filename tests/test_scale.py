@@ -17,3 +17,8 @@ def test_pages_of_one_split_are_made_by_many_tasks(spark, tmp_path):
     made = connectors.written(spark, str(tmp_path), "'x'")
     sizes = [len(rows) for rows in made.rdd.glom().collect()]
     assert len(sizes) >= 4 and max(sizes) < 200 and sum(sizes) == 400
+
+
+def test_a_press_page_is_parsed_once(spark):
+    found = pages.press_events(captures(spark, {"p": "x"}).selectExpr("url path", "body"))
+    assert plan(found).count("ArrowEvalPython") == 1
