@@ -22,3 +22,16 @@ def test_pages_of_one_split_are_made_by_many_tasks(spark, tmp_path):
 def test_a_press_page_is_parsed_once(spark):
     found = pages.press_events(captures(spark, {"p": "x"}).selectExpr("url path", "body"))
     assert plan(found).count("ArrowEvalPython") == 1
+
+
+def test_an_audit_moves_no_page_that_it_does_not_judge(spark):
+    listing = '<div class="p-6"><h3><a href="/institucion/mtc/noticias/{0}-n">Cierre de la avenida {0}</a></h3><time datetime="2026-06-01T10:00:0{0}"></time></div>'
+    listed = pages.news_listing(captures(spark, {f"l{i}": listing.format(i) for i in range(3)}), "mtc")
+    details = captures(spark, {f"https://www.gob.pe/institucion/mtc/noticias/{i}-n": "<main>En la avenida Larco de Miraflores</main>" for i in range(3)})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = audit.audit_institution(listed, details, "mtc", datetime(2026, 6, 10, tzinfo=UTC))
+        assert "SortMergeJoin" not in plan(found)
+        assert sorted((r.id, r.stage) for r in found.collect()) == [(i, "extracted") for i in range(3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
