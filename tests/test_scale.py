@@ -35,3 +35,12 @@ def test_an_audit_moves_no_page_that_it_does_not_judge(spark):
         assert sorted((r.id, r.stage) for r in found.collect()) == [(i, "extracted") for i in range(3)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_alert_page_is_read_once_for_all_levels(spark):
+    feature = '{"type":"Feature","geometry":{"type":"Point","coordinates":[-77.5,-11.5]},"properties":{"codigo_via":"%s","fecha_actualizacion":"03/04/2026 7:05 HORAS","fecha_evento":"31/02/2026"}}'
+    body = '{"normal":[%s,%s],"restringido":[],"interrumpido":[%s],"fecha_hora_actualizacion":"11/06/2026 10:32"}' % tuple(feature % c for c in "abc")
+    found = alerts.road_alerts(captures(spark, {"p": body}))
+    assert plan(found).count("Generate inline") == 1 and "Union" not in plan(found)
+    rows = [(r.estado, r.place, r.codigo_via, str(r.reported_at), r.event_started_on) for r in found.collect()]
+    assert sorted(rows) == [("interrumpido", 0, "c", "2026-04-03 12:05:00", None), ("normal", 0, "a", "2026-04-03 12:05:00", None), ("normal", 1, "b", "2026-04-03 12:05:00", None)]

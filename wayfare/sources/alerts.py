@@ -29,9 +29,9 @@ def road_alerts(pages: DataFrame) -> DataFrame:
         .when(F.col("at").isNull(), F.concat(F.lit("unparseable dataset timestamp "), F.coalesce(F.col("s.fecha_hora_actualizacion"), F.lit("none"))))
     )
     frame = frame.withColumn("at", require(fault.isNull(), F.col("at"), F.concat(F.lit(f"{ALERTS}: "), fault)))
-    # Checked with every level's rows, so the fault shows even where a level is empty.
-    levels = [frame.select(F.lit(level).alias("estado"), "at", F.posexplode(F.when(F.col("at").isNotNull(), F.col(f"s.{level}"))).alias("place", "f")) for level in schemas.ALERT_LEVELS]
-    rows = reduce(DataFrame.unionByName, levels)
+    # One read of the pages for all levels; the check comes with it, so the fault shows even where a level is empty.
+    placed = lambda level: F.transform(F.col(f"s.{level}"), lambda f, i: F.struct(F.lit(level).alias("estado"), i.alias("place"), f.alias("f")))
+    rows = frame.select("at", F.inline(F.when(F.col("at").isNotNull(), F.concat(*map(placed, schemas.ALERT_LEVELS)))))
     bad = (F.col("f.type") != "Feature") | (F.col("f.geometry.type") != "Point") | (F.size("f.geometry.coordinates") != 2)
     p = F.col("f.properties")
     point = F.struct(F.col("f.geometry.coordinates")[0].alias("lng"), F.col("f.geometry.coordinates")[1].alias("lat"))
