@@ -44,3 +44,10 @@ def test_an_alert_page_is_read_once_for_all_levels(spark):
     assert plan(found).count("Generate inline") == 1 and "Union" not in plan(found)
     rows = [(r.estado, r.place, r.codigo_via, str(r.reported_at), r.event_started_on) for r in found.collect()]
     assert sorted(rows) == [("interrumpido", 0, "c", "2026-04-03 12:05:00", None), ("normal", 0, "a", "2026-04-03 12:05:00", None), ("normal", 1, "b", "2026-04-03 12:05:00", None)]
+
+
+def test_a_cursor_is_made_when_it_is_read(spark):
+    calls = []
+    found = ingest.ScanResult(captures(spark, {}), next_cursor=lambda: calls.append(1) or {"n": 1})
+    assert not calls
+    assert found.next_cursor == found.next_cursor == {"n": 1} and calls == [1]
