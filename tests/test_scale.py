@@ -2,8 +2,11 @@
 
 from datetime import UTC, datetime
 
+from wayfare.operators import validate
 from wayfare.plans import audit, ingest
 from wayfare.plans.queries import connectors
+from wayfare.plans.queries.rules import scraped
+from wayfare.plans.store import Store
 from wayfare.sources import alerts, pages
 from wayfare.sources.captures import captures
 
@@ -51,3 +54,57 @@ def test_a_cursor_is_made_when_it_is_read(spark):
     found = ingest.ScanResult(captures(spark, {}), next_cursor=lambda: calls.append(1) or {"n": 1})
     assert not calls
     assert found.next_cursor == found.next_cursor == {"n": 1} and calls == [1]
+
+
+def batch(spark, first, n, **columns):
+    return scraped(spark.range(first, first + n).selectExpr("id k", "'2026-07-01' d"), **columns)
+
+
+def test_a_batch_without_news_is_not_compared_with_the_store(spark, tmp_path, monkeypatch):
+    store, now = Store(spark, f"file://{tmp_path}/s"), datetime(2026, 6, 10, tzinfo=UTC)
+    store.migrate()
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "told_before", None)
+        got = ingest.upsert_events(store, batch(spark, 0, 30), now)
+        assert (got.inserted, got.updated, got.suppressed, got.duplicates.count()) == (30, 0, 0, 0)
+        # The first rows are the base; ids go on without a search for the largest, whatever is written over them.
+        assert [f[:2] for f in store.version("events")] == ["v-"] and store.pointer("events").last_id == 30
+        got = ingest.upsert_events(store, batch(spark, 20, 30, title="'new'"), now)
+        assert (got.inserted, got.updated) == (20, 10) and [f[:2] for f in store.version("events")] == ["v-", "c="]
+        m.setattr(Store, "read", None)
+        assert store.last_id("events") == 50
+    rows = store.read("events").collect()
+    assert sorted(r.id for r in rows) == list(range(1, 51)) and sum(r.title == "new" for r in rows) == 30
+    news = lambda source: batch(spark, 100, 2, sourceId=f"'{source}'", dedupKey="CASE WHEN k = 100 THEN 'obras' END")
+    assert ingest.upsert_events(store, news("a"), now).inserted == 2
+    again = ingest.upsert_events(store, news("b"), now)
+    assert (again.inserted, again.suppressed, again.duplicates.first().of_source_id) == (1, 1, "a")
+
+
+def test_ids_go_on_after_those_of_replaced_rows(spark, tmp_path):
+    store, now = Store(spark, f"file://{tmp_path}/s"), datetime(2026, 6, 10, tzinfo=UTC)
+    store.migrate()
+    ingest.upsert_events(store, batch(spark, 0, 3), now)
+    store.replace("events", store.read("events").selectExpr("id + 1000 id", "* except (id)"))
+    ingest.upsert_events(store, batch(spark, 0, 5), now)
+    assert sorted(r.id for r in store.read("events").collect()) == [1001, 1002, 1003, 1004, 1005]
+
+
+def test_one_change_set_is_read_without_a_search_for_the_newest(spark, tmp_path):
+    store, now = Store(spark, f"file://{tmp_path}/s"), datetime(2026, 6, 10, tzinfo=UTC)
+    store.migrate()
+    for first, sets in ((0, 0), (2, 1), (4, 2)):
+        ingest.upsert_events(store, batch(spark, first, 4), now)
+        assert ("Window" in plan(store.read("events"))) == (sets > 1) and len(store.version("events")) == 1 + sets
+    assert store.read("events").count() == 8
+
+
+def test_all_tasks_look_for_a_bad_row_at_once(spark):
+    def jobs(rows):
+        spark.sparkContext.setJobGroup("bad-rows", "")
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("bad-rows"))
+        validate.validated(rows)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("bad-rows")) - before
+
+    few, many = (jobs(batch(spark, 0, 100).repartition(n)) for n in (2, 40))
+    assert few == many

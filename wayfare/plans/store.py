@@ -4,6 +4,7 @@ A table is a base (``v-…``) and the change sets (``c=…``) written since: row
 that take the place of those of the same key, or come anew. A merge writes a
 change set of the rows it touches, so what is written follows the batch and not
 the table; change sets are folded into a new base once they are many or large.
+The first rows of a table become its base at once.
 
 *Pointers* are files ``_CURRENT-00000042`` that are made once, never renamed and
 never written again: the highest whole one counts. A write makes its folder, then
@@ -91,6 +92,9 @@ LAYOUT = {
 #: Change sets are folded into the base beyond this number, or beyond a quarter of its bytes (and this many).
 MOST_CHANGES = 16
 FOLD_BYTES = 32 << 20
+#: Bytes of a row group, as the writer holds it, and of what a task of a change set writes, as it is shuffled: a file of one large row group is one task for whoever reads it.
+GROUP_BYTES = 16 << 20
+TASK_BYTES = 16 << 20
 #: Seconds for which a folder stays for readers after the pointer that no longer names it was made.
 RETAIN_S = 3600
 #: Seconds after which a lock counts as left behind, and a folder that no pointer names: longer than any write takes.
@@ -249,8 +253,9 @@ class Store:
         if len(folders) == 1:
             return base
         # Change sets have the cells of their base.
-        changes = [rows_of([f for f in folders[1:] if f.version == v]).select(*names, "_at") for v in sorted({f.version for f in folders[1:]})]
-        newest = last_wins(reduce(DataFrame.unionByName, changes), layout.key, [F.col("_at")]).drop("_at")
+        changes = reduce(DataFrame.unionByName, [rows_of([f for f in folders[1:] if f.version == v]).select(*names, "_at") for v in sorted({f.version for f in folders[1:]})])
+        # Within one change set no two rows share a key.
+        newest = (changes if len(folders) == 2 else last_wins(changes, layout.key, [F.col("_at")])).drop("_at")
         # Filters on the table reach the base's scan through the anti-join.
         return base.join(newest.select(*layout.key), list(layout.key), "left_anti").select(*names).unionByName(newest)
 
@@ -268,13 +273,13 @@ class Store:
     # ---- writing ----
 
     def replace(self, table: str, rows: DataFrame, last_id: int | None = None) -> DataFrame:
-        """Make rows the table's content; returns them as read back. Rows are clustered for range filters where the layout says so."""
+        """Make rows the table's content; returns them as read back. Rows are clustered for range filters where the layout says so. last_id: their largest id, if known."""
         before = self._begun(table)
         size = sum(self._bytes(table, f.name) for f in before.folders)
         cells = 1
         while cells * CELL_BYTES < size and cells < MOST_CELLS:
             cells *= 2
-        self._point(table, [self._write(table, "v", rows, cells)], before.last_id if last_id is None else last_id)
+        self._point(table, [self._write(table, "v", rows, cells)], last_id)
         return self.read(table)
 
     def change(self, table: str, rows: DataFrame, counters: Mapping[str, Column] | None = None, new_ids: str | None = None) -> dict[str, int]:
@@ -282,24 +287,28 @@ class Store:
 
         counters: aggregates over the rows, which the job that writes them brings
         along and which are returned; if all are zero, the table is left alone.
-        new_ids: the counter of rows that came with ids after the last.
+        new_ids: the counter of rows that came with ids after the last; other rows have ids that are stored.
         """
         before = self._begun(table)
         if not before.folders:
-            self.replace(table, self.spark.createDataFrame([], self.layout[table].schema))
+            self.replace(table, self.spark.createDataFrame([], self.layout[table].schema), 0)
             before = self.pointer(table)
+        # Of cells that hold nothing there are no files.
+        first = self.layout[table].cells and len(before.folders) == 1 and not self._bytes(table, before.folders[0].name)
         seen = Observation()
-        written = self._write(table, "c", rows, before.folders[0].cells, lambda df: df.observe(seen, *[c.alias(n) for n, c in counters.items()]) if counters else df)
+        written = self._write(table, "v" if first else "c", rows, before.folders[0].cells, lambda df: df.observe(seen, *[c.alias(n) for n, c in counters.items()]) if counters else df)
         counts = dict(seen.get) if counters else {}
         if counters and not any(counts.values()):
             fs, path = self._path(table, written.name)
             fs.delete(path, True)
             return counts
-        now = (*before.folders, written)
-        self._point(table, now, before.last_id if new_ids is None or before.last_id is None else before.last_id + counts[new_ids])
+        now = (written,) if first else (*before.folders, written)
+        last_id = before.last_id if new_ids is None or before.last_id is None else before.last_id + counts[new_ids]
+        self._point(table, now, last_id)
         base, *changes = (self._bytes(table, f.name) for f in now)
-        if len(changes) > MOST_CHANGES or sum(changes) > max(base // 4, FOLD_BYTES):
-            self.replace(table, self.read(table))
+        # A first base that is larger than its cells should be is dealt into more.
+        if len(changes) > MOST_CHANGES or sum(changes) > max(base // 4, FOLD_BYTES) or (first and base > written.cells * CELL_BYTES):
+            self.replace(table, self.read(table), last_id)
         return counts
 
     def last_id(self, table: str) -> int:
@@ -331,13 +340,17 @@ class Store:
         # Counted behind the exchange: what is before it runs once more, for the samples of its ranges.
         rows = watch(rows).select(*columns)
         # Parquet keeps no statistics of the older form of timestamps, so no row group could be skipped by them.
-        form, conf = "spark.sql.parquet.outputTimestampType", self.spark.conf
-        before = conf.get(form)
+        form, size, conf = "spark.sql.parquet.outputTimestampType", "spark.sql.adaptive.advisoryPartitionSizeInBytes", self.spark.conf
+        before, sized = conf.get(form), conf.get(size, None)
         conf.set(form, "TIMESTAMP_MICROS")
+        if sized is None:
+            conf.set(size, str(TASK_BYTES))
         try:
-            (rows.write.partitionBy("_cell") if layout.cells else rows.write).parquet(f"{self.root}/{table}/{folder.name}")
+            (rows.write.partitionBy("_cell") if layout.cells else rows.write).option("parquet.block.size", GROUP_BYTES).parquet(f"{self.root}/{table}/{folder.name}")
         finally:
             conf.set(form, before)
+            if sized is None:
+                conf.unset(size)
         return folder
 
     def _bytes(self, table: str, name: str) -> int:
@@ -348,7 +361,7 @@ class Store:
         """Tables that aren't there yet are made, and the regions seeded."""
         for table, layout in self.layout.items():
             if not self.version(table):
-                self.replace(table, self.spark.createDataFrame([], layout.schema))
+                self.replace(table, self.spark.createDataFrame([], layout.schema), 0)
         if "regions" in self.layout:
             seed_regions(self)
 
