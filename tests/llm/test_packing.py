@@ -119,3 +119,38 @@ def test_plans_place_no_item_twice(seed):
 def test_powers_of_two():
     assert packing.powers(4096, 4096 + 1500) == [(4096, 5120), (5120, 5376), (5376, 5504), (5504, 5568), (5568, 5584), (5584, 5592), (5592, 5596)]
     assert packing.powers(7, 7) == [] and packing.sequence_at(5376, 2048, packing.powers(4096, 5596)) == (4, 5376, 5504)
+
+
+def test_capitals_and_marks_cost_no_new_encoding(monkeypatch):
+    import pyarrow as pa
+
+    seen, encoded = [], packing.Ids._encoded
+    monkeypatch.setattr(packing.Ids, "_encoded", lambda self, texts: seen.extend(texts) or encoded(self, texts))
+    packing.Ids(PATH).of(pa.array(["erentiha Erentiha, (ERENTIHA) erentiha### ERENTIHA.", "\"erentiha\" élabich Élabich."]))
+    text = b" ".join(seen).decode().lower()
+    assert text.count("erentiha") == 1 and text.count("élabich") == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_of_words_have_the_library_s_ids(seed):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(seed)
+    # Letters that change in number or compose when folded, marks, special strings in either case.
+    parts = [*"aAbZzéÉßÿŸİıKſΣςÀ×÷ªµ09.,'’!<>|`^_-&#", "\u0301", "\u0331", "\u0338", "\u0345", "\u200b", "\u00a0", "\u0085", "\x1c", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'T", "日", "가", "ǅ", "ﬁ", "\U0001f600", "don't", "THE", " ", " ", "\n"]
+    texts = [None, "", " ", *("".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)), *(prose(i, 40).title() + "." for i in range(20))]
+    flat, ends = packing.Ids(PATH).of(pa.array(texts))
+    library, begin = Tokenizer.from_file(PATH), 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        assert flat[begin:end].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+        begin = end
+
+
+def test_ids_of_documents_that_are_not_cut_stay(make, monkeypatch):
+    found, near = [], packing._near_cuts
+    monkeypatch.setattr(packing, "_near_cuts", lambda *a: found.append(near(*a)) or found[-1])
+    # Two of 1,024 ids fill a sequence, 1,301 go with nothing.
+    rows = [(i, "word " * 1023, "en", "a") for i in range(40)] + [(100 + i, "word " * 1300, "en", "a") for i in range(20)]
+    assert check(packing.packed(make(rows), PATH).collect(), rows) == 0
+    assert sorted(r.doc_id for r in found[0].select("doc_id").collect()) == list(range(100, 120))

@@ -20,21 +20,25 @@ once more into sequences whose lengths are powers of two.
 pattern's copy. Ranks and sums are counted per cell of hashes, so that a class
 with most of the rows is ranked by many tasks.
 
-Ids are made once and written; only the rests that are cut are read again.
+Ids are made once and written; only the rests that are cut are read again. Cut are
+a class's last ranks, so its last cells: other cells' ids aren't moved.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import blocks, stored
@@ -51,20 +55,44 @@ COLUMNS = 16
 LEAST_FILL = 0.98
 #: Rows of a cell of hashes.
 CELL_ROWS = 100_000
-#: Known pre-tokens that a worker keeps from task to task, some 150 bytes each, and new ones that are encoded as one text.
+#: Known pieces of pre-tokens that a worker keeps from task to task, some 150 bytes each, and new ones that are encoded as one text.
 CACHE_WORDS = 800_000
 JOINED = 2000
+#: Bytes of text that are made ids at a time; in a larger block fewer pieces are looked up twice.
+BLOCK_BYTES = 8 << 20
 
-#: One row per row of the input: pieces of whole sequences by their CRC-32, and the rest's ids.
-TOKENS = "key long, doc_id long, doc_tokens long, crcs array<long>, rest int, rest_crc long, ids array<int>"
+#: One row per row of the input: pieces of whole sequences by their CRC-32, and the rest's ids, little-endian and as short as the vocabulary allows.
+TOKENS = "key long, doc_id long, doc_tokens long, crcs array<long>, rest int, rest_crc long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 # ---- ids ----
 
 
+#: How the vocabulary's library must split and fold text for ``Ids`` to take words apart; other vocabularies' words are encoded whole.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters at a word's ends that make one piece there: ASCII marks but the apostrophe, which can begin a piece with letters.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that have one lower-case letter each, and compose with no letter or mark beside them.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _strings(column: pa.Array) -> list[bytes]:
+    """Values of a string or binary column without nulls; many times faster than one scalar after the other."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else [0]
+    whole = data.slice(at[0], at[-1] - at[0]).to_pybytes() if data is not None else b""
+    return [whole[i - at[0] : j - at[0]] for i, j in pairwise(at)]
+
+
 class Ids:
-    """Ids of texts. The vocabulary never joins across ASCII white space, so each distinct pre-token is encoded once."""
+    """Ids of texts. The vocabulary never joins across ASCII white space, so each distinct pre-token is encoded once.
+
+    Many pre-tokens differ only in capitals and in marks at their ends. Where the
+    vocabulary folds case and splits letters from marks, the letters between the
+    marks are encoded once for all of them, as the library gives them.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,75 +102,110 @@ class Ids:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         # A special token's string ends a word whatever stands beside it, and its id nothing else has.
-        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = sorted((i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
         self.between, self.break_ = special[-1] if special else (None, "")
-        self.strings = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.strings = [t.content.encode() for t in added.values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Ids as they are kept: as short as all of them allow.
+        self.kept = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
+        parts = json.loads(self.tokenizer.to_str())
+        normal, split, last = parts["normalizer"] or {}, parts["pre_tokenizer"] or {}, parts["model"].get("end_of_word_suffix")
+        self.folds = bool(
+            [n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [p["type"] for p in split.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+            and split["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+            and not split["pretokenizers"][1]["add_prefix_space"]
+            and not split["pretokenizers"][1]["use_regex"]
+            and last
+            and all(not t.normalized and t.content.encode().strip(MARKS) != t.content.encode() for t in added.values())
+        )
+        #: By id: whether it ends a piece.
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if last and t.endswith(last)]] = True
+        self.known: dict[bytes, bytes] = {}
 
     def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words: many at once, with a special token between them; by themselves those that hold one, or where there is none."""
-        joined, alone = (words, []) if self.between is not None else ([], words)
-        whole = b" ".join(words)
-        if joined and any(x in whole for x in self.strings):
-            joined, alone = [], []
-            for w in words:
-                (alone if any(x in w for x in self.strings) else joined).append(w)
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: many at once, with a special token between them; by themselves those that hold one, or where there is none."""
+        joined = [] if self.between is None else [w for w in words if not any(x in w for x in self.strings)]
+        alone = words if self.between is None else [w for w in words if any(x in w for x in self.strings)]
         parts = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
         found = self._encoded([self.break_.encode().join([*part, b""]) for part in parts] + alone)
-        flat, counts = [], []
-        for ids in found[: len(parts)]:
+        out = dict(zip(alone, map(np.ndarray.tobytes, found[len(parts) :]), strict=True))
+        for part, ids in zip(parts, found, strict=False):
             stops = np.flatnonzero(ids == self.between)
-            counts.append(np.diff(stops, prepend=-1) - 1)
-            flat.append(ids[ids != self.between])
-        counts += [np.array([len(ids)]) for ids in found[len(parts) :]]
-        flat += found[len(parts) :]
-        if not flat:
-            return
-        ids, counts = np.concatenate(flat), np.concatenate(counts)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        at = len(self.known)
-        while at + len(words) > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.begin[at : at + len(words)] = self.used + np.cumsum(counts) - counts
-        self.count[at : at + len(words)] = counts
-        self.known.update(zip(joined + alone, range(at, at + len(words)), strict=True))
-        self.used += len(ids)
+            out.update(zip(part, _cut(ids, np.concatenate([[0], stops[:-1] + 1]), stops), strict=True))
+        return [out[w] for w in words]
+
+    def _runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs of lower-case letters, each one piece: many at once, with a blank between them, cut where pieces end."""
+        parts, out = [runs[i : i + JOINED] for i in range(0, len(runs), JOINED)], []
+        for part, ids in zip(parts, self._encoded([b" ".join(part) for part in parts]), strict=True):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            out += _cut(ids, np.concatenate([[0], stops[:-1]]), stops) if len(stops) == len(part) else self._whole(part)
+        return out
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Add new pieces to those known."""
+        runs = [p for p in pieces if LETTERS.fullmatch(p.decode("utf-8", "replace"))] if self.folds else []
+        alike = set(runs)
+        whole = [p for p in pieces if p not in alike]
+        self.known.update(zip(runs, self._runs(runs), strict=True))
+        self.known.update(zip(whole, self._whole(whole), strict=True))
+
+    def _taken(self, pieces: pa.Array) -> pa.Array:
+        """Ids of each piece, as bytes; each distinct one is looked up once."""
+        encoded = pieces.dictionary_encode()
+        distinct = _strings(encoded.dictionary)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            self._learn([p for p, ids in zip(distinct, found, strict=True) if ids is None])
+            found = [self.known[p] if ids is None else ids for p, ids in zip(distinct, found, strict=True)]
+        return pa.array(found, pa.large_binary()).take(encoded.indices)
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of each word, as bytes. Letters between marks are three pieces: the marks before, the letters in lower case, the marks behind."""
+        if not self.folds or not len(words):
+            return self._taken(words)
+        words = pa.concat_arrays([words.cast(pa.large_string())])
+        begun = pc.ascii_ltrim(words, characters=MARKS.decode())
+        run = pc.ascii_rtrim(begun, characters=MARKS.decode())
+        apart = pc.match_substring_regex(run, rf"\A{LETTERS.pattern}\z")
+        for x in self.strings:
+            apart = pc.and_not(apart, pc.match_substring(words, x.decode()))
+        # Places of the three in the words' own bytes; a word that stays whole is the second.
+        sizes, some = pc.binary_length(words).to_numpy(), apart.to_numpy(zero_copy_only=False)
+        before = np.where(some, sizes - pc.binary_length(begun).to_numpy(), 0)
+        letters = np.where(some, pc.binary_length(run).to_numpy(), sizes)
+        first = words.offset
+        starts = np.frombuffer(words.buffers()[1], np.int64)[first : first + len(words) + 1]
+        at = np.empty(3 * len(words) + 1, np.int64)
+        at[::3], at[1::3], at[2::3] = starts, starts[:-1] + before, starts[:-1] + before + letters
+        pieces = pa.LargeStringArray.from_buffers(3 * len(words), pa.py_buffer(at), words.buffers()[2])
+        ids = self._taken(pc.if_else(pa.array(np.repeat(some, 3)), pc.utf8_lower(pieces), pieces))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1 : 3]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends.copy()), ids.buffers()[2]])
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by the end's id, and where each text's end. A null text has the end's id alone."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
-        words = split.flatten()
-        encoded = words.dictionary_encode()
-        distinct = encoded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self._clear()
-        self._learn([w for w in distinct if w not in self.known])
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        at = place[encoded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        encoded = split.flatten().dictionary_encode()
         # A document's end is one more word, of one id.
-        end_at = ends + np.arange(len(texts))
-        begin, count = np.full(len(words) + len(texts), -1, np.int64), np.ones(len(words) + len(texts), np.int64)
-        inside = np.ones(len(begin), bool)
-        inside[end_at] = False
-        begin[inside], count[inside] = self.begin[at], self.count[at]
-        stop = np.cumsum(count)
-        source = np.repeat(begin - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)
-        last = stop[end_at] - 1 if len(texts) else np.zeros(0, np.int64)
-        source[last] = 0
-        out = self.ids[source].astype("<u4")
-        out[last] = END_ID
-        return out, last + 1
+        words = pa.concat_arrays([self._words(encoded.dictionary), pa.array([np.array([END_ID], "<u4").tobytes()], pa.large_binary())])
+        taken = words.take(pa.array(np.insert(encoded.indices.to_numpy(), ends, len(words) - 1)))
+        stops = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 4
+        return np.frombuffer(taken.buffers()[2], "<u4")[: stops[-1]], stops[ends + np.arange(1, len(texts) + 1)]
+
+
+def _cut(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    whole = ids.astype("<u4").tobytes()
+    return [whole[b:e] for b, e in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)]
 
 
 #: Of each worker process.
@@ -160,19 +223,19 @@ def tokenized(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFra
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, key = _ids(tokenizer_path), TaskContext.get().partitionId() << 40
-        for part, texts in blocks(batches):
+        for part, texts in blocks(batches, budget=BLOCK_BYTES):
             flat, ends = ids.of(part.column(1))
             begins = np.concatenate([[0], ends[:-1]])
             lengths = ends - begins
             rests = ends - lengths % size
             crcs = [[zlib.crc32(flat[i : i + size]) for i in range(b, r, size)] for b, r in zip(begins.tolist(), rests.tolist(), strict=True)]
-            left = np.cumsum(lengths % size)
-            kept = np.arange(left[-1]) + np.repeat(rests - (left - lengths % size), lengths % size)
+            short = memoryview(flat.astype(ids.kept)).cast("B")
+            width = ids.kept.itemsize
             yield pa.record_batch(
                 [
                     pa.array(key + np.arange(len(texts))), part.column(0), pa.array(lengths), pa.array(crcs, pa.list_(pa.int64())), pa.array((lengths % size).astype(np.int32)),
                     pa.array([zlib.crc32(flat[r:e]) for r, e in zip(rests.tolist(), ends.tolist(), strict=True)], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], left]).astype(np.int32)), pa.array(flat[kept].astype(np.int32))),
+                    pa.array([bytes(short[width * r : width * e]) for r, e in zip(rests.tolist(), ends.tolist(), strict=True)], pa.binary()),
                 ],
                 names=["key", "doc_id", "doc_tokens", "crcs", "rest", "rest_crc", "ids"],
             )
@@ -346,9 +409,24 @@ def _cells(rows: DataFrame, n: int) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // CELL_ROWS))
 
 
+def _cell(cells: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(cells))
+
+
+def _class(grain: int) -> Column:
+    return F.expr(f"cast((rest + {grain - 1}) div {grain} as int)").alias("class")
+
+
+def _near_cuts(tokens: DataFrame, cut: DataFrame, cells: int, grain: int) -> DataFrame:
+    """Rows of ``tokens`` in the cells that hold those of ``cut``: all of them, and few others, told by class and key alone."""
+    first = cut.groupBy("class").agg(F.min(_cell(cells)).alias("first_cell"))
+    rests = tokens.filter("rest > 0").select("key", "doc_id", "doc_tokens", "ids", _class(grain))
+    return rests.join(F.broadcast(first), "class").filter(_cell(cells) >= F.col("first_cell")).select("key", "doc_id", "doc_tokens", "ids")
+
+
 def _running(rows: DataFrame, within: list[str], amount: str, cells: int, name: str) -> DataFrame:
     """rows with ``name``: the sum of ``amount`` over the rows before, in some order, among those equal in ``within``. No task sums more than a cell."""
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)))
+    rows = rows.withColumn("cell", _cell(cells))
     sums = rows.groupBy(*within, "cell").agg(F.sum(amount).alias("cell_sum"))
     # Sums of cells are few: one row for each cell of a value.
     before = F.sum("cell_sum").over(Window.partitionBy(*within).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
@@ -362,7 +440,7 @@ def placed(tokens: DataFrame, size: int = SIZE, grain: int = GRAIN, least_fill:
     """PIECES of all rows of ``tokens``, as ``tokenized`` gives them, written and read again."""
     spark = tokens.sparkSession
     meta = tokens.select("key", "doc_id", "doc_tokens", "rest", "rest_crc", F.size("crcs").cast("long").alias("full"))
-    classed = meta.filter("rest > 0").withColumn("class", F.expr(f"cast((rest + {grain - 1}) div {grain} as int)"))
+    classed = meta.filter("rest > 0").withColumn("class", _class(grain))
     histogram = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}
     plan = planned(histogram, size // grain, least_fill)
     cells = _cells(tokens, max(sum(histogram.values()), 1))
@@ -401,14 +479,15 @@ def placed(tokens: DataFrame, size: int = SIZE, grain: int = GRAIN, least_fill:
     total = cut.agg(F.coalesce(F.sum("rest"), F.lit(0))).first()[0]
     if not total:
         return pieces
-    stream = _running(cut, [], "rest", cells, "at").select("key", "at").join(tokens.select("key", "doc_id", "doc_tokens", "ids"), "key").select("doc_id", "doc_tokens", "at", "ids")
+    near = _near_cuts(tokens, known.filter("not is_placed"), cells, grain)
+    stream = _running(cut, [], "rest", cells, "at").select("key", "at").join(near, "key").select("doc_id", "doc_tokens", "at", "ids")
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = powers(total - total % size, total)
         for part in batches:
             rows = []
-            for doc_id, doc_tokens, at, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True):
-                ids = ids.values.to_numpy().astype("<u4")
+            for doc_id, doc_tokens, at, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                ids = np.frombuffer(ids, f"<u{len(ids) // (doc_tokens % size)}").astype("<u4")
                 begin, end = at, at + len(ids)
                 while begin < end:
                     number, first, stop = sequence_at(begin, size, last)
