@@ -2,12 +2,17 @@
 
 from datetime import UTC, datetime
 
+import pytest
+from pyspark.sql import functions as F
+
+from wayfare.functions import text
 from wayfare.operators import validate
-from wayfare.plans import audit, ingest
+from wayfare.operators.validate import ContractError
+from wayfare.plans import audit, ingest, scans
 from wayfare.plans.queries import connectors
 from wayfare.plans.queries.rules import scraped
 from wayfare.plans.store import Store
-from wayfare.sources import alerts, pages
+from wayfare.sources import alerts, markup, pages, posts
 from wayfare.sources.captures import captures
 
 
@@ -108,3 +113,51 @@ def test_all_tasks_look_for_a_bad_row_at_once(spark):
 
     few, many = (jobs(scraped(spark.range(0, 100, 1, n).selectExpr("id k", "'2026-07-01' d"))) for n in (2, 40))
     assert 0 < few == many
+
+
+def test_a_news_item_is_read_once(spark):
+    news = posts.institution_news(captures(spark, {"l": "[]"}), "mtc")
+    found = posts.institution(posts.news_candidates(news, 0), captures(spark, {}), "mtc").events.select("externalId", "startAt")
+    made = plan(found)
+    assert made.count("from_json(") == made.count("parseJson(") == 1
+    assert made.count("/noticias/(") == 1
+    # The text is searched for dates once, whatever asks for the dates.
+    alone = spark.sql("SELECT '' t, current_date() d").select(posts.date_range(F.col("t"), F.col("d"), F.col("t")))
+    assert made.count("hasta el") == plan(alone).count("hasta el")
+
+
+def test_a_sports_scan_counts_no_boxes(spark, monkeypatch):
+    listing = '<div class="match"><a href="/liga-1/alianza-lima-vs-x-m1">x</a></div><div class="match"><a href="/liga-1/otro-vs-x-m2">x</a></div>'
+    assert pages.sports_targets(captures(spark, {"l": listing, "m": listing})).collect() == pages.sports_listing(captures(spark, {"l": listing}))[2].collect()
+    assert pages.sports_targets(captures(spark, {"l": "<p></p>"})).count() == 0
+    with pytest.raises(ContractError, match="sports: 1 matches but none parseable"):
+        pages.sports_targets(captures(spark, {"l": '<div class="match"></div>'}))
+    monkeypatch.setattr(pages, "sports_listing", None)
+    scanned = scans.sports(lambda source, part: captures(spark, {"l": listing} if part == "listing" else {}), spark).scan(None)
+    assert scanned.events.count() == 0
+
+
+def test_folding_finds_all_letters(spark):
+    points = spark.createDataFrame([(chr(p), f"a{chr(p)}ñ") for p in range(1, 0x11000) if not 0xD800 <= p <= 0xDFFF], "one string, many string")
+    letters, bare = text.fold_table()
+    for c in points.columns:
+        assert points.filter(text.fold(F.col(c)) != F.translate(F.lower(c), letters, bare)).count() == 0
+    assert points.select(text.fold(F.lit(None).cast("string")).alias("n")).first().n is None
+
+
+def tree(node):
+    return node.tag, node.attrs, [c if isinstance(c, str) else tree(c) for c in node.children]
+
+
+PLAIN = (
+    '<!DOCTYPE html><html><head><script type="application/ld+json">{"a":"<b>&amp;"}</SCRIPT ></head><body a=\'1 "\' b c="" A="2"><!-- x --><br><br/><img src="a>b<c"><P CLASS="x  y">1 &lt; 2 &amp</p></li></body></html> &copy',
+    '<main\n><p>En Miraflores</p></main>', "x", "", "<li>1<li>2", "<div/>t", "<style></style>", "</p>",
+)
+OTHER = ("<a href=x>y</a>", "<a b = 'c'>", '<a b="c"d="e">', "<a b='", "1 < 2", "<!-- a > b -->", "<?x?>", "<script>", "<script>x</\u017fcript>y</script>", "</ p>", "<a\x0bb>", "<x:y>")
+
+
+def test_a_plain_page_gives_the_tree_of_the_library(spark):
+    for page in PLAIN:
+        assert tree(markup._plain(page)) == tree(markup._by_library(page)) == tree(markup.parse(page))
+    for page in OTHER:
+        assert markup._plain(page) is None and tree(markup.parse(page)) == tree(markup._by_library(page))
